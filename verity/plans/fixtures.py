@@ -97,6 +97,7 @@ def dirty_events(spark, sf_dir) -> DataFrame:
         .otherwise(F.col("event_type")).alias("kind"),
         F.when(k % 500 == 0, F.col("value") + 100000.0)
         .when(k % 8 == 0, F.lit(None).cast("double")).otherwise(F.col("value")).alias("amount"),
+        F.lit(None).cast("string").alias("note"),
     )
 
 

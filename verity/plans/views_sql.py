@@ -43,7 +43,8 @@ SELECT event_id AS _row_id, event_id AS record_no, user_id,
   CASE WHEN event_id % 12 = 0 THEN 'unknown' WHEN event_id % 12 = 1 THEN upper(event_type)
        ELSE event_type END AS kind,
   CASE WHEN event_id % 500 = 0 THEN value + 100000.0 WHEN event_id % 8 = 0 THEN NULL
-       ELSE value END AS amount
+       ELSE value END AS amount,
+  CAST(NULL AS VARCHAR) AS note
 FROM events""",
     "dirty_people": """
 SELECT c_custkey AS _row_id, c_custkey AS emp_id,
