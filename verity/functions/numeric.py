@@ -64,7 +64,7 @@ def py_repr_double(c) -> Column:
             .when(F.isnan(x), F.lit("nan"))
             .when(x == float("inf"), F.lit("inf"))
             .when(x == float("-inf"), F.lit("-inf"))
-            .when(x == 0, F.when(F.signum(F.lit(1.0) / x) < 0, "-0.0").otherwise("0.0"))
+            .when(x == 0, F.when(x.cast("string").startswith("-"), "-0.0").otherwise("0.0"))
             .when(sci, sci_txt)
             .when(java_plain, plain_small)
             .otherwise(via_dec))

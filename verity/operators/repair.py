@@ -733,6 +733,14 @@ class AutofixResult:
         return {"clean_count": int(r["clean"]), "quarantine_count": int(r["quarantine"]),
                 "changes_applied": int(r["applied"] or 0)}
 
+    def counts_frame(self) -> DataFrame:
+        """O6/O7 counters as a one-row DataFrame (stays distributed until read)."""
+        return self.frame.agg(
+            F.count_if(F.size("_reasons") == 0).cast("long").alias("clean_count"),
+            F.count_if(F.size("_reasons") > 0).cast("long").alias("quarantine_count"),
+            F.coalesce(F.sum(F.when(F.size("_reasons") == 0, F.size(F.filter(
+                "_changes", lambda c: c["kind"] == "fixed")))), F.lit(0)).cast("long").alias("changes_applied"))
+
     def unpersist(self):
         for d in self.plan.get("_persisted", []):
             d.unpersist()

@@ -33,7 +33,7 @@ def _inspection(spark, sf_dir, view):
 
 
 INSPECT_VIEWS = ("dirty_orders", "dirty_customer", "dirty_events", "dirty_price", "dirty_people",
-                 "dirty_lineitem")
+                 "dirty_staff", "dirty_lineitem")
 
 
 def _register_inspection(view: str):
@@ -76,3 +76,43 @@ def _register_inspection(view: str):
 
 for _v in INSPECT_VIEWS:
     _register_inspection(_v)
+
+
+# ---------------------------------------------------------------------------
+# Repair (F0-F18, O1-O7): the whole ordered pipeline on each dirty view
+# ---------------------------------------------------------------------------
+
+REPAIR_VIEWS = ("dirty_customer", "dirty_orders", "dirty_price", "dirty_events", "dirty_people",
+                "dirty_staff", "dirty_lineitem")
+
+
+def _autofix(spark, sf_dir, view):
+    from ..operators.repair import autofix
+    return autofix(fixtures.view(spark, sf_dir, view))
+
+
+def _register_repair(view: str):
+    from .oracle_repair import RepairSQL
+    short = view.replace("dirty_", "")
+    rs = RepairSQL(view)
+    rs.build()
+
+    @register(f"autofix_changes_{short}", rs.changes_sql())
+    def _changes(spark, sf_dir):
+        return _autofix(spark, sf_dir, view).changes()
+
+    @register(f"autofix_clean_{short}", rs.clean_sql())
+    def _clean(spark, sf_dir):
+        return _autofix(spark, sf_dir, view).clean()
+
+    @register(f"autofix_quarantine_{short}", rs.quarantine_sql())
+    def _quar(spark, sf_dir):
+        return _autofix(spark, sf_dir, view).quarantine()
+
+    @register(f"autofix_counts_{short}", rs.counts_sql())
+    def _counts(spark, sf_dir):
+        return _autofix(spark, sf_dir, view).counts_frame()
+
+
+for _v in REPAIR_VIEWS:
+    _register_repair(_v)

@@ -101,41 +101,76 @@ def dirty_events(spark, sf_dir) -> DataFrame:
     )
 
 
+def _person_parts(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    n = table(spark, sf_dir, "nation")
+    w = F.element_at(F.split(n.n_name, " "), -1)
+    n = n.select("n_nationkey", F.concat(F.upper(F.substring(w, 1, 1)),
+                                         F.lower(F.substring(w, 2, 1000))).alias("given"))
+    return c.join(n, c.c_nationkey == n.n_nationkey, "left")
+
+
 def dirty_people(spark, sf_dir) -> DataFrame:
-    """Names and e-mails with a naming pattern, for cross-column inference.
+    """Names and e-mails following first.last, with gaps on either side.
 
-    name = "Cust<k> <last word of the nation>"; e-mail = first.last@<domain> for
-    most rows, other patterns for a few, and gaps on either side to be inferred.
+    name = "<nation word> Cust<k>"; e-mail = <nation word>.cust<k>@corp.example.com.
+    Each complete pair votes for two patterns, so inference runs at 50% confidence.
     """
-    c = table(spark, sf_dir, "customer")
-    n = table(spark, sf_dir, "nation")
-    j = c.join(n, c.c_nationkey == n.n_nationkey, "left")
+    j = _person_parts(spark, sf_dir)
     k = F.col("c_custkey")
-    first = F.concat(F.lit("Cust"), k.cast("string"))
-    w = F.element_at(F.split(F.col("n_name"), " "), -1)
-    last = F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1000)))
-    name = F.concat(first, F.lit(" "), last)
-    f, l = F.lower(first), F.lower(last)
-    dom = F.lit("corp.example.com")
-    mail = (F.when(k % 23 == 0, F.concat(F.substring(f, 1, 1), F.lit("."), l))
-            .when(k % 29 == 0, f)
-            .otherwise(F.concat(f, F.lit("."), l)))
+    last = F.concat(F.lit("Cust"), k.cast("string"))
+    name = F.concat(F.col("given"), F.lit(" "), last)
+    mail = F.concat(F.lower(F.col("given")), F.lit("."), F.lower(last), F.lit("@corp.example.com"))
     return j.select(
         k.alias("_row_id"),
         k.alias("emp_id"),
         F.when(k % 11 == 0, F.lit(None).cast("string")).otherwise(name).alias("employee_name"),
-        F.when(k % 7 == 0, F.lit(None).cast("string"))
-        .otherwise(F.concat(mail, F.lit("@"), dom)).alias("work_email"),
+        F.when(k % 7 == 0, F.lit(None).cast("string")).otherwise(mail).alias("work_email"),
         F.concat(F.lit("team "), (k % 5).cast("string")).alias("team"),
         F.when(k % 13 == 0, F.lit(None).cast("string"))
         .otherwise(F.floor(F.col("c_acctbal")).cast("bigint").cast("string")).alias("salary_band"),
     )
 
 
+def dirty_staff(spark, sf_dir) -> DataFrame:
+    """E-mails following finit.last (a few first.last), some surnames shared.
+
+    Keys 7 mod 14 share the surname of the key 7 below (both without e-mail:
+    the first row wins); keys 0 mod 10 take the surname of the next key (whose
+    address already exists).
+    """
+    j = _person_parts(spark, sf_dir)
+    k = F.col("c_custkey")
+    sk = F.when(k % 14 == 7, k - 7).when(k % 10 == 0, k + 1).otherwise(k)
+    last = F.concat(F.lit("Cust"), sk.cast("string"))
+    name = F.concat(F.col("given"), F.lit(" "), last)
+    f, l = F.lower(F.col("given")), F.lower(last)
+    local = F.when(k % 29 == 0, F.concat(f, F.lit("."), l)).otherwise(
+        F.concat(F.substring(f, 1, 1), F.lit("."), l))
+    return j.select(
+        k.alias("_row_id"),
+        k.alias("staff_id"),
+        F.when(k % 11 == 0, F.lit(None).cast("string")).otherwise(name).alias("full_name"),
+        F.when(k % 7 == 0, F.lit(None).cast("string"))
+        .otherwise(F.concat(local, F.lit("@staff.example.org"))).alias("email"),
+        F.col("c_mktsegment").alias("department"),
+    )
+
+
+LINEITEM_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
+                  "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+
+
 def dirty_lineitem(spark, sf_dir) -> DataFrame:
-    """Lineitem with gaps, stray text, padded flags and a few extreme values."""
+    """Lineitem with gaps, stray text, padded flags and a few extreme values.
+
+    Its keys are not unique, so the row id is the position in the order of all
+    columns (a range-partitioned dense index, no single-partition window).
+    """
+    from ..operators.rowid import dense_index
     li = table(spark, sf_dir, "lineitem")
-    k = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    li = dense_index(li.withColumn("_k", F.struct(*LINEITEM_ORDER)), "_k", "_row_id").drop("_k")
+    k = F.col("_row_id")
     return li.select(
         k.alias("_row_id"),
         F.col("l_orderkey"), F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber"),
@@ -157,6 +192,7 @@ VIEWS = {
     "dirty_price": dirty_price,
     "dirty_events": dirty_events,
     "dirty_people": dirty_people,
+    "dirty_staff": dirty_staff,
     "dirty_lineitem": dirty_lineitem,
 }
 

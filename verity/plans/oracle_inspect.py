@@ -22,6 +22,7 @@ VIEW_COLUMNS = {
                      ("note", "s")],
     "dirty_people": [("emp_id", "i"), ("employee_name", "s"), ("work_email", "s"), ("team", "s"),
                      ("salary_band", "s")],
+    "dirty_staff": [("staff_id", "i"), ("full_name", "s"), ("email", "s"), ("department", "s")],
     "dirty_lineitem": [("l_orderkey", "i"), ("l_partkey", "i"), ("l_suppkey", "i"),
                        ("l_linenumber", "i"), ("l_quantity", "d"), ("l_extendedprice", "d"),
                        ("l_discount", "d"), ("l_tax", "d"), ("l_returnflag", "s"),

@@ -48,20 +48,29 @@ SELECT event_id AS _row_id, event_id AS record_no, user_id,
 FROM events""",
     "dirty_people": """
 SELECT c_custkey AS _row_id, c_custkey AS emp_id,
-  CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE 'Cust' || CAST(c_custkey AS VARCHAR) || ' ' || lastw END
+  CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE given || ' Cust' || CAST(c_custkey AS VARCHAR) END
     AS employee_name,
   CASE WHEN c_custkey % 7 = 0 THEN NULL
-       ELSE (CASE WHEN c_custkey % 23 = 0 THEN 'c.' || lower(lastw)
-                  WHEN c_custkey % 29 = 0 THEN 'cust' || CAST(c_custkey AS VARCHAR)
-                  ELSE 'cust' || CAST(c_custkey AS VARCHAR) || '.' || lower(lastw) END)
-            || '@corp.example.com' END AS work_email,
+       ELSE lower(given) || '.cust' || CAST(c_custkey AS VARCHAR) || '@corp.example.com' END AS work_email,
   'team ' || CAST(c_custkey % 5 AS VARCHAR) AS team,
   CASE WHEN c_custkey % 13 = 0 THEN NULL ELSE CAST(CAST(floor(c_acctbal) AS BIGINT) AS VARCHAR) END
     AS salary_band
-FROM (SELECT c.*, upper(substr(w, 1, 1)) || lower(substr(w, 2, 1000)) AS lastw
-      FROM customer c LEFT JOIN
-           (SELECT n_nationkey, string_split(n_name, ' ')[-1] AS w FROM nation) n
-           ON c.c_nationkey = n.n_nationkey) j""",
+FROM customer c LEFT JOIN
+     (SELECT n_nationkey, upper(substr(w, 1, 1)) || lower(substr(w, 2, 1000)) AS given
+      FROM (SELECT n_nationkey, string_split(n_name, ' ')[-1] AS w FROM nation)) n
+     ON c.c_nationkey = n.n_nationkey""",
+    "dirty_staff": """
+SELECT c_custkey AS _row_id, c_custkey AS staff_id,
+  CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE given || ' Cust' || CAST(sk AS VARCHAR) END AS full_name,
+  CASE WHEN c_custkey % 7 = 0 THEN NULL
+       WHEN c_custkey % 29 = 0 THEN lower(given) || '.cust' || CAST(sk AS VARCHAR) || '@staff.example.org'
+       ELSE substr(lower(given), 1, 1) || '.cust' || CAST(sk AS VARCHAR) || '@staff.example.org' END AS email,
+  c_mktsegment AS department
+FROM (SELECT *, CASE WHEN c_custkey % 14 = 7 THEN c_custkey - 7 WHEN c_custkey % 10 = 0 THEN c_custkey + 1
+                     ELSE c_custkey END AS sk FROM customer) c LEFT JOIN
+     (SELECT n_nationkey, upper(substr(w, 1, 1)) || lower(substr(w, 2, 1000)) AS given
+      FROM (SELECT n_nationkey, string_split(n_name, ' ')[-1] AS w FROM nation)) n
+     ON c.c_nationkey = n.n_nationkey""",
     "dirty_lineitem": """
 SELECT k AS _row_id, l_orderkey, l_partkey, l_suppkey, l_linenumber,
   CASE WHEN k % 97 = 0 THEN NULL ELSE l_quantity END AS l_quantity,
@@ -70,7 +79,8 @@ SELECT k AS _row_id, l_orderkey, l_partkey, l_suppkey, l_linenumber,
   CASE WHEN k % 17 = 0 THEN lower(l_returnflag) ELSE l_returnflag END AS l_returnflag,
   CASE WHEN k % 19 = 0 THEN l_linestatus || ' ' ELSE l_linestatus END AS l_linestatus,
   CASE WHEN k % 31 = 0 THEN 'n/a' ELSE strftime(l_shipdate, '%Y-%m-%d') END AS l_shipdate
-FROM (SELECT *, l_orderkey * 8 + l_linenumber AS k FROM lineitem) li""",
+FROM (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity,
+        l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) - 1 AS k FROM lineitem) li""",
 }
 
 
