@@ -15,9 +15,9 @@ def is_valid_email(c) -> Column:
     return col_(c).rlike(EMAIL_PATTERN)
 
 
-def normalise_email(c) -> Column:
+def normalise_email(c, stripped: bool = False) -> Column:
     """strip + lower; a known misspelt domain after the last '@' is corrected."""
-    fixed = F.lower(strip(c))
+    fixed = F.lower(col_(c) if stripped else strip(c))
     has_at = F.instr(fixed, "@") > 0
     domain = F.substring_index(fixed, "@", -1)
     local = F.left(fixed, F.length(fixed) - F.length(domain) - 1)

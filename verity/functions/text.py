@@ -43,9 +43,18 @@ def is_title_style(c) -> Column:
     return ~col_(c).rlike(NOT_TITLE)
 
 
+def collapse_ws(c) -> Column:
+    """Runs of whitespace to one space, ends trimmed: ``" ".join(s.split())``."""
+    return F.regexp_replace(F.regexp_replace(col_(c), WS_RUN, " "), "^ | $", "")
+
+
 def words(c) -> Column:
-    """Python ``str.split()``: runs of whitespace, no empty pieces."""
-    return F.filter(F.split(col_(c), WS_RUN), lambda w: w != F.lit(""))
+    """Python ``str.split()``: runs of whitespace, no empty pieces.
+
+    Written without higher-order functions so it stays inside whole-stage codegen.
+    """
+    t = collapse_ws(c)
+    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, " "))
 
 
 def capitalize(w: Column) -> Column:
@@ -54,16 +63,15 @@ def capitalize(w: Column) -> Column:
 
 
 def smart_title(c) -> Column:
-    """Capitalise each word; name particles stay lower unless first."""
-    particles = F.array(*[F.lit(p) for p in NAME_PARTICLES])
-    return F.array_join(
-        F.transform(
-            words(c),
-            lambda w, i: F.when((i > 0) & F.array_contains(particles, F.lower(w)), F.lower(w))
-            .otherwise(capitalize(w)),
-        ),
-        " ",
-    )
+    """Capitalise each word; name particles stay lower unless first.
+
+    ``initcap`` capitalises space-separated words, so whitespace is collapsed
+    first; particles after the first word are then put back to lower case.
+    """
+    out = F.initcap(collapse_ws(c))
+    for p in NAME_PARTICLES:
+        out = F.regexp_replace(out, f"(?<= ){p.capitalize()}(?= |$)", p)
+    return out
 
 
 def contains_any(c, keys) -> Column:

@@ -412,8 +412,8 @@ class Inspection:
         for entries, limited in ((capped, True), (uncapped, False)):
             if not entries:
                 continue
-            long = (ctx.df.select(rid.alias("row"),
-                                  F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("e"))
+            long = (ctx.df.select(rid.alias("row"), F.explode(F.array(*entries)).alias("e"))
+                    .where(F.col("e").isNotNull())
                     .select(F.col("e.seq").alias("seq"), "row", F.col("e.column").alias("column"),
                             F.col("e.value").alias("value")))
             if limited:
@@ -434,6 +434,8 @@ def inspect(df: DataFrame, row_id: str = "_row_id", inspectors=None) -> Inspecti
     """Run all inspectors over ``df`` (``row_id`` orders rows and is not inspected)."""
     if row_id not in df.columns:
         raise ValueError(f"row id column {row_id!r} missing; see verity.operators.rowid.with_row_id")
+    from .parallel import balance
+    df = balance(df)
     columns = [c for c in df.columns if c != row_id]
     dtypes = {f.name: f.dataType for f in df.schema.fields}
     ctx = Context(df, row_id, columns, dtypes)

@@ -1,0 +1,19 @@
+"""Spread narrow inputs over the cluster.
+
+A small file with one row group is read by one task; every later projection and
+partial aggregate would then run on one core.  ``balance`` round-robins such an
+input over the default parallelism.  Inputs that already have at least that many
+partitions (every large table) are returned unchanged, so no shuffle is added
+at scale.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def balance(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    sc = df.sparkSession.sparkContext
+    want = min_partitions or sc.defaultParallelism
+    have = df.rdd.getNumPartitions()
+    return df.repartition(want) if have < want else df

@@ -33,12 +33,14 @@ from ..functions.constants import (BOOLEAN_FALSE, BOOLEAN_TRUE, CURRENCY_PATTERN
                                    TO_BE_DETERMINED)
 from ..functions.dates import date_shape, parse_as, parse_first
 from ..functions.email import normalise_email
-from ..functions.numeric import (DECIMAL_TEXT, castable_float, decimal_value, is_decimal_text,
-                                 is_py_float, py_float_value, py_repr_double)
+from ..functions.numeric import (DECIMAL_TEXT, decimal_value, is_py_float, py_float_value,
+                                 py_repr_double)
 from ..functions.ratings import closest_rating_label, is_rating_word, rating_word_number
 from ..functions.roles import roles_for
-from ..functions.text import (is_lower_style, is_title_style, is_upper_style, py_style,
-                              smart_title, strip, words)
+from ..functions.text import (col_, is_lower_style, is_title_style, is_upper_style, py_style,
+                              smart_title, words)
+from ..functions.text import strip as strip_ws
+from .parallel import balance
 from .rowid import dense_index, with_row_id
 from .stats import exact_median, modes
 
@@ -59,6 +61,17 @@ R_WS, R_NULL, R_NUM, R_RATING, R_COERCE, R_DATE, R_EMAIL, R_PHONE, R_BOOL, R_CRO
 CURRENCY_RX = "(?U)" + CURRENCY_PATTERN
 
 
+def strip(v) -> Column:
+    """F1 strips every value first and no later rule writes edge whitespace, so
+    the later rules' "strip, then compare" reads the value as it is."""
+    return col_(v)
+
+
+def castable_float(v) -> Column:
+    """R10 on an already stripped value: float(v.replace(',', '')) succeeds."""
+    return F.coalesce(is_py_float(F.regexp_replace(col_(v), ",", "")), F.lit(False))
+
+
 @dataclass
 class Branch:
     """One way a rule can hit a cell.  Branches of a column are tried in order."""
@@ -120,13 +133,17 @@ def step(w: Work, rule: int, branches: dict) -> Work:
         chg.append(ch)
         if q is not None:
             rsn.append(q)
-    sel.append(F.concat(F.col("_changes"), F.filter(F.array(*chg), lambda x: x.isNotNull()))
-               .alias("_changes"))
+    # Plain concat keeps the projection inside whole-stage codegen (higher-order
+    # functions such as filter() would not); null slots are dropped at explode time.
+    sel.append(F.concat(F.col("_changes"), F.array(*chg)).alias("_changes"))
     if rsn:
-        sel.append(F.concat(F.col("_reasons"), F.filter(F.array(*rsn), lambda x: x.isNotNull()))
-                   .alias("_reasons"))
+        sel.append(F.concat(F.col("_reasons"), F.array(*rsn)).alias("_reasons"))
+        hit = rsn[0].isNotNull()
+        for r in rsn[1:]:
+            hit = hit | r.isNotNull()
+        sel.append((F.col("_q") | hit).alias("_q"))
     else:
-        sel.append(F.col("_reasons"))
+        sel += [F.col("_reasons"), F.col("_q")]
     return Work(w.df.select(*sel), w.columns, w.roles, w.row_id, w.stats, w.persisted)
 
 
@@ -160,6 +177,7 @@ def stringify(df: DataFrame, row_id: str = "_row_id", roles: dict | None = None)
     """add the row id if missing, cast every content column to text."""
     if row_id not in df.columns:
         df = with_row_id(df, row_id)
+    df = balance(df)
     cols = [c for c in df.columns if c != row_id]
     dtypes = {f.name: f.dataType for f in df.schema.fields}
 
@@ -173,7 +191,8 @@ def stringify(df: DataFrame, row_id: str = "_row_id", roles: dict | None = None)
 
     out = df.select(F.col(row_id).cast("long").alias(row_id), *[text(c).alias(c) for c in cols],
                     F.array().cast(T.ArrayType(CHANGE)).alias("_changes"),
-                    F.array().cast(T.ArrayType(T.StringType())).alias("_reasons"))
+                    F.array().cast(T.ArrayType(T.StringType())).alias("_reasons"),
+                    F.lit(False).alias("_q"))
     return Work(out, cols, roles_for(cols, roles), row_id)
 
 
@@ -183,7 +202,7 @@ def stringify(df: DataFrame, row_id: str = "_row_id", roles: dict | None = None)
 
 def fix_whitespace(w: Work) -> Work:
     """strip both ends of every value."""
-    br = {c: [Branch(F.col(c).isNotNull() & (F.col(c) != strip(c)), strip(c), "fixed",
+    br = {c: [Branch(F.col(c).isNotNull() & (F.col(c) != strip_ws(c)), strip_ws(c), "fixed",
                      lit_s("Leading/trailing whitespace stripped."))] for c in w.columns}
     return step(w, R_WS, br)
 
@@ -285,7 +304,7 @@ def fix_emails(w: Work) -> Work:
         if w.role(c) != "email":
             continue
         v = F.col(c)
-        nv = normalise_email(v)
+        nv = normalise_email(v, stripped=True)
         br[c] = [Branch(v.isNotNull() & (nv != v), nv, "fixed",
                         lit_s("Email normalised (lowercase + domain correction)."))]
     return step(w, R_EMAIL, br)
@@ -699,47 +718,42 @@ class AutofixResult:
     def clean(self, keep_row_id: bool = True) -> DataFrame:
         """O1: rows without quarantine reasons, content columns (+ row id)."""
         cols = ([self.row_id] if keep_row_id else []) + self.columns
-        return self.frame.where(F.size("_reasons") == 0).select(*cols)
+        return self.frame.where(~F.col("_q")).select(*cols)
 
     def quarantine(self) -> DataFrame:
         """O1-O3: quarantined rows, nulls marked TO_BE_DETERMINED, reasons joined."""
-        q = self.frame.where(F.size("_reasons") > 0)
+        q = self.frame.where(F.col("_q"))
         return q.select(F.col(self.row_id),
                         *[F.coalesce(F.col(c), F.lit(TO_BE_DETERMINED)).alias(c) for c in self.columns],
                         F.concat_ws("; ", "_reasons").alias("_issue_reason"))
 
     def all_changes(self) -> DataFrame:
         """Every change including quarantined rows, keyed by row id."""
-        return (self.frame.select(F.col(self.row_id), F.posexplode("_changes").alias("_i", "c"))
-                .select(F.col(self.row_id), "_i", "c.*"))
+        return (self.frame.select(F.col(self.row_id), F.explode("_changes").alias("c"))
+                .where(F.col("c").isNotNull()).select(F.col(self.row_id), "c.*"))
 
     def changes(self) -> DataFrame:
         """Changes of clean rows; ``row`` = position among clean rows."""
-        clean = self.frame.where(F.size("_reasons") == 0).select(self.row_id, "_changes")
+        clean = self.frame.where(~F.col("_q")).select(self.row_id, "_changes")
         indexed = dense_index(clean, self.row_id, "row")
-        return (indexed.select("row", F.col(self.row_id), F.posexplode("_changes").alias("_i", "c"))
-                .select("row", F.col(self.row_id), "_i", F.col("c.rule"), F.col("c.col"),
+        return (indexed.select("row", F.col(self.row_id), F.explode("_changes").alias("c"))
+                .where(F.col("c").isNotNull())
+                .select("row", F.col(self.row_id), F.col("c.rule"), F.col("c.col"),
                         F.col("c.column"), F.col("c.old_value"), F.col("c.new_value"), F.col("c.kind"),
                         F.col("c.reason")))
 
-    def counts(self) -> dict:
-        """O6/O7 counters in one aggregate."""
-        r = self.frame.agg(
-            F.count_if(F.size("_reasons") == 0).alias("clean"),
-            F.count_if(F.size("_reasons") > 0).alias("quarantine"),
-            F.sum(F.when(F.size("_reasons") == 0,
-                         F.size(F.filter("_changes", lambda c: c["kind"] == "fixed")))).alias("applied"),
-        ).first()
-        return {"clean_count": int(r["clean"]), "quarantine_count": int(r["quarantine"]),
-                "changes_applied": int(r["applied"] or 0)}
-
     def counts_frame(self) -> DataFrame:
         """O6/O7 counters as a one-row DataFrame (stays distributed until read)."""
-        return self.frame.agg(
-            F.count_if(F.size("_reasons") == 0).cast("long").alias("clean_count"),
-            F.count_if(F.size("_reasons") > 0).cast("long").alias("quarantine_count"),
-            F.coalesce(F.sum(F.when(F.size("_reasons") == 0, F.size(F.filter(
-                "_changes", lambda c: c["kind"] == "fixed")))), F.lit(0)).cast("long").alias("changes_applied"))
+        rows = self.frame.agg(F.count_if(~F.col("_q")).cast("long").alias("clean_count"),
+                              F.count_if(F.col("_q")).cast("long").alias("quarantine_count"))
+        fixed = (self.frame.where(~F.col("_q")).select(F.explode("_changes").alias("c"))
+                 .agg(F.count_if(F.col("c.kind") == "fixed").cast("long").alias("changes_applied")))
+        return rows.crossJoin(fixed)
+
+    def counts(self) -> dict:
+        r = self.counts_frame().first()
+        return {"clean_count": int(r["clean_count"]), "quarantine_count": int(r["quarantine_count"]),
+                "changes_applied": int(r["changes_applied"])}
 
     def unpersist(self):
         for d in self.plan.get("_persisted", []):

@@ -530,7 +530,6 @@ class RepairSQL:
             self.build()
         return (self._with() +
                 "SELECT CAST(clean._pos AS BIGINT) AS row, clean._row_id, "
-                "CAST(row_number() OVER (PARTITION BY chall._row_id ORDER BY chall.rule, chall.col) - 1 AS INTEGER) AS _i, "
                 "CAST(chall.rule AS INTEGER) AS rule, CAST(chall.col AS INTEGER) AS col, chall.\"column\", "
                 "chall.old_value, chall.new_value, chall.kind, chall.reason "
                 "FROM chall JOIN clean USING (_row_id)")
