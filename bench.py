@@ -26,14 +26,25 @@ def run(df):
     df.write.format("noop").mode("overwrite").save()
 
 
+VIEWS = {}
+
+
+def prepare(spark, sf):
+    """Build the dirtied inputs once (persisted); timed as its own entry."""
+    for v in ("dirty_lineitem", "dirty_orders", "dirty_customer", "dirty_staff"):
+        df = fixtures.view(spark, sf, v).persist()
+        df.count()
+        VIEWS[v] = df
+
+
 def q_inspect(spark, sf, view):
-    ins = inspect(fixtures.view(spark, sf, view))
+    ins = inspect(VIEWS[view])
     run(score_frame(ins))
     run(ins.cells())
 
 
 def q_autofix(spark, sf, view):
-    res = autofix(fixtures.view(spark, sf, view))
+    res = autofix(VIEWS[view])
     run(res.clean())
     run(res.quarantine())
     run(res.changes())
@@ -42,6 +53,7 @@ def q_autofix(spark, sf, view):
 
 
 QUERIES = {
+    "prepare_views": prepare,
     "inspect_score_lineitem": lambda s, sf: q_inspect(s, sf, "dirty_lineitem"),
     "inspect_score_orders": lambda s, sf: q_inspect(s, sf, "dirty_orders"),
     "autofix_orders": lambda s, sf: q_autofix(s, sf, "dirty_orders"),
@@ -60,7 +72,7 @@ def main():
     fixtures.table(spark, sf_dir, "region").count()
     times = {}
     for name, fn in QUERIES.items():
-        if only and name not in only:
+        if only and name not in only and name != "prepare_views":
             continue
         t0 = time.time()
         fn(spark, sf_dir)

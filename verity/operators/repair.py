@@ -200,10 +200,19 @@ def stringify(df: DataFrame, row_id: str = "_row_id", roles: dict | None = None)
 # Row rules without statistics
 # ---------------------------------------------------------------------------
 
+def _edge_ws(v: Column) -> Column:
+    """Cheap pre-test: only a value whose first or last character is whitespace
+    needs the (slower) Unicode strip."""
+    return F.concat(F.left(v, F.lit(1)), F.right(v, F.lit(1))).rlike(r"(?U)\s")
+
+
 def fix_whitespace(w: Work) -> Work:
     """strip both ends of every value."""
-    br = {c: [Branch(F.col(c).isNotNull() & (F.col(c) != strip_ws(c)), strip_ws(c), "fixed",
-                     lit_s("Leading/trailing whitespace stripped."))] for c in w.columns}
+    br = {}
+    for c in w.columns:
+        v = F.col(c)
+        br[c] = [Branch(v.isNotNull() & _edge_ws(v) & (v != strip_ws(v)), strip_ws(v), "fixed",
+                        lit_s("Leading/trailing whitespace stripped."))]
     return step(w, R_WS, br)
 
 
@@ -225,14 +234,23 @@ def _currency_hit(v: Column) -> Column:
     return strip(v).rlike(CURRENCY_RX)
 
 
+_CURRENCY_MARKS = "$€£¥₹,"
+
+
+def _has_currency_mark(v: Column) -> Column:
+    """Only text holding a symbol or a comma can change under F3 (the value is
+    stripped, and the pattern allows inner spaces only after a symbol)."""
+    return F.length(F.translate(v, _CURRENCY_MARKS, "")) != F.length(v)
+
+
 def fix_numeric_strings(w: Work, apply_cols) -> Work:
     """currency symbols and thousands separators removed in chosen columns."""
     br = {}
     for c in apply_cols:
         v = F.col(c)
         cleaned = _currency_clean(v)
-        br[c] = [Branch(v.isNotNull() & _currency_hit(v) & (cleaned != strip(v)), cleaned, "fixed",
-                        lit_s("Currency symbol / thousand-separator removed."))]
+        br[c] = [Branch(v.isNotNull() & _has_currency_mark(v) & _currency_hit(v) & (cleaned != strip(v)),
+                        cleaned, "fixed", lit_s("Currency symbol / thousand-separator removed."))]
     return step(w, R_NUM, br)
 
 
@@ -376,24 +394,42 @@ def _after_rating(w: Work, c: str, v: Column) -> Column:
 
 
 def plan_numeric_and_coerce(w: Work):
-    """B1: decide F3 columns, and F5/F6 columns given that decision."""
+    """B1: decide F3 columns, and F5/F6 columns given that decision.
+
+    Per-value flags are projected once (so no regex runs twice for a value),
+    then one aggregate counts them.  The F5/F6 shares are counted for both
+    outcomes of F3; the value only differs where F3 would rewrite it.
+    """
     skip = {"id", "email", "phone", "date", "name"}
-    aggs = {}
-    for c in w.columns:
+    first, second, aggs = [F.lit(1).alias("_one")], [F.col("_one")], {}
+    for i, c in enumerate(w.columns):
         v = F.col(c)
-        aggs[("nn", c)] = F.count(v)
-        if w.role(c) not in skip:
-            aggs[("cur", c)] = F.count_if(v.isNotNull() & _currency_hit(v))
-        for variant in ("raw", "f3"):
-            if variant == "f3" and w.role(c) in skip:
-                continue
-            base = v
-            if variant == "f3":
-                base = F.when(v.isNotNull() & _currency_hit(v), _currency_clean(v)).otherwise(v)
-            x = _after_rating(w, c, base)
-            aggs[("num", variant, c)] = F.count_if(x.isNotNull() & castable_float(x))
-            aggs[("txt", variant, c)] = F.count_if(x.isNotNull() & is_rating_word(F.lower(strip(x))))
-    s = barrier(w, aggs)
+        x = _after_rating(w, c, v)
+        first += [v.isNotNull().alias(f"_nn{i}"),
+                  (v.isNotNull() & castable_float(x)).alias(f"_nr{i}"),
+                  (v.isNotNull() & is_rating_word(F.lower(x))).alias(f"_tr{i}")]
+        second += [F.col(f"_nn{i}"), F.col(f"_nr{i}"), F.col(f"_tr{i}")]
+        aggs[("nn", c)] = F.count_if(F.col(f"_nn{i}"))
+        aggs[("num", "raw", c)] = F.count_if(F.col(f"_nr{i}"))
+        aggs[("txt", "raw", c)] = F.count_if(F.col(f"_tr{i}"))
+        if w.role(c) in skip:
+            continue
+        hit = v.isNotNull() & _currency_hit(v)
+        mark = v.isNotNull() & _has_currency_mark(v)
+        cleaned = F.when(mark & _currency_hit(v), _after_rating(w, c, _currency_clean(v)))
+        first += [hit.alias(f"_h{i}"), cleaned.isNotNull().alias(f"_m{i}"), cleaned.alias(f"_c{i}")]
+        second += [F.col(f"_h{i}"),
+                   F.when(F.col(f"_m{i}"), castable_float(F.col(f"_c{i}")))
+                   .otherwise(F.col(f"_nr{i}")).alias(f"_nf{i}"),
+                   F.when(F.col(f"_m{i}"), is_rating_word(F.lower(F.col(f"_c{i}"))))
+                   .otherwise(F.col(f"_tr{i}")).alias(f"_tf{i}")]
+        aggs[("cur", c)] = F.count_if(F.col(f"_h{i}"))
+        aggs[("num", "f3", c)] = F.count_if(F.col(f"_nf{i}"))
+        aggs[("txt", "f3", c)] = F.count_if(F.col(f"_tf{i}"))
+    flags = w.df.select(*first).select(*second)
+    names = list(aggs)
+    row = flags.agg(*[aggs[n].alias(f"s{k}") for k, n in enumerate(names)]).first()
+    s = {n: row[f"s{k}"] for k, n in enumerate(names)}
     f3 = [c for c in w.columns
           if ("cur", c) in s and s[("nn", c)] >= 3 and s[("cur", c)] / s[("nn", c)] >= 0.5]
     to_labels, to_numbers = [], []

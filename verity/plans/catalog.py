@@ -116,3 +116,130 @@ def _register_repair(view: str):
 
 for _v in REPAIR_VIEWS:
     _register_repair(_v)
+
+
+# ---------------------------------------------------------------------------
+# Review operations (V1-V9) on the repaired customer table
+# ---------------------------------------------------------------------------
+
+def _review_sql():
+    from .oracle_inspect import ident
+    from .oracle_repair import RepairSQL
+    rs = RepairSQL("dirty_customer")
+    rs.build()
+    base = rs._with()
+    names = rs.names
+    cols = ", ".join(ident(c) for c in names)
+
+    def apply(cells_cte: str) -> str:
+        piv = ", ".join(f"max(CASE WHEN \"column\" = '{c}' THEN value END) AS \"v_{c}\", "
+                        f"bool_or(\"column\" = '{c}') AS \"w_{c}\"" for c in names)
+        out = ", ".join(f"CASE WHEN coalesce(p.\"w_{c}\", FALSE) THEN p.\"v_{c}\" ELSE t.{ident(c)} END AS {ident(c)}"
+                        for c in names)
+        return (f", cells AS ({cells_cte}), piv AS (SELECT _row_id, {piv} FROM cells GROUP BY _row_id)\n"
+                f"SELECT t._row_id, {out} FROM clean t LEFT JOIN piv p USING (_row_id)")
+
+    ch = "SELECT chall.* FROM chall JOIN clean USING (_row_id)"
+    sql = {}
+    sql["deny"] = base.rstrip() + apply(
+        f"SELECT _row_id, \"column\", arg_max(old_value, rule * 100000 + col) AS value FROM ({ch}) GROUP BY ALL")
+    sql["accept"] = base.rstrip() + apply(
+        f"SELECT _row_id, \"column\", l.new_value AS value FROM (SELECT _row_id, \"column\", "
+        f"arg_max({{'new_value': new_value, 'kind': kind}}, rule * 100000 + col) AS l FROM ({ch}) GROUP BY ALL) "
+        f"WHERE l.kind <> 'critical' AND l.new_value <> ''")
+    sql["accept_ui"] = base.rstrip() + apply(
+        f"SELECT _row_id, \"column\", arg_max(new_value, rule * 100000 + col) AS value FROM ({ch}) "
+        f"WHERE kind <> 'critical' AND new_value <> '' GROUP BY ALL")
+    cond = " OR ".join(f"coalesce(contains(lower(CAST({ident(c)} AS VARCHAR)), 'machinery'), FALSE)" for c in names)
+    sql["search"] = base + f"SELECT _row_id, {cols} FROM clean WHERE {cond}"
+    sql["last_change"] = base + (
+        "SELECT _row_id, \"column\", l.rule AS rule, l.col AS col, l.old_value AS old_value, "
+        "l.new_value AS new_value, l.kind AS kind, l.reason AS reason FROM (SELECT _row_id, \"column\", "
+        "arg_max({'rule': CAST(rule AS INTEGER), 'col': CAST(col AS INTEGER), 'old_value': old_value, "
+        "'new_value': new_value, 'kind': kind, 'reason': reason}, rule * 100000 + col) AS l FROM chall GROUP BY ALL)")
+    sql["row_kind"] = base + (
+        "SELECT _row_id, arg_max(kind, CASE kind WHEN 'critical' THEN 3 WHEN 'warning' THEN 2 ELSE 1 END) AS kind "
+        "FROM chall GROUP BY _row_id")
+    sql["stats"] = base + (
+        "SELECT CAST(count_if(NOT (kind = 'critical' OR new_value = '')) AS BIGINT) AS acceptable, "
+        "CAST(count_if(kind = 'critical' OR new_value = '') AS BIGINT) AS needs_review FROM chall")
+    sql["merge"] = base + (
+        f"SELECT _row_id, {cols} FROM clean UNION ALL SELECT _row_id, "
+        + ", ".join(f"coalesce({ident(c)}, 'TO_BE_DETERMINED') AS {ident(c)}" for c in names)
+        + " FROM fin WHERE _row_id IN (SELECT _row_id FROM qids)")
+    return sql
+
+
+_RSQL = _review_sql()
+
+
+def _customer_fix(spark, sf_dir):
+    return _autofix(spark, sf_dir, "dirty_customer")
+
+
+@register("review_deny_all_customer", _RSQL["deny"])
+def _review_deny(spark, sf_dir):
+    from ..operators.review import deny_changes
+    r = _customer_fix(spark, sf_dir)
+    return deny_changes(r.clean(), r.changes())
+
+
+@register("review_accept_all_customer", _RSQL["accept"])
+def _review_accept(spark, sf_dir):
+    from ..operators.review import accept_changes
+    r = _customer_fix(spark, sf_dir)
+    return accept_changes(r.clean(), r.changes())
+
+
+@register("review_accept_all_ui_customer", _RSQL["accept_ui"])
+def _review_accept_ui(spark, sf_dir):
+    from ..operators.review import accept_changes
+    r = _customer_fix(spark, sf_dir)
+    return accept_changes(r.clean(), r.changes(), mode="ui")
+
+
+@register("review_search_customer", _RSQL["search"])
+def _review_search(spark, sf_dir):
+    from ..operators.review import search_rows
+    return search_rows(_customer_fix(spark, sf_dir).clean(), "MachiNery")
+
+
+@register("review_last_change_customer", _RSQL["last_change"])
+def _review_last(spark, sf_dir):
+    from ..operators.review import last_change_per_cell
+    return last_change_per_cell(_customer_fix(spark, sf_dir).all_changes())
+
+
+@register("review_row_kind_customer", _RSQL["row_kind"])
+def _review_row_kind(spark, sf_dir):
+    from ..operators.review import row_change_kind
+    return row_change_kind(_customer_fix(spark, sf_dir).all_changes())
+
+
+@register("review_change_stats_customer", _RSQL["stats"])
+def _review_stats(spark, sf_dir):
+    from ..operators.review import change_stats
+    return change_stats(_customer_fix(spark, sf_dir).all_changes())
+
+
+@register("review_merge_quarantine_customer", _RSQL["merge"])
+def _review_merge(spark, sf_dir):
+    from ..operators.review import merge_quarantine
+    r = _customer_fix(spark, sf_dir)
+    merged, _rest = merge_quarantine(r.clean(), r.quarantine())
+    return merged
+
+
+def _cell_severity_sql(view: str) -> str:
+    isql = InspectSQL(view)
+    return (f"WITH {isql.ctes()},\ncells AS ({isql.cells_sql(True)})\n"
+            "SELECT CAST(cells.row AS BIGINT) AS row, cells.\"column\", arg_max(iss.severity, CASE iss.severity "
+            "WHEN 'critical' THEN 4 WHEN 'error' THEN 3 WHEN 'warning' THEN 2 ELSE 1 END) AS severity "
+            "FROM cells JOIN iss USING (k1, k2, k3) GROUP BY ALL")
+
+
+@register("review_cell_severity_customer", _cell_severity_sql("dirty_customer"))
+def _review_cell_sev(spark, sf_dir):
+    from ..operators.review import cell_severity
+    ins = _inspection(spark, sf_dir, "dirty_customer")
+    return cell_severity(ins.cells(), ins.issues())
