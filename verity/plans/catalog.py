@@ -163,6 +163,10 @@ def _review_sql():
     sql["stats"] = base + (
         "SELECT CAST(count_if(NOT (kind = 'critical' OR new_value = '')) AS BIGINT) AS acceptable, "
         "CAST(count_if(kind = 'critical' OR new_value = '') AS BIGINT) AS needs_review FROM chall")
+    sql["export"] = base + (
+        f"SELECT {cols} FROM clean UNION ALL SELECT "
+        + ", ".join(f"coalesce({ident(c)}, 'TO_BE_DETERMINED') AS {ident(c)}" for c in names)
+        + " FROM fin WHERE _row_id IN (SELECT _row_id FROM qids)")
     sql["merge"] = base + (
         f"SELECT _row_id, {cols} FROM clean UNION ALL SELECT _row_id, "
         + ", ".join(f"coalesce({ident(c)}, 'TO_BE_DETERMINED') AS {ident(c)}" for c in names)
@@ -243,3 +247,165 @@ def _review_cell_sev(spark, sf_dir):
     from ..operators.review import cell_severity
     ins = _inspection(spark, sf_dir, "dirty_customer")
     return cell_severity(ins.cells(), ins.issues())
+
+
+# ---------------------------------------------------------------------------
+# Sources and sinks
+# ---------------------------------------------------------------------------
+
+def _scratch(spark, name):
+    from ..session import scratch_path
+    return scratch_path(spark, name)
+
+
+def _all_text(df):
+    from pyspark.sql import functions as F
+    return df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in df.columns])
+
+
+def _varchar_sql(view, cols, src=None):
+    from .oracle_inspect import ident
+    return "SELECT " + ", ".join(f"CAST({ident(c)} AS VARCHAR) AS {ident(c)}" for c in cols) + \
+        f" FROM {src or view}"
+
+
+_CUST_COLS = ["_row_id"] + [c for c, _ in __import__("verity.plans.oracle_inspect",
+                                                      fromlist=["VIEW_COLUMNS"]).VIEW_COLUMNS["dirty_customer"]]
+_ORD_COLS = ["_row_id"] + [c for c, _ in __import__("verity.plans.oracle_inspect",
+                                                     fromlist=["VIEW_COLUMNS"]).VIEW_COLUMNS["dirty_orders"]]
+
+
+@register("source_csv_roundtrip_customer",
+          f"WITH dirty_customer AS ({__import__('verity.plans.views_sql', fromlist=['VIEW_SQL']).VIEW_SQL['dirty_customer']})\n"
+          + _varchar_sql("dirty_customer", _CUST_COLS))
+def _src_csv(spark, sf_dir):
+    from ..sources.readers import read_csv
+    from ..sources.writers import write_csv
+    path = _scratch(spark, "csv")
+    write_csv(fixtures.view(spark, sf_dir, "dirty_customer"), path)
+    return _all_text(read_csv(spark, path))
+
+
+@register("source_tsv_roundtrip_orders",
+          f"WITH dirty_orders AS ({__import__('verity.plans.views_sql', fromlist=['VIEW_SQL']).VIEW_SQL['dirty_orders']})\n"
+          + _varchar_sql("dirty_orders", _ORD_COLS))
+def _src_tsv(spark, sf_dir):
+    from ..sources.readers import read_tsv
+    from ..sources.writers import write_tsv
+    path = _scratch(spark, "tsv")
+    write_tsv(fixtures.view(spark, sf_dir, "dirty_orders"), path)
+    return _all_text(read_tsv(spark, path))
+
+
+@register("source_json_roundtrip_events",
+          "SELECT CAST(CAST(event_id AS DOUBLE) AS VARCHAR) AS event_id, event_type, props, "
+          "CAST(CAST(user_id AS DOUBLE) AS VARCHAR) AS user_id, CAST(value AS VARCHAR) AS value FROM events")
+def _src_json(spark, sf_dir):
+    from ..sources.readers import read_json_records
+    from ..sources.writers import write_json
+    path = _scratch(spark, "json")
+    ev = fixtures.table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", "props")
+    write_json(ev, path)
+    return read_json_records(spark, path, multiline=False)
+
+
+@register("source_drop_junk_columns_orders", "SELECT * FROM orders")
+def _src_junk(spark, sf_dir):
+    from pyspark.sql import functions as F
+    from ..sources.readers import drop_junk_columns
+    o = fixtures.table(spark, sf_dir, "orders")
+    with_junk = o.select(F.col("o_orderkey").alias("Unnamed: 0"), "*",
+                         F.col("o_orderkey").alias("__index_level_0__"))
+    return drop_junk_columns(with_junk)
+
+
+@register("source_drop_all_null_columns_events",
+          f"WITH dirty_events AS ({__import__('verity.plans.views_sql', fromlist=['VIEW_SQL']).VIEW_SQL['dirty_events']})\n"
+          "SELECT _row_id, record_no, user_id, kind, amount FROM dirty_events")
+def _src_nullcols(spark, sf_dir):
+    from ..sources.readers import drop_all_null_columns
+    return drop_all_null_columns(fixtures.view(spark, sf_dir, "dirty_events"))
+
+
+@register("source_try_cast_numeric_orders",
+          f"WITH dirty_orders AS ({__import__('verity.plans.views_sql', fromlist=['VIEW_SQL']).VIEW_SQL['dirty_orders']})\n"
+          "SELECT CAST(_row_id AS DOUBLE) AS _row_id, CAST(record_no AS DOUBLE) AS record_no, "
+          "CAST(user_id AS DOUBLE) AS user_id, status, amount, order_date_mixed, ship_date FROM dirty_orders")
+def _src_trycast(spark, sf_dir):
+    from ..sources.readers import try_cast_numeric
+    return try_cast_numeric(fixtures.view(spark, sf_dir, "dirty_orders"))
+
+
+@register("source_to_records_events",
+          f"WITH dirty_events AS ({__import__('verity.plans.views_sql', fromlist=['VIEW_SQL']).VIEW_SQL['dirty_events']})\n"
+          "SELECT CAST(_row_id AS VARCHAR) AS _row_id, CAST(record_no AS VARCHAR) AS record_no, "
+          "CAST(user_id AS VARCHAR) AS user_id, coalesce(kind, '') AS kind, "
+          "CASE WHEN amount IS NULL OR isnan(amount) OR isinf(amount) THEN '' ELSE CAST(amount AS VARCHAR) END AS amount, "
+          "coalesce(note, '') AS note FROM dirty_events")
+def _src_records(spark, sf_dir):
+    from ..sources.writers import to_records
+    return to_records(fixtures.view(spark, sf_dir, "dirty_events"))
+
+
+@register("source_export_full_customer", _RSQL["export"])
+def _src_export(spark, sf_dir):
+    from ..sources.writers import export_variant
+    r = _customer_fix(spark, sf_dir)
+    return export_variant(r.clean(), r.quarantine(), "full")
+
+
+# ---------------------------------------------------------------------------
+# Run history (H1-H4), exercised with entries derived from the events table
+# ---------------------------------------------------------------------------
+
+_HIST_CTE = ("WITH entries AS (SELECT CAST(event_id AS VARCHAR) AS id, CAST(user_id AS VARCHAR) AS user_id, "
+             "event_type || '.csv' AS filename, 'csv' AS original_format, CAST(NULL AS BIGINT) AS row_count, "
+             "CAST(NULL AS BIGINT) AS column_count, CAST(floor(value) AS BIGINT) AS quality_score_before, "
+             "CAST(NULL AS BIGINT) AS quality_score_after, CAST(NULL AS VARCHAR) AS file_content, "
+             "props AS report_json, CAST(ts AS TIMESTAMP) AS created_at FROM events),\n"
+             "u AS (SELECT min(user_id) AS uid FROM events)\n")
+
+
+def _entries(spark, sf_dir):
+    from ..operators.history import entries_from_events
+    return entries_from_events(fixtures.table(spark, sf_dir, "events"))
+
+
+def _first_user(spark, sf_dir):
+    from pyspark.sql import functions as F
+    return str(fixtures.table(spark, sf_dir, "events").agg(F.min("user_id")).first()[0])
+
+
+@register("history_retain_events", _HIST_CTE +
+          "SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, "
+          "id DESC) AS rn FROM entries) WHERE rn <= 50")
+def _hist_retain(spark, sf_dir):
+    from ..operators.history import retain
+    return retain(_entries(spark, sf_dir))
+
+
+@register("history_recent_events", _HIST_CTE +
+          "SELECT id, filename, original_format, row_count, column_count, quality_score_before, "
+          "quality_score_after, created_at FROM entries WHERE user_id = (SELECT CAST(uid AS VARCHAR) FROM u) "
+          "ORDER BY created_at DESC, id DESC LIMIT 10")
+def _hist_recent(spark, sf_dir):
+    from ..operators.history import history_recent
+    return history_recent(_entries(spark, sf_dir), _first_user(spark, sf_dir), 10)
+
+
+@register("history_clear_events", _HIST_CTE +
+          "SELECT * FROM entries WHERE user_id <> (SELECT CAST(uid AS VARCHAR) FROM u)")
+def _hist_clear(spark, sf_dir):
+    from ..operators.history import history_clear
+    return history_clear(_entries(spark, sf_dir), _first_user(spark, sf_dir))
+
+
+@register("history_delete_events", _HIST_CTE +
+          "SELECT * FROM entries WHERE id <> (SELECT CAST(min(event_id) AS VARCHAR) FROM events)")
+def _hist_delete(spark, sf_dir):
+    from pyspark.sql import functions as F
+    from ..operators.history import history_delete
+    ev = fixtures.table(spark, sf_dir, "events")
+    first = ev.agg(F.min("event_id")).first()[0]
+    uid = ev.where(F.col("event_id") == first).first()["user_id"]
+    return history_delete(_entries(spark, sf_dir), str(first), str(uid))
