@@ -824,3 +824,63 @@ def autofix(df: DataFrame, row_id: str = "_row_id", roles: dict | None = None,
     plan = {"numeric_strings": f3, "to_labels": to_labels, "to_numbers": to_numbers, "dates": dates,
             "booleans": bools, "missing": missing, "casing": casing, "_persisted": w.persisted}
     return AutofixResult(w.df, w.columns, row_id, plan)
+
+
+# ---------------------------------------------------------------------------
+# R2 / R3 / R7 as stand-alone operators returning DataFrames
+# ---------------------------------------------------------------------------
+
+def dominant_date_formats(df: DataFrame, row_id: str = "_row_id", roles: dict | None = None) -> DataFrame:
+    """R2 for every date-role column: (column, format) of the most frequent shape
+    (ties: the shape seen first), null when no value has a date shape."""
+    w = stringify(df, row_id, roles)
+    spark = df.sparkSession
+    date_cols = [c for c in w.columns if w.role(c) == "date"]
+    aggs = {}
+    for c in date_cols:
+        shape = date_shape(strip_ws(F.col(c)))
+        for i in range(len(DATE_FORMATS)):
+            hit = F.col(c).isNotNull() & (shape == i)
+            aggs[("dn", i, c)] = F.count_if(hit)
+            aggs[("df", i, c)] = F.min(F.when(hit, F.col(row_id)))
+    s = barrier(w, aggs)
+    rows = []
+    for c in date_cols:
+        seen = [(s[("dn", i, c)], s[("df", i, c)], i) for i in range(len(DATE_FORMATS)) if s[("dn", i, c)] > 0]
+        fmt = DATE_FORMATS[max(seen, key=lambda t: (t[0], -t[1]))[2]][1] if seen else None
+        rows.append((c, fmt))
+    return spark.createDataFrame(rows, "column string, format string")
+
+
+def numeric_columns(df: DataFrame, row_id: str = "_row_id") -> DataFrame:
+    """R3 for every column: numeric type, or text whose castable share of
+    non-null values is above 0.6."""
+    cols = [c for c in df.columns if c != row_id]
+    num_types = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
+                 T.DecimalType)
+    aggs = []
+    for i, c in enumerate(cols):
+        aggs += [F.count(F.col(c)).alias(f"n{i}"), F.count(decimal_value(F.col(c).cast("string"))).alias(f"k{i}")]
+    r = df.agg(*aggs).first()
+    rows = []
+    for i, c in enumerate(cols):
+        dt = df.schema[c].dataType
+        if isinstance(dt, num_types):
+            ok = True
+        elif isinstance(dt, T.StringType):
+            ok = r[f"n{i}"] > 0 and r[f"k{i}"] / r[f"n{i}"] > 0.6
+        else:
+            ok = False
+        rows.append((c, ok))
+    return df.sparkSession.createDataFrame(rows, "column string, is_numeric boolean")
+
+
+def naming_pattern(df: DataFrame, email_col: str, name_col: str, row_id: str = "_row_id") -> DataFrame:
+    """R7 for one (e-mail, name) column pair, as one row (nulls when no pattern)."""
+    w = stringify(df, row_id)
+    w = fix_whitespace(w)
+    info = email_naming_pattern(w, email_col, name_col)
+    row = ((info["pattern"], info["name_order"], info["domain"], float(info["confidence"]))
+           if info else (None, None, None, None))
+    return df.sparkSession.createDataFrame(
+        [row], "pattern string, name_order string, domain string, confidence double")

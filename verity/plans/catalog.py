@@ -409,3 +409,113 @@ def _hist_delete(spark, sf_dir):
     first = ev.agg(F.min("event_id")).first()[0]
     uid = ev.where(F.col("event_id") == first).first()["user_id"]
     return history_delete(_entries(spark, sf_dir), str(first), str(uid))
+
+
+# ---------------------------------------------------------------------------
+# Column statistics operators (R2, R3, R7) and scalar functions
+# ---------------------------------------------------------------------------
+
+def _vsql(view):
+    from .views_sql import VIEW_SQL
+    return f"WITH {view} AS ({VIEW_SQL[view]})\n"
+
+
+@register("fn_dominant_date_format_orders", _vsql("dirty_orders") + """
+, shapes AS (
+  SELECT c, fmt, count(*) AS n, min(_row_id) AS fr FROM (
+    SELECT _row_id, 'order_date_mixed' AS c, order_date_mixed AS v FROM dirty_orders
+    UNION ALL SELECT _row_id, 'ship_date', ship_date FROM dirty_orders)
+  CROSS JOIN LATERAL (SELECT CASE
+      WHEN regexp_matches(v, '^\\d{4}-\\d{2}-\\d{2}$') THEN '%Y-%m-%d'
+      WHEN regexp_matches(v, '^\\d{2}/\\d{2}/\\d{4}$') THEN '%m/%d/%Y'
+      WHEN regexp_matches(v, '^\\d{2}-\\d{2}-\\d{4}$') THEN '%m-%d-%Y'
+      WHEN regexp_matches(v, '^\\d{2}\\.\\d{2}\\.\\d{4}$') THEN '%d.%m.%Y'
+      WHEN regexp_matches(v, '^\\d{4}/\\d{2}/\\d{2}$') THEN '%Y/%m/%d' END AS fmt)
+  WHERE fmt IS NOT NULL GROUP BY c, fmt)
+SELECT c AS "column", first(fmt ORDER BY n DESC, fr ASC) AS format FROM shapes GROUP BY c""")
+def _fn_dates(spark, sf_dir):
+    from ..operators.repair import dominant_date_formats
+    return dominant_date_formats(fixtures.view(spark, sf_dir, "dirty_orders"))
+
+
+@register("fn_numeric_columns_orders", _vsql("dirty_orders") + """
+SELECT * FROM (VALUES ('record_no', TRUE), ('user_id', TRUE)) t("column", is_numeric)
+UNION ALL
+SELECT c, count(x) > 0 AND count(d) / count(x) > 0.6 FROM (
+  SELECT 'status' AS c, status AS x FROM dirty_orders UNION ALL SELECT 'amount', amount FROM dirty_orders
+  UNION ALL SELECT 'order_date_mixed', order_date_mixed FROM dirty_orders
+  UNION ALL SELECT 'ship_date', ship_date FROM dirty_orders)
+CROSS JOIN LATERAL (SELECT CASE WHEN regexp_matches(x, '^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?$')
+                                THEN CAST(x AS DOUBLE) END AS d)
+GROUP BY c""")
+def _fn_numeric(spark, sf_dir):
+    from ..operators.repair import numeric_columns
+    return numeric_columns(fixtures.view(spark, sf_dir, "dirty_orders"))
+
+
+def _pattern_sql(view, ecol, ncol):
+    from .oracle_repair import RepairSQL
+    rs = RepairSQL(view)
+    rs.ctes.append(f"{view} AS ({__import__('verity.plans.views_sql', fromlist=['VIEW_SQL']).VIEW_SQL[view]}\n)")
+    cast = ", ".join(f"CAST(\"{c}\" AS VARCHAR) AS \"{c}\"" for c in rs.names)
+    rs.add("s0", f"SELECT CAST(_row_id AS BIGINT) AS _row_id, {cast} FROM {view}")
+    from .oracle_repair import strip
+    rs.step(1, {c: [(f"\"{c}\" IS NOT NULL AND \"{c}\" <> {strip(chr(34) + c + chr(34))}",
+                     strip(chr(34) + c + chr(34)), "'fixed'", "''", True, False)] for c in rs.names})
+    rs.cross(0, ecol, ncol)
+    body = "WITH " + ",\n".join(rs.ctes)
+    pats = "CASE p " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(
+        ("first.last", "first.linit", "finit.last", "last.first", "last.finit", "first"))) + " END"
+    return (body + f"\nSELECT max({pats}) AS pattern, max(CASE o WHEN 0 THEN 'first_last' ELSE 'last_first' END) "
+            f"AS name_order, max(dom) AS domain, max(conf) AS confidence FROM (SELECT 1) d LEFT JOIN x0_ok ON TRUE")
+
+
+@register("fn_naming_pattern_staff", _pattern_sql("dirty_staff", "email", "full_name"))
+def _fn_pattern_staff(spark, sf_dir):
+    from ..operators.repair import naming_pattern
+    return naming_pattern(fixtures.view(spark, sf_dir, "dirty_staff"), "email", "full_name")
+
+
+@register("fn_naming_pattern_people", _pattern_sql("dirty_people", "work_email", "employee_name"))
+def _fn_pattern_people(spark, sf_dir):
+    from ..operators.repair import naming_pattern
+    return naming_pattern(fixtures.view(spark, sf_dir, "dirty_people"), "work_email", "employee_name")
+
+
+def _scalar_sql():
+    from . import oracle_repair as O
+    return ("SELECT p_partkey, " + O.smart_title("p_name") + " AS title, "
+            + O.rating_number("lower(p_type)") + " AS rating, "
+            + O.rating_label("(p_size / 10.0)") + " AS label, "
+            + O.castable_float("p_brand") + " AS castable, "
+            + O.castable_float("CAST(p_retailprice AS VARCHAR)") + " AS castable_price, "
+            + O.title_style("p_name") + " AS is_title FROM part")
+
+
+@register("fn_scalars_part", _scalar_sql())
+def _fn_scalars(spark, sf_dir):
+    from pyspark.sql import functions as F
+    from ..functions import (castable_float, closest_rating_label, is_title_style, rating_word_number,
+                             smart_title)
+    p = fixtures.table(spark, sf_dir, "part")
+    return p.select("p_partkey", smart_title("p_name").alias("title"),
+                    rating_word_number(F.lower("p_type")).alias("rating"),
+                    closest_rating_label(F.col("p_size") / 10.0).alias("label"),
+                    castable_float("p_brand").alias("castable"),
+                    castable_float(F.col("p_retailprice").cast("string")).alias("castable_price"),
+                    is_title_style("p_name").alias("is_title"))
+
+
+@register("fn_email_phone_customer", _vsql("dirty_customer") +
+          "SELECT _row_id, " + __import__("verity.plans.oracle_repair", fromlist=["x"]).email_norm("email")
+          + " AS email_norm, " + __import__("verity.plans.oracle_repair", fromlist=["x"]).valid_email(
+              __import__("verity.plans.oracle_repair", fromlist=["x"]).email_norm("email"))
+          + " AS email_ok, " + __import__("verity.plans.oracle_repair", fromlist=["x"]).phone("phone")
+          + " AS phone_fmt FROM dirty_customer")
+def _fn_email_phone(spark, sf_dir):
+    from ..functions import is_valid_email, normalise_email
+    from ..operators.repair import phone_format
+    d = fixtures.view(spark, sf_dir, "dirty_customer")
+    e = normalise_email("email")
+    return d.select("_row_id", e.alias("email_norm"), is_valid_email(e).alias("email_ok"),
+                    phone_format(d.phone).alias("phone_fmt"))
