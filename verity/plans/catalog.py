@@ -519,3 +519,65 @@ def _fn_email_phone(spark, sf_dir):
     e = normalise_email("email")
     return d.select("_row_id", e.alias("email_norm"), is_valid_email(e).alias("email_ok"),
                     phone_format(d.phone).alias("phone_fmt"))
+
+
+# ---------------------------------------------------------------------------
+# Q7 quality report (flattened for the SQL check) and Q10 before / after repair
+# ---------------------------------------------------------------------------
+
+def _report_sql(view: str) -> str:
+    isql = InspectSQL(view)
+    k = len(isql.cols)
+    return (f"WITH {isql.ctes()},\n{isql.score_ctes()}\n"
+            f"SELECT '{view}' AS filename, CAST(n AS BIGINT) AS total_rows, CAST({k} AS BIGINT) AS total_columns, "
+            f"0.0 AS file_size_mb, overall AS overall_quality_score, 'Summary pending…' AS executive_summary, "
+            f"CAST(round_even(completeness, 0) AS BIGINT) AS completeness, "
+            f"CAST(round_even(uniqueness, 0) AS BIGINT) AS uniqueness, "
+            f"CAST(round_even(consistency, 0) AS BIGINT) AS consistency, "
+            f"CAST(round_even(accuracy, 0) AS BIGINT) AS accuracy, CAST(round_even(fmt, 0) AS BIGINT) AS format, "
+            f"CASE WHEN overall >= 80 THEN 'GREEN' WHEN overall >= 50 THEN 'YELLOW' ELSE 'RED' END AS traffic_light, "
+            f"CAST((SELECT count(*) FROM iss) AS INTEGER) AS n_issues FROM sc")
+
+
+def _flat_report(spark, sf_dir, view):
+    from pyspark.sql import functions as F
+    from ..operators.score import quality_report
+    rep = quality_report(_inspection(spark, sf_dir, view), filename=view)
+    return rep.select("dataset_meta.*", "overall_quality_score", "executive_summary", "category_breakdown.*",
+                      "traffic_light", F.size("issues").alias("n_issues"))
+
+
+for _v in ("dirty_orders", "dirty_customer"):
+    register(f"quality_report_{_v.replace('dirty_', '')}", _report_sql(_v))(
+        lambda spark, sf_dir, _v=_v: _flat_report(spark, sf_dir, _v))
+
+
+def _before_after_sql(view: str) -> str:
+    from .oracle_repair import RepairSQL
+    rs = RepairSQL(view)
+    rs.build()
+    repair_ctes = rs._with()[len("WITH "):].rstrip()
+    cols = ", ".join(f"\"{c}\"" for c in rs.names)
+    src = repair_ctes + f",\ncleanv AS (SELECT _row_id, {cols} FROM clean)"
+    before = InspectSQL(view).score_sql()
+    after = InspectSQL("cleanv", cols=[(c, "s") for c in rs.names], source_ctes=src).score_sql()
+    return (f"SELECT *, 'before' AS phase FROM ({before})\nUNION ALL\n"
+            f"SELECT *, 'after' AS phase FROM ({after})")
+
+
+@register("score_before_after_customer", _before_after_sql("dirty_customer"))
+def _before_after(spark, sf_dir):
+    from ..operators.inspect import inspect
+    from ..operators.score import score_before_after
+    before = _inspection(spark, sf_dir, "dirty_customer")
+    after = inspect(_customer_fix(spark, sf_dir).clean())
+    return score_before_after(before, after)
+
+
+@register("score_before_after_orders", _before_after_sql("dirty_orders"))
+def _before_after_orders(spark, sf_dir):
+    from ..operators.inspect import inspect
+    from ..operators.score import score_before_after
+    before = _inspection(spark, sf_dir, "dirty_orders")
+    after = inspect(_autofix(spark, sf_dir, "dirty_orders").clean())
+    return score_before_after(before, after)

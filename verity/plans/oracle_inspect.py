@@ -87,9 +87,10 @@ def bad_email_sql(c: str) -> str:
 class InspectSQL:
     """SQL fragments for one view: stats CTE, issues CTE, cells CTE."""
 
-    def __init__(self, view: str):
+    def __init__(self, view: str, cols=None, source_ctes: str | None = None):
         self.view = view
-        self.cols = VIEW_COLUMNS[view]
+        self.cols = cols if cols is not None else VIEW_COLUMNS[view]
+        self.source_ctes = source_ctes  # CTE text that defines ``view`` (instead of VIEW_SQL)
 
     # --- statistics -------------------------------------------------------
     def stats_cte(self) -> str:
@@ -206,8 +207,8 @@ class InspectSQL:
                 f"suggestion FROM iss0)")
 
     def ctes(self) -> str:
-        return f"{self.view} AS ({VIEW_SQL[self.view]}\n),\n{self.stats_cte()},\n{self.outlier_cte()},\n" \
-               f"{self.issues_cte()}"
+        src = self.source_ctes if self.source_ctes is not None else f"{self.view} AS ({VIEW_SQL[self.view]}\n)"
+        return f"{src},\n{self.stats_cte()},\n{self.outlier_cte()},\n{self.issues_cte()}"
 
     def issues_sql(self) -> str:
         return (f"WITH {self.ctes()}\nSELECT seq, inspector_name, category, \"column\", severity, \"count\", "
@@ -307,9 +308,9 @@ class InspectSQL:
                 f"CAST(round_even(fmt, 0) AS BIGINT) AS format, overall AS overall_quality_score, "
                 f"CASE WHEN overall >= 80 THEN 'GREEN' WHEN overall >= 50 THEN 'YELLOW' ELSE 'RED' END "
                 f"AS traffic_light, "
-                f"(SELECT CAST(count_if(severity = 'critical') AS BIGINT) FROM iss) AS n_critical, "
-                f"(SELECT CAST(count_if(severity = 'warning') AS BIGINT) FROM iss) AS n_warning, "
-                f"(SELECT CAST(count_if(severity = 'info') AS BIGINT) FROM iss) AS n_info FROM sc")
+                f"(SELECT CAST(coalesce(count_if(severity = 'critical'), 0) AS BIGINT) FROM iss) AS n_critical, "
+                f"(SELECT CAST(coalesce(count_if(severity = 'warning'), 0) AS BIGINT) FROM iss) AS n_warning, "
+                f"(SELECT CAST(coalesce(count_if(severity = 'info'), 0) AS BIGINT) FROM iss) AS n_info FROM sc")
 
     def severity_sql(self) -> str:
         return (f"WITH {self.ctes()}\nSELECT severity, CAST(count(*) AS BIGINT) AS n_issues, "
