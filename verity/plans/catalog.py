@@ -581,3 +581,34 @@ def _before_after_orders(spark, sf_dir):
     before = _inspection(spark, sf_dir, "dirty_orders")
     after = inspect(_autofix(spark, sf_dir, "dirty_orders").clean())
     return score_before_after(before, after)
+
+
+# ---------------------------------------------------------------------------
+# Streaming: the events table streamed as micro-batches, each scored into history
+# ---------------------------------------------------------------------------
+
+def _stream_report_sql() -> str:
+    isql = InspectSQL("events", source_ctes="ev AS (SELECT 1)")
+    body = isql.ctes().replace("ev AS (SELECT 1),\n", "", 1)
+    body = body.replace("FROM events", "FROM ev_src").replace("FROM events,", "FROM ev_src,")
+    k = len(isql.cols)
+    return (f"WITH ev_src AS (SELECT * FROM events),\n{body},\n{isql.score_ctes()}\n"
+            f"SELECT CAST(n AS BIGINT) AS total_rows, CAST({k} AS BIGINT) AS total_columns, "
+            f"overall AS overall_quality_score, CAST(round_even(completeness, 0) AS BIGINT) AS completeness, "
+            f"CAST(round_even(uniqueness, 0) AS BIGINT) AS uniqueness, "
+            f"CAST(round_even(consistency, 0) AS BIGINT) AS consistency, "
+            f"CAST(round_even(accuracy, 0) AS BIGINT) AS accuracy, CAST(round_even(fmt, 0) AS BIGINT) AS format, "
+            f"CASE WHEN overall >= 80 THEN 'GREEN' WHEN overall >= 50 THEN 'YELLOW' ELSE 'RED' END AS traffic_light, "
+            f"CAST((SELECT count(*) FROM iss) AS BIGINT) AS n_issues FROM sc")
+
+
+@register("stream_quality_events", _stream_report_sql())
+def _stream_quality(spark, sf_dir):
+    from ..streaming.monitor import quality_monitor
+    base = fixtures.table(spark, sf_dir, "events")
+    stream = (spark.readStream.schema(base.schema).option("pathGlobFilter", "events.parquet")
+              .option("maxFilesPerTrigger", 1).parquet(sf_dir))
+    out, ck = _scratch(spark, "stream-history"), _scratch(spark, "stream-ckpt")
+    q = quality_monitor(stream, out, ck, source="events", key="event_id")
+    q.awaitTermination()
+    return spark.read.parquet(out).drop("batch_id", "source", "created_at")

@@ -22,6 +22,8 @@ VIEW_COLUMNS = {
                      ("note", "s")],
     "dirty_people": [("emp_id", "i"), ("employee_name", "s"), ("work_email", "s"), ("team", "s"),
                      ("salary_band", "s")],
+    "events": [("event_id", "i"), ("ts", "t"), ("user_id", "i"), ("event_type", "s"), ("value", "d"),
+               ("props", "s")],
     "dirty_staff": [("staff_id", "i"), ("full_name", "s"), ("email", "s"), ("department", "s")],
     "dirty_lineitem": [("l_orderkey", "i"), ("l_partkey", "i"), ("l_suppkey", "i"),
                        ("l_linenumber", "i"), ("l_quantity", "d"), ("l_extendedprice", "d"),
@@ -60,6 +62,8 @@ def title_style(x):
 
 def numeric_sql(c: str, t: str) -> str:
     x = ident(c)
+    if t == "t":  # timestamps are not numeric
+        return "CAST(NULL AS DOUBLE)"
     if t in ("i", "d"):
         return f"CAST({x} AS DOUBLE)"
     return f"CASE WHEN regexp_matches({x}, {q(DECIMAL_TEXT)}) THEN CAST({x} AS DOUBLE) END"
