@@ -192,10 +192,12 @@ class TableVersions:
         self.spark, self.path = spark, path.rstrip("/")
         self.versions: list[int] = []
         self.cursor = -1
+        self._next = 0  # snapshot ids are never reused, so a dropped redo tail stays unread
 
     def push(self, df: DataFrame) -> int:
         keep = self.versions[: self.cursor + 1]
-        v = (keep[-1] + 1) if keep else 0
+        v = self._next
+        self._next += 1
         df.withColumn("version", F.lit(v)).write.mode("append").partitionBy("version").parquet(self.path)
         self.versions = keep + [v]
         self.cursor = len(self.versions) - 1
