@@ -148,9 +148,28 @@ class DuplicateRows(Inspector):
         )]
 
 
+def row_hash(columns) -> Column:
+    """64-bit hash of a whole row; nulls are tagged so (null, "a") != ("a", null)."""
+    return F.xxhash64(*[F.struct(F.col(c).isNull().alias("n"), F.col(c).alias("v")) for c in columns])
+
+
+def duplicate_candidates(df: DataFrame, columns) -> DataFrame:
+    """Rows whose row hash occurs more than once.
+
+    Phase one shuffles only 8-byte hashes (with map-side partial counts), so
+    wide rows are never shuffled just to find out they are unique.  A hot row
+    (a third of the table) collapses to one hash key in the partial count.
+    """
+    h = row_hash(columns)
+    reps = (df.select(h.alias("_h")).groupBy("_h").count().where(F.col("count") > 1).select("_h"))
+    return df.withColumn("_h", h).join(reps, "_h", "left_semi").drop("_h")
+
+
 def duplicate_count(ctx: Context) -> int:
+    """Rows minus distinct rows, exact (the hash only pre-filters candidates)."""
     if "dup" not in ctx.cache:
-        g = ctx.df.groupBy(*[F.col(c) for c in ctx.columns]).count()
+        cand = duplicate_candidates(ctx.df, ctx.columns)
+        g = cand.groupBy(*[F.col(c) for c in ctx.columns]).count()
         n = g.agg(F.sum(F.col("count") - 1).alias("d")).first()["d"]
         ctx.cache["dup"] = int(n or 0)
     return ctx.cache["dup"]
@@ -166,6 +185,7 @@ def duplicate_positions(df: DataFrame, row_id: str, columns,
     occurrence of each group is its minimum row id (a partial-aggregated group-by),
     and the repeats are the rows that are not a group minimum.
     """
+    df = duplicate_candidates(df, columns)
     if cap is None:
         firsts = df.groupBy(*[F.col(c) for c in columns]).agg(F.min(row_id).alias("row"))
         return (df.select(F.col(row_id).alias("row"))
