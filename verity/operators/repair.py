@@ -108,10 +108,38 @@ def _change(rule: int, ci: int, c: str, old: Column, b: Branch) -> Column:
                     F.lit(b.kind).alias("kind"), b.reason.alias("reason"))
 
 
-def step(w: Work, rule: int, branches: dict) -> Work:
-    """Apply one rule: ``branches`` maps column -> [Branch, ...]."""
+def step(w: Work, rule: int, branches: dict, helpers: list | None = None) -> Work:
+    """Apply one rule: ``branches`` maps column -> [Branch, ...].
+
+    ``helpers`` are (name, Column) pairs computed once in a projection of
+    their own (a looked-up rating, a parsed date, ...) so that conditions,
+    new values and reasons refer to them instead of repeating them.
+
+    Two projections: the first evaluates each column's branch conditions once
+    into a branch number and the branch's new value; the second writes the
+    value and builds the change-log entry and quarantine reason from those.
+    Conditions are never repeated, which keeps the fused code of a chain of
+    rules small enough for whole-stage codegen.
+    """
     if not branches:
         return w
+    first = [F.col(w.row_id)] + [F.col(c) for c in w.columns] + \
+        [F.col("_changes"), F.col("_reasons"), F.col("_q")]
+    for ci, c in enumerate(w.columns):
+        bs = branches.get(c)
+        if not bs:
+            continue
+        num, val = None, None
+        for k, b in enumerate(bs, start=1):
+            num = F.when(b.cond, F.lit(k)) if num is None else num.when(b.cond, F.lit(k))
+            nv = b.new if b.new is not None else F.lit(None).cast("string")
+            val = F.when(b.cond, nv.cast("string")) if val is None else val.when(b.cond, nv.cast("string"))
+        first += [num.otherwise(F.lit(0)).alias(f"_b{ci}"), val.alias(f"_v{ci}")]
+    base = w.df
+    if helpers:
+        base = base.select("*", *[h.alias(n) for n, h in helpers])
+        first += [F.col(n) for n, _ in helpers]  # reasons may quote a helper value
+    p1 = base.select(*first)
     sel = [F.col(w.row_id)]
     chg, rsn = [], []
     for ci, c in enumerate(w.columns):
@@ -119,20 +147,26 @@ def step(w: Work, rule: int, branches: dict) -> Work:
         if not bs:
             sel.append(F.col(c))
             continue
-        old = F.col(c)
-        val, ch, q = None, None, None
-        for b in bs:
-            s = _change(rule, ci, c, old, b)
-            ch = F.when(b.cond, s) if ch is None else ch.when(b.cond, s)
-            if b.assign:
-                nv = b.new if b.new is not None else F.lit(None).cast("string")
-                val = F.when(b.cond, nv) if val is None else val.when(b.cond, nv)
+        bn, bv, old = F.col(f"_b{ci}"), F.col(f"_v{ci}"), F.col(c)
+        assigning = [k for k, b in enumerate(bs, start=1) if b.assign]
+        if assigning:
+            sel.append(F.when(bn.isin(*assigning), bv).otherwise(old).alias(c))
+        else:
+            sel.append(old)
+        kind, reason, quar = None, None, None
+        for k, b in enumerate(bs, start=1):
+            hit = bn == k
+            kind = F.when(hit, F.lit(b.kind)) if kind is None else kind.when(hit, F.lit(b.kind))
+            reason = F.when(hit, b.reason) if reason is None else reason.when(hit, b.reason)
             if b.quarantine:
-                q = F.when(b.cond, b.reason) if q is None else q.when(b.cond, b.reason)
-        sel.append((val.otherwise(old) if val is not None else old).alias(c))
-        chg.append(ch)
-        if q is not None:
-            rsn.append(q)
+                quar = F.when(hit, b.reason) if quar is None else quar.when(hit, b.reason)
+        entry = F.struct(F.lit(rule).alias("rule"), F.lit(ci).alias("col"), F.lit(c).alias("column"),
+                         F.coalesce(old, F.lit("")).alias("old_value"),
+                         F.coalesce(bv, F.lit("")).alias("new_value"),
+                         kind.alias("kind"), reason.alias("reason"))
+        chg.append(F.when(bn > 0, entry))
+        if quar is not None:
+            rsn.append(quar)
     # Plain concat keeps the projection inside whole-stage codegen (higher-order
     # functions such as filter() would not); null slots are dropped at explode time.
     sel.append(F.concat(F.col("_changes"), F.array(*chg)).alias("_changes"))
@@ -144,7 +178,7 @@ def step(w: Work, rule: int, branches: dict) -> Work:
         sel.append((F.col("_q") | hit).alias("_q"))
     else:
         sel += [F.col("_reasons"), F.col("_q")]
-    return Work(w.df.select(*sel), w.columns, w.roles, w.row_id, w.stats, w.persisted)
+    return Work(p1.select(*sel), w.columns, w.roles, w.row_id, w.stats, w.persisted)
 
 
 def barrier(w: Work, aggs: dict) -> dict:
@@ -245,13 +279,15 @@ def _has_currency_mark(v: Column) -> Column:
 
 def fix_numeric_strings(w: Work, apply_cols) -> Work:
     """currency symbols and thousands separators removed in chosen columns."""
-    br = {}
-    for c in apply_cols:
+    br, helpers = {}, []
+    for i, c in enumerate(apply_cols):
         v = F.col(c)
-        cleaned = _currency_clean(v)
-        br[c] = [Branch(v.isNotNull() & _has_currency_mark(v) & _currency_hit(v) & (cleaned != strip(v)),
-                        cleaned, "fixed", lit_s("Currency symbol / thousand-separator removed."))]
-    return step(w, R_NUM, br)
+        helpers.append((f"_h3_{i}", F.when(v.isNotNull() & _has_currency_mark(v) & _currency_hit(v),
+                                           _currency_clean(v))))
+        cleaned = F.col(f"_h3_{i}")
+        br[c] = [Branch(cleaned.isNotNull() & (cleaned != v), cleaned, "fixed",
+                        lit_s("Currency symbol / thousand-separator removed."))]
+    return step(w, R_NUM, br, helpers)
 
 
 def rating_columns(w: Work) -> list:
@@ -259,10 +295,10 @@ def rating_columns(w: Work) -> list:
             if w.role(c) == "critical" and any(k in c.lower() for k in RATING_NAME_WORDS)]
 
 
-def _rating_branches(v: Column) -> list:
+def _rating_branches(v: Column, word: Column | None = None, num: Column | None = None) -> list:
     vl = F.lower(strip(v))
-    word = rating_word_number(vl)
-    num = py_float_value(vl)
+    word = rating_word_number(vl) if word is None else word
+    num = py_float_value(vl) if num is None else num
     ok = v.isNotNull()
     return [
         Branch(ok & word.isNotNull(), word, "fixed",
@@ -276,56 +312,62 @@ def _rating_branches(v: Column) -> list:
 
 def fix_ratings(w: Work) -> Work:
     """rating words to numbers, out-of-range numbers clamped."""
-    return step(w, R_RATING, {c: _rating_branches(F.col(c)) for c in rating_columns(w)})
+    br, helpers = {}, []
+    for i, c in enumerate(rating_columns(w)):
+        vl = F.lower(F.col(c))
+        helpers += [(f"_h4w_{i}", rating_word_number(vl)), (f"_h4n_{i}", py_float_value(vl))]
+        br[c] = _rating_branches(F.col(c), F.col(f"_h4w_{i}"), F.col(f"_h4n_{i}"))
+    return step(w, R_RATING, br, helpers)
 
 
-def _to_label_branch(v: Column) -> Branch:
-    vl = F.lower(strip(v))
-    sv = strip(v)
-    label = closest_rating_label(py_float_value(sv))
-    return Branch(v.isNotNull() & castable_float(v) & ~is_rating_word(vl) & is_py_float(sv), label,
+def _to_label_branch(v: Column, label: Column) -> Branch:
+    vl = F.lower(v)
+    return Branch(v.isNotNull() & castable_float(v) & ~is_rating_word(vl) & is_py_float(v), label,
                   "fixed", F.concat(lit_s("Numeric "), v, lit_s(" in text-rating column → '"), label,
                                     lit_s("'.")))
 
 
-def _to_number_branch(v: Column) -> Branch:
-    word = rating_word_number(F.lower(strip(v)))
+def _to_number_branch(v: Column, word: Column) -> Branch:
     return Branch(v.isNotNull() & word.isNotNull(), word, "fixed",
                   F.concat(lit_s("Text label '"), v, lit_s("' in numeric column → "), word, lit_s(".")))
 
 
 def coerce_types(w: Work, to_labels, to_numbers) -> Work:
     """F5 numbers in a rating-word column -> labels; F6 rating words in a numeric column -> numbers."""
-    br = {c: [_to_label_branch(F.col(c))] for c in to_labels}
-    br.update({c: [_to_number_branch(F.col(c))] for c in to_numbers})
-    return step(w, R_COERCE, br)
+    br, helpers = {}, []
+    for i, c in enumerate(to_labels):
+        helpers.append((f"_h5_{i}", closest_rating_label(py_float_value(F.col(c)))))
+        br[c] = [_to_label_branch(F.col(c), F.col(f"_h5_{i}"))]
+    for i, c in enumerate(to_numbers):
+        helpers.append((f"_h6_{i}", rating_word_number(F.lower(F.col(c)))))
+        br[c] = [_to_number_branch(F.col(c), F.col(f"_h6_{i}"))]
+    return step(w, R_COERCE, br, helpers)
 
 
 def fix_dates(w: Work, plans: dict) -> Work:
     """dates in the column's dominant non-ISO shape, then any shape, rewritten as ISO."""
-    br = {}
-    for c, dom in plans.items():
+    br, helpers = {}, []
+    for i, (c, dom) in enumerate(plans.items()):
         v = F.col(c)
-        vs = strip(v)
-        first = parse_as(vs, dom)
-        other = parse_first(vs, range(len(DATE_FORMATS)))
+        helpers += [(f"_h7a_{i}", parse_as(v, dom)),
+                    (f"_h7b_{i}", parse_first(v, range(len(DATE_FORMATS))))]
+        first, other = F.col(f"_h7a_{i}"), F.col(f"_h7b_{i}")
         reason = lit_s("Date standardised to ISO 8601.")
-        br[c] = [Branch(v.isNotNull() & first.isNotNull() & (first != vs), first, "fixed", reason),
+        br[c] = [Branch(v.isNotNull() & first.isNotNull() & (first != v), first, "fixed", reason),
                  Branch(v.isNotNull() & first.isNull() & other.isNotNull(), other, "fixed", reason)]
-    return step(w, R_DATE, br)
+    return step(w, R_DATE, br, helpers)
 
 
 def fix_emails(w: Work) -> Work:
     """F8: lower-case, strip, correct common domain typos."""
-    br = {}
-    for c in w.columns:
-        if w.role(c) != "email":
-            continue
+    br, helpers = {}, []
+    for i, c in enumerate(x for x in w.columns if w.role(x) == "email"):
         v = F.col(c)
-        nv = normalise_email(v, stripped=True)
+        helpers.append((f"_h8_{i}", normalise_email(v, stripped=True)))
+        nv = F.col(f"_h8_{i}")
         br[c] = [Branch(v.isNotNull() & (nv != v), nv, "fixed",
                         lit_s("Email normalised (lowercase + domain correction)."))]
-    return step(w, R_EMAIL, br)
+    return step(w, R_EMAIL, br, helpers)
 
 
 def phone_format(v: Column) -> Column:
@@ -340,15 +382,14 @@ def phone_format(v: Column) -> Column:
 
 def fix_phones(w: Work) -> Work:
     """10 digits -> (ddd) ddd-dddd, 11 digits with a leading 1 -> +1 (ddd) ddd-dddd."""
-    br = {}
-    for c in w.columns:
-        if w.role(c) != "phone":
-            continue
+    br, helpers = {}, []
+    for i, c in enumerate(x for x in w.columns if w.role(x) == "phone"):
         v = F.col(c)
-        fmt = phone_format(v)
-        br[c] = [Branch(v.isNotNull() & fmt.isNotNull() & (fmt != strip(v)), fmt, "fixed",
+        helpers.append((f"_h9_{i}", phone_format(v)))
+        fmt = F.col(f"_h9_{i}")
+        br[c] = [Branch(v.isNotNull() & fmt.isNotNull() & (fmt != v), fmt, "fixed",
                         lit_s("Phone number standardised."))]
-    return step(w, R_PHONE, br)
+    return step(w, R_PHONE, br, helpers)
 
 
 def fix_booleans(w: Work, cols) -> Work:
@@ -729,14 +770,16 @@ def fix_missing(w: Work, plan: dict) -> Work:
 
 def fix_casing(w: Work, casing: dict) -> Work:
     """one casing style per column (names always smart title case)."""
-    br = {}
+    br, helpers = {}, []
     labels = {"title": "Title Case", "lower": "lowercase", "upper": "UPPERCASE"}
-    for c, how in casing.items():
+    for i, (c, how) in enumerate(casing.items()):
         v = F.col(c)
-        nv = smart_title(v) if how == "title" else F.lower(v) if how == "lower" else F.upper(v)
+        helpers.append((f"_h17_{i}", smart_title(v) if how == "title" else F.lower(v) if how == "lower"
+                        else F.upper(v)))
+        nv = F.col(f"_h17_{i}")
         br[c] = [Branch(v.isNotNull() & (nv != v), nv, "fixed",
                         lit_s(f"Casing standardised to {labels[how]}."))]
-    return step(w, R_CASE, br)
+    return step(w, R_CASE, br, helpers)
 
 
 # ---------------------------------------------------------------------------
@@ -807,6 +850,7 @@ def autofix(df: DataFrame, row_id: str = "_row_id", roles: dict | None = None,
     w = fix_numeric_strings(w, f3)
     w = fix_ratings(w)
     w = coerce_types(w, to_labels, to_numbers)
+    w = materialize(w, materialize_as)  # B3 and the F7-F10 stage both read this
     dates, bools = plan_dates_and_booleans(w)
     w = fix_dates(w, dates)
     w = fix_emails(w)
