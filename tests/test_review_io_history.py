@@ -93,3 +93,60 @@ def test_stream_monitor(spark):
     quality_monitor(stream, out, ck, key="event_id").awaitTermination()
     rows = spark.read.parquet(out).collect()
     assert len(rows) == 1 and rows[0]["total_rows"] == base.count()
+
+
+def test_custom_inspector_contract(spark):
+    from verity.operators.inspect import DEFAULT_INSPECTORS, Inspector, IssueSpec, inspect
+
+    class NegativeAmounts(Inspector):
+        name, category = "Negative Amounts", "accuracy"
+
+        def aggregates(self, ctx):
+            return {"neg": F.count_if(F.col("amount") < 0)}
+
+        def issues(self, ctx):
+            n = ctx.stats["neg"]
+            return [IssueSpec(self.name, self.category, ["amount"], "warning", n, f"{n} negative",
+                              "check", cell_filter=F.col("amount") < 0, cell_value=F.col("amount"))] if n else []
+
+    df = spark.createDataFrame([(0, 5.0), (1, -1.0), (2, 3.0)], "_row_id long, amount double")
+    ins = inspect(df, inspectors=list(DEFAULT_INSPECTORS) + [NegativeAmounts])
+    mine = [s for s in ins.specs if s.inspector_name == "Negative Amounts"]
+    assert mine and mine[0].count == 1
+    assert [r["row"] for r in ins.cells().where(f"seq = {mine[0].seq}").collect()] == [1]
+
+
+def test_latin1_row_cap_and_empty_guard(spark, tmp_path):
+    import pytest
+    from verity.sources.readers import ensure_not_empty, read_csv, row_cap
+    p = tmp_path / "l1.csv"
+    p.write_bytes("name,city\nJos\xe9,M\xfcnchen\nAna,Z\xfcrich\n".encode("latin-1"))
+    df = read_csv(spark, str(p), encoding="ISO-8859-1")
+    assert sorted(r["city"] for r in df.collect()) == ["München", "Zürich"]
+    assert row_cap(df, 1).count() == 1
+    with pytest.raises(ValueError):
+        ensure_not_empty(df.limit(0))
+
+
+def test_single_accept_deny_and_edits(spark):
+    from verity.operators.review import accept_one, deny_one, edit_cells
+    df = spark.createDataFrame([(0, " x ", "a@B.com"), (1, "y", "c@d.com")], "_row_id long, v string, email string")
+    res = autofix(df)
+    clean, changes = res.clean(), res.changes()
+    denied, rest = deny_one(clean, changes, 0, "v")
+    assert denied.where("_row_id = 0").first()["v"] == " x "
+    assert rest.where("_row_id = 0 AND column = 'v'").count() == 0
+    accepted, _ = accept_one(clean, changes, 0, "email")
+    assert accepted.where("_row_id = 0").first()["email"] == "a@b.com"
+    edits = spark.createDataFrame([(1, "v", "first", 0), (1, "v", "second", 1)],
+                                  "_row_id long, column string, value string, seq int")
+    assert edit_cells(clean, edits).where("_row_id = 1").first()["v"] == "second"
+
+
+def test_history_get_and_delete(spark):
+    from verity.operators.history import history_delete, history_get
+    entries = entries_from_events(fixtures.table(spark, SF, "events"))
+    one = entries.first()
+    assert history_get(entries, one["id"], one["user_id"]).count() == 1
+    assert history_get(entries, one["id"], "nobody").count() == 0
+    assert history_delete(entries, one["id"], one["user_id"]).count() == entries.count() - 1

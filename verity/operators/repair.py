@@ -813,13 +813,17 @@ class AutofixResult:
 
     def changes(self) -> DataFrame:
         """Changes of clean rows; ``row`` = position among clean rows."""
+        if "_changes_df" in self.plan:
+            return self.plan["_changes_df"]
         clean = self.frame.where(~F.col("_q")).select(self.row_id, "_changes")
-        indexed = dense_index(clean, self.row_id, "row")
-        return (indexed.select("row", F.col(self.row_id), F.explode("_changes").alias("c"))
+        indexed = dense_index(clean, self.row_id, "row", persisted=self.plan.setdefault("_persisted", []))
+        out = (indexed.select("row", F.col(self.row_id), F.explode("_changes").alias("c"))
                 .where(F.col("c").isNotNull())
                 .select("row", F.col(self.row_id), F.col("c.rule"), F.col("c.col"),
                         F.col("c.column"), F.col("c.old_value"), F.col("c.new_value"), F.col("c.kind"),
                         F.col("c.reason")))
+        self.plan["_changes_df"] = out
+        return out
 
     def counts_frame(self) -> DataFrame:
         """O6/O7 counters as a one-row DataFrame (stays distributed until read)."""

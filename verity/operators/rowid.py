@@ -33,7 +33,7 @@ def with_row_id(df: DataFrame, name: str = "_row_id", key: str | None = None) ->
 
 
 def dense_index(df: DataFrame, order_col: str, name: str = "_pos",
-                partitions: int | None = None) -> DataFrame:
+                partitions: int | None = None, persisted: list | None = None) -> DataFrame:
     """0-based contiguous position of each row when ordered by ``order_col``.
 
     Range-partition on the key (one shuffle), sort inside partitions, read each
@@ -48,6 +48,8 @@ def dense_index(df: DataFrame, order_col: str, name: str = "_pos",
     ranged = ranged.withColumn("_pid", F.shiftright(F.col("_mid"), _POS_BITS)) \
         .withColumn("_ppos", F.col("_mid").bitwiseAND((1 << _POS_BITS) - 1))
     ranged = ranged.persist()
+    if persisted is not None:
+        persisted.append(ranged)
     counts = {r["_pid"]: int(r["n"]) for r in
               ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("n")).collect()}
     offs, acc = {}, 0
