@@ -51,3 +51,10 @@ def test_score_frame_schema(spark):
     from tests.conftest import SF
     out = score_frame(inspect(fixtures.view(spark, SF, "dirty_events")))
     assert out.columns[:2] == ["total_rows", "total_columns"]
+
+
+def test_duplicates_with_signed_zero_and_nan(spark):
+    rows = [(0, 0.0), (1, -0.0), (2, float("nan")), (3, float("nan")), (4, 1.0)]
+    df = spark.createDataFrame(rows, "_row_id long, x double")
+    dup = [s for s in inspect(df).specs if s.inspector_name == "Duplicate Rows"]
+    assert dup and dup[0].count == 2

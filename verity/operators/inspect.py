@@ -148,9 +148,21 @@ class DuplicateRows(Inspector):
         )]
 
 
-def row_hash(columns) -> Column:
-    """64-bit hash of a whole row; nulls are tagged so (null, "a") != ("a", null)."""
-    return F.xxhash64(*[F.struct(F.col(c).isNull().alias("n"), F.col(c).alias("v")) for c in columns])
+def row_hash(columns, dtypes: dict | None = None) -> Column:
+    """64-bit hash of a whole row; nulls are tagged so (null, "a") != ("a", null).
+
+    Floating values are normalised first (-0.0 -> 0.0, one NaN), as grouping
+    treats them as equal; otherwise equal rows could hash apart.
+    """
+    dtypes = dtypes or {}
+    parts = []
+    for c in columns:
+        v = F.col(c)
+        if isinstance(dtypes.get(c), (T.DoubleType, T.FloatType)):
+            v = F.when(F.isnan(v), F.lit(float("nan")).cast(dtypes[c])).when(v == 0, F.lit(0).cast(dtypes[c])) \
+                .otherwise(v)
+        parts.append(F.struct(F.col(c).isNull().alias("n"), v.alias("v")))
+    return F.xxhash64(*parts)
 
 
 def duplicate_candidates(df: DataFrame, columns) -> DataFrame:
@@ -160,7 +172,7 @@ def duplicate_candidates(df: DataFrame, columns) -> DataFrame:
     wide rows are never shuffled just to find out they are unique.  A hot row
     (a third of the table) collapses to one hash key in the partial count.
     """
-    h = row_hash(columns)
+    h = row_hash(columns, {f.name: f.dataType for f in df.schema.fields})
     reps = (df.select(h.alias("_h")).groupBy("_h").count().where(F.col("count") > 1).select("_h"))
     return df.withColumn("_h", h).join(reps, "_h", "left_semi").drop("_h")
 
