@@ -467,7 +467,11 @@ def inspect(df: DataFrame, row_id: str = "_row_id", inspectors=None) -> Inspecti
     if row_id not in df.columns:
         raise ValueError(f"row id column {row_id!r} missing; see verity.operators.rowid.with_row_id")
     from .parallel import balance
-    df = balance(df)
+    spread = balance(df)
+    if spread is not df:
+        # a narrow input was just spread out; keep it, as every pass reads it again
+        spread = spread.persist()
+    df = spread
     columns = [c for c in df.columns if c != row_id]
     dtypes = {f.name: f.dataType for f in df.schema.fields}
     ctx = Context(df, row_id, columns, dtypes)
