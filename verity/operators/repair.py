@@ -197,6 +197,8 @@ def materialize(w: Work, how: str) -> Work:
         df = w.df.persist(StorageLevel.MEMORY_AND_DISK)
         w.persisted.append(df)
     elif how == "checkpoint":
+        from ..session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(w.df.sparkSession)  # the cluster's shared folder; a /tmp one only if unset
         df = w.df.checkpoint(eager=True)
     else:
         df = w.df
