@@ -100,14 +100,6 @@ def lit_s(s: str) -> Column:
     return F.lit(s)
 
 
-def _change(rule: int, ci: int, c: str, old: Column, b: Branch) -> Column:
-    return F.struct(F.lit(rule).alias("rule"), F.lit(ci).alias("col"), F.lit(c).alias("column"),
-                    F.coalesce(old.cast("string"), F.lit("")).alias("old_value"),
-                    F.coalesce(b.new.cast("string") if b.new is not None else F.lit(""), F.lit(""))
-                    .alias("new_value"),
-                    F.lit(b.kind).alias("kind"), b.reason.alias("reason"))
-
-
 def step(w: Work, rule: int, branches: dict, helpers: list | None = None) -> Work:
     """Apply one rule: ``branches`` maps column -> [Branch, ...].
 
