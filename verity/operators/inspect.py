@@ -417,6 +417,11 @@ class Inspection:
     def columns(self) -> list:
         return self.ctx.columns
 
+    def unpersist(self):
+        """Release the spread copy of a narrow input, if one was kept."""
+        if self.ctx.cache.get("persisted"):
+            self.ctx.df.unpersist()
+
     def issues(self) -> DataFrame:
         spark = self.ctx.df.sparkSession
         rows = [(s.seq, s.inspector_name, s.category, ", ".join(s.columns), s.severity, int(s.count),
@@ -468,13 +473,15 @@ def inspect(df: DataFrame, row_id: str = "_row_id", inspectors=None) -> Inspecti
         raise ValueError(f"row id column {row_id!r} missing; see verity.operators.rowid.with_row_id")
     from .parallel import balance
     spread = balance(df)
-    if spread is not df:
+    spread_persisted = spread is not df
+    if spread_persisted:
         # a narrow input was just spread out; keep it, as every pass reads it again
         spread = spread.persist()
     df = spread
     columns = [c for c in df.columns if c != row_id]
     dtypes = {f.name: f.dataType for f in df.schema.fields}
     ctx = Context(df, row_id, columns, dtypes)
+    ctx.cache["persisted"] = spread_persisted
     insts = [i() if isinstance(i, type) else i for i in (inspectors or DEFAULT_INSPECTORS)]
     aggs = {"__rows__": F.count(F.lit(1))}
     for c in columns:
