@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import bpe, quality, sharding, simhash, substring, token_store, warc
+from . import ann, bpe, decontam, licenses, quality, sharding, simhash, substring, token_store, warc
 
 
 def tokenizer_path(name: str) -> str:
@@ -26,6 +26,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.store_and_read(table(spark, sf_dir, "documents"), scratch_path(spark, "token-files"),
                                       tokenizer_path("byte_bpe_50k.json"), end_id=0)
@@ -33,17 +37,25 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_and_read(table(spark, sf_dir, "pages"), scratch_path(spark, "warc")).select(
-        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup_digest(table(spark, sf_dir, "documents"), window=50)
 
 
+def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.summary(licenses.scan(table(spark, sf_dir, "documents"), licenses.train(spark)))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=8)
 
@@ -53,7 +65,29 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash, op3_token_store, op4_warc, op5_bpe, op7_substring, op9_sharding, op10_quality)}
-
-ORACLE: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
+    op1_simhash, op2_neighbours, op3_token_store, op4_warc, op5_bpe, op6_decontamination, op7_substring, op8_licences,
+    op9_sharding, op10_quality)}
+
+ORACLE: dict[str, str] = {
+    "op4_warc": """
+        with p as (select page_id, strlen(coalesce(html, '')) as n, sha256(coalesce(html, '')) as d from pages),
+             f as (select d, min(page_id) as first from p where n >= 100 group by d)
+        select p.page_id, p.n::bigint as payload_bytes, p.d as payload_digest,
+               case when first < page_id then 'revisit' else 'response' end as record_type,
+               case when first < page_id then first end as refers_to
+        from p left join f on p.d = f.d and p.n >= 100""",
+    "op7_substring": r"""
+        with t as (select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') as w
+                   from documents),
+             p as (select doc_id, w, unnest(range(1, len(w) - 48)) as i from t where len(w) >= 50),
+             k as (select doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) as h from p),
+             f as (select h, min(doc_id) as first from k group by h),
+             g as (select distinct doc_id, unnest(range(i, i + 50)) as j from k join f using (h) where doc_id > first),
+             r as (select doc_id, list(j) as js from g group by doc_id)
+        select doc_id, len(w)::bigint as n_words, coalesce(len(js), 0)::bigint as n_removed,
+               sha256(array_to_string(case when js is null then w else
+                   list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), x -> not list_contains(js, x[2])), x -> x[1]) end, ' '))
+                   as kept_sha256
+        from t left join r using (doc_id)""",
+}
