@@ -78,7 +78,7 @@ ORACLE: dict[str, str] = {
                case when first < page_id then first end as refers_to
         from p left join f on p.d = f.d and p.n >= 100""",
     "op7_substring": r"""
-        with t as (select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') as w
+        with t as (select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
                    from documents),
              p as (select doc_id, w, unnest(range(1, len(w) - 48)) as i from t where len(w) >= 50),
              k as (select doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) as h from p),
@@ -87,7 +87,7 @@ ORACLE: dict[str, str] = {
              r as (select doc_id, list(j) as js from g group by doc_id)
         select doc_id, len(w)::bigint as n_words, coalesce(len(js), 0)::bigint as n_removed,
                sha256(array_to_string(case when js is null then w else
-                   list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), x -> not list_contains(js, x[2])), x -> x[1]) end, ' '))
+                   list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda x: not list_contains(js, x[2])), lambda x: x[1]) end, ' '))
                    as kept_sha256
         from t left join r using (doc_id)""",
 }
