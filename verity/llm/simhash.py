@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import col, connected_components, fresh, materialize, ship
+from .common import col, connected_components, fresh, loose, materialize, ship
 
 SHINGLE, RADIUS = 4, 4
 SEED = 42
@@ -216,7 +216,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left") \
         .select("fp", F.coalesce("root", "fp").alias("root"), "least")
     named = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(known.select("fp", "root").join(named, "root").select("fp", "component_id"), "fp") \
+    return prints.join(known.select("fp", "root").join(loose(named, "root"), "root").select("fp", "component_id"), "fp") \
         .select("doc_id", "fp", "component_id")
 
 

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, Words, col, fresh, materialize, mix, ship, slices
+from .common import Rolling, Words, col, fresh, loose, materialize, mix, ship, slices
 
 WINDOW = 50
 ROUNDS = 5
@@ -175,17 +175,17 @@ def repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> Data
     found = materialize(docs.select("doc", "text", "h").where("doc is not null and text is not null")
                         .mapInArrow(_stretch_rows(window, rounds), "k long, c long, doc long, h long, p long"), "stretches")
     shared = found.groupBy("k").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("k")
-    found = materialize(found.join(shared, "k"), "shared")
+    found = materialize(found.join(loose(shared, "k"), "k"), "shared")
     kinds = found.groupBy("k", "c").agg(F.min("doc").alias("low"))
-    of = found.join(kinds, ["k", "c"])
+    of = found.join(loose(kinds, "k", "c"), ["k", "c"])
     copies = of.where("doc > low").select("doc", "h", "p")
     mixed = kinds.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("low").alias("a"), F.max("low").alias("b")) \
         .where("n > 1 and a < b").select("k")
-    open_ = of.where("doc = low").join(mixed, "k").groupBy("doc", "h").agg(F.collect_set("p").alias("spans"))
+    open_ = of.where("doc = low").join(loose(mixed, "k"), "k").groupBy("doc", "h").agg(F.collect_set("p").alias("spans"))
     windows = materialize(docs.join(open_, ["doc", "h"]).select("doc", "text", "h", "spans")
                           .mapInArrow(_window_rows(window), "f long, g long, doc long, h long, p long"), "windows")
     first = windows.groupBy("f", "g").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high")
-    hit = windows.join(first, ["f", "g"]).where("doc > low") \
+    hit = windows.join(loose(first, "f", "g"), ["f", "g"]).where("doc > low") \
         .select("doc", "h", F.shiftleft("p", 31).bitwiseOR(F.col("p")).alias("p"))
     return copies.unionByName(hit).groupBy("doc", "h").agg(F.collect_set("p").alias("spans"))
 
