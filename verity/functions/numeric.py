@@ -68,8 +68,3 @@ def py_repr_double(c) -> Column:
             .when(sci, sci_txt)
             .when(java_plain, plain_small)
             .otherwise(via_dec))
-
-
-def py_float_str(v: float) -> str:
-    """Driver-side twin for scalars."""
-    return str(float(v))

@@ -15,8 +15,13 @@ WS_RUN = r"(?U)\s+"
 NOT_TITLE = r"(^|[^\p{Lu}\p{Ll}\p{Lt}])\p{Ll}|[\p{Lu}\p{Ll}\p{Lt}][\p{Lu}\p{Lt}]"
 
 
+def quoted(name: str) -> str:
+    """A column's exact name as Spark parses it (dots and backticks are part of the name)."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def col_(c) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+    return F.col(quoted(c)) if isinstance(c, str) else c
 
 
 def strip(c) -> Column:
@@ -74,12 +79,6 @@ def smart_title(c) -> Column:
     return out
 
 
-def contains_any(c, keys) -> Column:
-    out = F.lit(False)
-    for k in keys:
-        out = out | (F.instr(col_(c), k) > 0)
-    return out
-
 
 # --- driver-side twins, used on a handful of scalars (never on rows) --------
 

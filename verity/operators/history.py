@@ -9,6 +9,9 @@ does not put them all through one task.
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -70,34 +73,78 @@ def history_clear(history: DataFrame, user_id) -> DataFrame:
     return history.where(F.col("user_id") != user_id)
 
 
+def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows that were appended to a small Parquet log; none if there is no log yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 class HistoryStore:
-    """A history table in a (shared) folder; every change writes a new version."""
+    """A history table in a (shared) folder.
+
+    Entries lie in BUCKETS buckets by user.  A change writes the buckets of the users that it touches to a new
+    folder and then names them in the log; the table is the newest folder of each bucket.  Nothing is
+    overwritten, a write that never reached the log is never read, and a store that is opened again goes on
+    from the log.  One writer at a time.
+    """
+
+    BUCKETS = 64
+    LOG = "seq long, bucket int, folder string"
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        self.version = 0
 
-    def _dir(self, v: int) -> str:
-        return f"{self.path}/v={v}"
+    def _newest(self) -> tuple[int, dict[int, str]]:
+        rows = read_log(self.spark, f"{self.path}/log", self.LOG).groupBy("bucket").agg(
+            F.max_by("folder", "seq").alias("folder"), F.max("seq").alias("seq")).collect()       # BUCKETS rows at most
+        return max((r["seq"] for r in rows), default=0), {r["bucket"]: r["folder"] for r in rows}
 
-    def table(self) -> DataFrame:
-        if self.version == 0:
+    def _read(self, folders: dict[int, str]) -> DataFrame:
+        if not folders:
             return self.spark.createDataFrame([], HISTORY_SCHEMA)
-        return self.spark.read.parquet(self._dir(self.version))
+        return self.spark.read.schema(HISTORY_SCHEMA).parquet(*[f"{self.path}/{f}/bucket={b}" for b, f in sorted(folders.items())])
 
-    def _write(self, df: DataFrame) -> DataFrame:
-        self.version += 1
-        df.write.mode("overwrite").parquet(self._dir(self.version))
+    def table(self) -> DataFrame:
+        return self._read(self._newest()[1])
+
+    def _bucket(self):
+        return F.pmod(F.xxhash64("user_id"), F.lit(self.BUCKETS)).cast("int")
+
+    def _rewrite(self, buckets: list[int], change) -> DataFrame:
+        """Replace the entries of some buckets by what ``change`` makes of them."""
+        seq, folders = self._newest()
+        folder = f"data-{seq + 1}-{uuid.uuid4().hex}"
+        new = change(self._read({b: f for b, f in folders.items() if b in buckets}))
+        new = new.select(*HISTORY_SCHEMA.fieldNames()).withColumn("bucket", self._bucket())
+        new.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/{folder}")
+        try:
+            left = {r["bucket"] for r in self.spark.read.parquet(f"{self.path}/{folder}").select("bucket").distinct().collect()}
+        except AnalysisException:                      # nothing is left in these buckets: no part was written
+            left = set()
+        for b in set(buckets) - left:
+            self.spark.createDataFrame([], HISTORY_SCHEMA).write.parquet(f"{self.path}/{folder}/bucket={b}")
+        self.spark.createDataFrame([(seq + 1, b, folder) for b in buckets], self.LOG).coalesce(1) \
+            .write.mode("append").parquet(f"{self.path}/log")
         return self.table()
 
     def append(self, entries: DataFrame) -> DataFrame:
-        return self._write(history_append(self.table(), entries))
+        """H1: add entries, then keep the newest of every user."""
+        buckets = [r[0] for r in entries.select(self._bucket()).distinct().collect()]      # BUCKETS rows at most
+        return self._rewrite(buckets, lambda old: history_append(old, entries)) if buckets else self.table()
+
+    def _of_user(self, user_id) -> list[int]:
+        row = self.spark.createDataFrame([(str(user_id),)], "user_id string").select(self._bucket()).first()
+        return [row[0]]
 
     def delete(self, entry_id, user_id) -> DataFrame:
-        return self._write(history_delete(self.table(), entry_id, user_id))
+        return self._rewrite(self._of_user(user_id), lambda old: history_delete(old, entry_id, user_id))
 
     def clear(self, user_id) -> DataFrame:
-        return self._write(history_clear(self.table(), user_id))
+        return self._rewrite(self._of_user(user_id), lambda old: history_clear(old, user_id))
 
 
 def entries_from_events(events: DataFrame) -> DataFrame:

@@ -1,8 +1,8 @@
 """Inspectors (I1-I12): profile a DataFrame once, turn the numbers into issues.
 
-All per-column statistics of all inspectors are folded into ONE aggregate job
-(``Profile``).  Only the duplicate check needs a shuffle (a hash aggregate on all
-columns, partial-aggregated map side), and the outlier counts need one more
+All per-column statistics of all inspectors are folded into one aggregate job (several for wide
+tables, each over its own columns).  Only the duplicate check needs a shuffle, of row hashes
+counted on the map side, and the outlier counts need one more
 aggregate pass because their bounds come from the first.  Issues are a small
 table (a few rows per column) built on the driver from those scalars; the
 affected cells stay a lazy, distributed long-form DataFrame.
@@ -10,8 +10,9 @@ affected cells stay a lazy, distributed long-form DataFrame.
 
 from __future__ import annotations
 
+import logging
+from collections.abc import Callable
 from dataclasses import dataclass, field
-from typing import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,8 +20,12 @@ from pyspark.sql import types as T
 
 from ..functions.constants import CELLS_PER_ISSUE, EMAIL_NAME_WORDS, EMAIL_PATTERN
 from ..functions.numeric import decimal_value, is_decimal_text, py_repr_double
-from ..functions.text import (has_edge_whitespace, is_lower_style, is_title_style,
-                              is_upper_style)
+from ..functions.text import (col_, has_edge_whitespace, is_lower_style, is_title_style,
+                              is_upper_style, strip)
+from .rowid import with_row_id
+
+log = logging.getLogger(__name__)
+AGGREGATES_PER_JOB = 96      # wider aggregates lose whole-stage code generation (100 fields)
 
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
                  T.DoubleType, T.DecimalType)
@@ -89,10 +94,10 @@ def value_text(ctx: Context, c: str) -> Column:
     """``str(value)`` of a cell the way Python would print it."""
     dt = ctx.dtypes[c]
     if isinstance(dt, (T.DoubleType, T.FloatType)):
-        return py_repr_double(F.col(c).cast("double"))
+        return py_repr_double(col_(c).cast("double"))
     if isinstance(dt, T.BooleanType):
-        return F.when(F.col(c), "True").otherwise("False")
-    return F.col(c).cast("string")
+        return F.when(col_(c), "True").otherwise("False")
+    return col_(c).cast("string")
 
 
 def py_repr_str(c: Column) -> Column:
@@ -109,9 +114,9 @@ def numeric_view(ctx: Context, c: str) -> Column | None:
     """The column as double the way a lenient float cast reads it, or None if never."""
     dt = ctx.dtypes[c]
     if isinstance(dt, NUMERIC_TYPES) or isinstance(dt, T.BooleanType):
-        return F.col(c).cast("double")
+        return col_(c).cast("double")
     if isinstance(dt, T.StringType):
-        return decimal_value(F.col(c))
+        return decimal_value(col_(c))
     return None
 
 
@@ -148,64 +153,62 @@ class DuplicateRows(Inspector):
         )]
 
 
-def row_hash(columns, dtypes: dict | None = None) -> Column:
+def row_hash(columns, dtypes: dict | None = None, salt: int | None = None) -> Column:
     """64-bit hash of a whole row; nulls are tagged so (null, "a") != ("a", null).
 
     Floating values are normalised first (-0.0 -> 0.0, one NaN), as grouping
     treats them as equal; otherwise equal rows could hash apart.
     """
     dtypes = dtypes or {}
-    parts = []
+    parts = [] if salt is None else [F.lit(salt)]
     for c in columns:
-        v = F.col(c)
+        v = col_(c)
         if isinstance(dtypes.get(c), (T.DoubleType, T.FloatType)):
             v = F.when(F.isnan(v), F.lit(float("nan")).cast(dtypes[c])).when(v == 0, F.lit(0).cast(dtypes[c])) \
                 .otherwise(v)
-        parts.append(F.struct(F.col(c).isNull().alias("n"), v.alias("v")))
+        elif isinstance(dtypes.get(c), T.MapType):
+            v = F.to_json(v, {"ignoreNullFields": "false"})
+        parts.append(F.struct(col_(c).isNull().alias("n"), v.alias("v")))
     return F.xxhash64(*parts)
 
 
-def duplicate_candidates(df: DataFrame, columns) -> DataFrame:
-    """Rows whose row hash occurs more than once.
+def row_prints(df: DataFrame, row_id: str, columns, *more: Column) -> DataFrame:
+    """(row, h1, h2, more...): rows stand for themselves by 128 bits of hash from here on.
+
+    Wide rows are never shuffled to compare them; among n rows two different ones agree
+    with probability n**2 / 2**129.
+    """
+    dtypes = {f.name: f.dataType for f in df.schema.fields}
+    return df.select(col_(row_id).alias("row"), row_hash(columns, dtypes).alias("h1"),
+                     row_hash(columns, dtypes, salt=1).alias("h2"), *more)
+
+
+def repeated(prints: DataFrame) -> DataFrame:
+    """The 2nd+ occurrences among ``row_prints``: rows that are not the first of their group.
 
-    Phase one shuffles only 8-byte hashes (with map-side partial counts), so
-    wide rows are never shuffled just to find out they are unique.  A hot row
-    (a third of the table) collapses to one hash key in the partial count.
+    Groups are counted on the map side, so a row that fills a third of the table is one count per task; the
+    join back is on plain new columns, which lets AQE split such a key.
     """
-    h = row_hash(columns, {f.name: f.dataType for f in df.schema.fields})
-    reps = (df.select(h.alias("_h")).groupBy("_h").count().where(F.col("count") > 1).select("_h"))
-    return df.withColumn("_h", h).join(reps, "_h", "left_semi").drop("_h")
+    first = prints.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("first")).where("n > 1") \
+        .select(F.col("h1").bitwiseXOR(F.lit(0).cast("long")).alias("h1"),
+                F.col("h2").bitwiseXOR(F.lit(0).cast("long")).alias("h2"), "first")
+    return prints.join(first, ["h1", "h2"]).where(F.col("row") > F.col("first"))
 
 
 def duplicate_count(ctx: Context) -> int:
-    """Rows minus distinct rows, exact (the hash only pre-filters candidates)."""
+    """Rows minus distinct rows, in one shuffle of hash counts."""
     if "dup" not in ctx.cache:
-        cand = duplicate_candidates(ctx.df, ctx.columns)
-        g = cand.groupBy(*[F.col(c) for c in ctx.columns]).count()
-        n = g.agg(F.sum(F.col("count") - 1).alias("d")).first()["d"]
+        groups = row_prints(ctx.df, ctx.row_id, ctx.columns).groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"))
+        n = groups.where("n > 1").agg(F.sum(F.col("n") - 1).alias("d")).first()["d"]
         ctx.cache["dup"] = int(n or 0)
     return ctx.cache["dup"]
 
 
 def duplicate_positions(df: DataFrame, row_id: str, columns,
                         cap: int | None = CELLS_PER_ISSUE) -> DataFrame:
-    """Row ids of repeated rows (2nd+ occurrence), the first ``cap`` in row order.
-
-    With a cap, ``row_number() <= cap + 1`` per group is planned as a
-    WindowGroupLimit, so even a group holding a third of the table ships at most
-    cap+1 rows per map task.  Without a cap every repeat is listed: the first
-    occurrence of each group is its minimum row id (a partial-aggregated group-by),
-    and the repeats are the rows that are not a group minimum.
-    """
-    df = duplicate_candidates(df, columns)
-    if cap is None:
-        firsts = df.groupBy(*[F.col(c) for c in columns]).agg(F.min(row_id).alias("row"))
-        return (df.select(F.col(row_id).alias("row"))
-                .join(firsts.select("row"), "row", "left_anti"))
-    w = Window.partitionBy(*[F.col(c) for c in columns]).orderBy(F.col("row"))
-    ranked = df.select(F.col(row_id).alias("row"), *columns).withColumn("_rn", F.row_number().over(w))
-    reps = ranked.where(F.col("_rn") <= cap + 1).where(F.col("_rn") > 1).select("row")
-    return reps.orderBy("row").limit(cap)
+    """Row ids of repeated rows (2nd+ occurrence), the first ``cap`` in row order (None: all)."""
+    rows = repeated(row_prints(df, row_id, columns)).select("row")
+    return rows if cap is None else rows.orderBy("row").limit(cap)
 
 
 class FormatInconsistency(Inspector):
@@ -217,7 +220,7 @@ class FormatInconsistency(Inspector):
         for c in ctx.columns:
             if not ctx.is_string(c):
                 continue
-            v = F.col(c)
+            v = col_(c)
             out[_k(c, "lower")] = F.count_if(v.isNotNull() & is_lower_style(v))
             out[_k(c, "upper")] = F.count_if(v.isNotNull() & is_upper_style(v))
             out[_k(c, "title")] = F.count_if(v.isNotNull() & is_title_style(v))
@@ -237,23 +240,23 @@ class FormatInconsistency(Inspector):
                 bad = total - mx
                 if bad > 0 and mx / total < 0.95:
                     if mx == ti:
-                        dom, pred = "Title Case", ~is_title_style(F.col(c))
+                        dom, pred = "Title Case", ~is_title_style(col_(c))
                     elif mx == lo:
-                        dom, pred = "lowercase", F.col(c) != F.lower(F.col(c))
+                        dom, pred = "lowercase", col_(c) != F.lower(col_(c))
                     else:
-                        dom, pred = "UPPERCASE", F.col(c) != F.upper(F.col(c))
+                        dom, pred = "UPPERCASE", col_(c) != F.upper(col_(c))
                     out.append(IssueSpec(
                         self.name, self.category, [c], "info", bad,
                         f"Column '{c}' has inconsistent casing. Dominant style: {dom} ({mx}/{total}).",
                         f"Standardize all values to {dom}.",
-                        cell_filter=F.col(c).isNotNull() & pred, cell_value=F.col(c)))
+                        cell_filter=col_(c).isNotNull() & pred, cell_value=col_(c)))
             ws = s[_k(c, "ws")]
             if ws > 0:
                 out.append(IssueSpec(
                     "Whitespace Issues", self.category, [c], "info", ws,
                     f"Column '{c}' has {ws} value(s) with leading/trailing whitespace.",
                     "Strip whitespace from all values in this column.",
-                    cell_filter=has_edge_whitespace(F.col(c)), cell_value=py_repr_str(F.col(c))))
+                    cell_filter=has_edge_whitespace(col_(c)), cell_value=py_repr_str(col_(c))))
         return out
 
 
@@ -274,7 +277,7 @@ class MissingValues(Inspector):
                 f"Column '{c}' has {nulls} missing value(s) out of {n} rows ({100 * nulls / n:.1f}%).",
                 "Fill missing values with the column median (numeric) or mode (text), "
                 "or investigate why data is absent.",
-                cell_filter=F.col(c).isNull(), cell_value=F.lit(None).cast("string"), cap=None))
+                cell_filter=col_(c).isNull(), cell_value=F.lit(None).cast("string"), cap=None))
         return out
 
 
@@ -315,8 +318,7 @@ class Outliers(Inspector):
         if not cands:
             return []
         preds = {c: (numeric_view(ctx, c) < lo) | (numeric_view(ctx, c) > hi) for c, lo, hi in cands}
-        counts = ctx.df.agg(*[F.count_if(F.coalesce(p, F.lit(False))).alias(c)
-                              for c, p in preds.items()]).first().asDict()
+        counts = aggregate_in_groups(ctx.df, {c: F.count_if(F.coalesce(p, F.lit(False))) for c, p in preds.items()})
         out = []
         for c, _lo, _hi in cands:
             k = int(counts[c])
@@ -340,8 +342,7 @@ class SchemaValidation(Inspector):
 
     @staticmethod
     def _bad(c):
-        from ..functions.text import strip
-        return F.col(c).isNotNull() & ~strip(F.col(c)).rlike(EMAIL_PATTERN)
+        return col_(c).isNotNull() & ~strip(col_(c)).rlike(EMAIL_PATTERN)
 
     def aggregates(self, ctx):
         return {_k(c, "bad_email"): F.count_if(self._bad(c))
@@ -358,7 +359,7 @@ class SchemaValidation(Inspector):
                     self.name, "accuracy", [c], "critical", bad,
                     f"Column '{c}' (email) has {bad} invalid email address(es).",
                     "Repair or remove invalid email addresses.",
-                    cell_filter=self._bad(c), cell_value=F.col(c)))
+                    cell_filter=self._bad(c), cell_value=col_(c)))
         for c in ctx.columns:
             if ctx.stats[_k(c, "nn")] == 0:
                 out.append(IssueSpec(
@@ -373,7 +374,7 @@ class TypeMismatch(Inspector):
     name, category = "Type Mismatch", "consistency"
 
     def aggregates(self, ctx):
-        return {_k(c, "castable"): F.count_if(is_decimal_text(F.col(c)))
+        return {_k(c, "castable"): F.count_if(is_decimal_text(col_(c)))
                 for c in ctx.columns if ctx.is_string(c)}
 
     def issues(self, ctx):
@@ -391,8 +392,8 @@ class TypeMismatch(Inspector):
                     self.name, self.category, [c], "warning", bad,
                     f"Column '{c}' appears numeric but has {bad} non-numeric value(s).",
                     "Convert non-numeric entries or separate them into a different column.",
-                    cell_filter=F.col(c).isNotNull() & ~is_decimal_text(F.col(c)),
-                    cell_value=F.col(c)))
+                    cell_filter=col_(c).isNotNull() & ~is_decimal_text(col_(c)),
+                    cell_value=col_(c)))
         return out
 
 
@@ -417,23 +418,18 @@ class Inspection:
     def columns(self) -> list:
         return self.ctx.columns
 
-    def unpersist(self):
-        """Release the spread copy of a narrow input, if one was kept."""
-        if self.ctx.cache.get("persisted"):
-            self.ctx.df.unpersist()
-
     def issues(self) -> DataFrame:
         spark = self.ctx.df.sparkSession
         rows = [(s.seq, s.inspector_name, s.category, ", ".join(s.columns), s.severity, int(s.count),
                  s.description, s.suggestion) for s in self.specs]
         return spark.createDataFrame(rows, ISSUE_SCHEMA)
 
-    def cells(self, cap: int | None = CELLS_PER_ISSUE) -> DataFrame:
+    def cells(self, cap: int | None = CELLS_PER_ISSUE, every: int | None = None) -> DataFrame:
         """Long-form affected cells: first ``cap`` per issue in row order
-        (missing-value issues list all of theirs, as in the original)."""
+        (missing-value issues list all of theirs, as in the original; with ``every`` the first so many)."""
         ctx = self.ctx
         spark = ctx.df.sparkSession
-        rid = F.col(ctx.row_id).cast("long")
+        rid = col_(ctx.row_id).cast("long")
         capped, uncapped, custom = [], [], []
         for s in self.specs:
             if s.cells is not None:
@@ -444,7 +440,7 @@ class Inspection:
                 entry = F.when(s.cell_filter, F.struct(F.lit(s.seq).alias("seq"),
                                                        F.lit(s.columns[0]).alias("column"),
                                                        s.cell_value.cast("string").alias("value")))
-                (capped if (s.cap is not None and cap is not None) else uncapped).append(entry)
+                (capped if every is not None or (s.cap is not None and cap is not None) else uncapped).append(entry)
         parts = []
         for entries, limited in ((capped, True), (uncapped, False)):
             if not entries:
@@ -456,7 +452,7 @@ class Inspection:
             if limited:
                 w = Window.partitionBy("seq").orderBy("row")
                 long = (long.withColumn("_rn", F.row_number().over(w))
-                        .where(F.col("_rn") <= cap).drop("_rn"))
+                        .where(F.col("_rn") <= (every or cap)).drop("_rn"))
             parts.append(long)
         parts.extend(custom)
         if not parts:
@@ -467,35 +463,55 @@ class Inspection:
         return out
 
 
+def aggregate_in_groups(df: DataFrame, aggs: dict) -> dict:
+    """Scalars of many aggregates; each job takes as many as whole-stage code generation can."""
+    names, out = list(aggs), {}
+    for at in range(0, len(names), AGGREGATES_PER_JOB):
+        part = names[at:at + AGGREGATES_PER_JOB]
+        row = df.agg(*[aggs[n].alias(f"a{i}") for i, n in enumerate(part)]).first()
+        out.update((n, row[f"a{i}"]) for i, n in enumerate(part))
+    return out
+
+
+def _isolated(what: str, inspector, call):
+    """An inspector that fails is logged and left out; the others go on."""
+    try:
+        return call()
+    except Exception:  # noqa: BLE001  whatever a custom inspector raises
+        log.exception("inspector %r failed in %s", getattr(inspector, "name", inspector), what)
+        return None
+
+
 def inspect(df: DataFrame, row_id: str = "_row_id", inspectors=None) -> Inspection:
-    """Run all inspectors over ``df`` (``row_id`` orders rows and is not inspected)."""
+    """Run all inspectors over ``df``.
+
+    ``row_id`` orders the rows and is not inspected; a table without it (an upload, a join) gets one
+    (see ``rowid.with_row_id``).  A failing inspector is logged and skipped.
+    """
     if row_id not in df.columns:
-        raise ValueError(f"row id column {row_id!r} missing; see verity.operators.rowid.with_row_id")
-    from .parallel import balance
-    spread = balance(df)
-    spread_persisted = spread is not df
-    if spread_persisted:
-        # a narrow input was just spread out; keep it, as every pass reads it again
-        spread = spread.persist()
-    df = spread
+        df = with_row_id(df, row_id)
     columns = [c for c in df.columns if c != row_id]
     dtypes = {f.name: f.dataType for f in df.schema.fields}
     ctx = Context(df, row_id, columns, dtypes)
-    ctx.cache["persisted"] = spread_persisted
     insts = [i() if isinstance(i, type) else i for i in (inspectors or DEFAULT_INSPECTORS)]
-    aggs = {"__rows__": F.count(F.lit(1))}
-    for c in columns:
-        aggs[_k(c, "nn")] = F.count(F.col(c))
-    for ins in insts:
-        aggs.update(ins.aggregates(ctx))
-    names = list(aggs)
-    first = df.agg(*[aggs[n].alias(f"a{i}") for i, n in enumerate(names)]).first()
-    ctx.stats = {n: first[f"a{i}"] for i, n in enumerate(names)}
+    aggs = {"__rows__": F.count(F.lit(1))} | {_k(c, "nn"): F.count(col_(c)) for c in columns}
+    own = {id(i): _isolated("aggregates", i, lambda i=i: dict(i.aggregates(ctx))) for i in insts}
+    insts = [i for i in insts if own[id(i)] is not None]
+    try:
+        ctx.stats = aggregate_in_groups(df, aggs | {n: a for i in insts for n, a in own[id(i)].items()})
+    except Exception:  # noqa: BLE001  an expression of some inspector: each one by itself
+        ctx.stats = aggregate_in_groups(df, aggs)
+        for i in list(insts):
+            got = _isolated("aggregates", i, lambda i=i: aggregate_in_groups(df, own[id(i)]))
+            if got is None:
+                insts.remove(i)
+            else:
+                ctx.stats.update(got)
     if ctx.rows == 0:
         raise ValueError("empty table: nothing to inspect")
     specs = []
-    for ins in insts:
-        specs.extend(ins.issues(ctx))
+    for i in insts:
+        specs.extend(_isolated("issues", i, lambda i=i: list(i.issues(ctx))) or [])
     for i, s in enumerate(specs):
         s.seq = i
     return Inspection(ctx, specs)

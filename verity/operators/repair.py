@@ -14,8 +14,8 @@ projection as literals.  Barriers:
 * B5  after F12     -> F13-F17 (nulls, numeric share, exact median, mode, and
                        the casing counts of F17, adjusted for the fills)
 
-Intermediate results are persisted at B1's input and B4's input, and the final
-frame once; clean rows, quarantine and the change log are projections of it.
+Each barrier's input is persisted; once its jobs have read it, the frame before it is given up, so two
+frames live at most.  Clean rows, quarantine and the change log are projections of the last one.
 """
 
 from __future__ import annotations
@@ -40,9 +40,9 @@ from ..functions.roles import roles_for
 from ..functions.text import (col_, is_lower_style, is_title_style, is_upper_style, py_style,
                               smart_title, words)
 from ..functions.text import strip as strip_ws
-from .parallel import balance
+from .inspect import aggregate_in_groups
 from .rowid import dense_index, with_row_id
-from .stats import exact_median, modes
+from .stats import exact_medians, modes
 
 CHANGE = T.StructType([
     T.StructField("rule", T.IntegerType()),
@@ -115,7 +115,7 @@ def step(w: Work, rule: int, branches: dict, helpers: list | None = None) -> Wor
     """
     if not branches:
         return w
-    first = [F.col(w.row_id)] + [F.col(c) for c in w.columns] + \
+    first = [col_(w.row_id)] + [col_(c) for c in w.columns] + \
         [F.col("_changes"), F.col("_reasons"), F.col("_q")]
     for ci, c in enumerate(w.columns):
         bs = branches.get(c)
@@ -132,14 +132,14 @@ def step(w: Work, rule: int, branches: dict, helpers: list | None = None) -> Wor
         base = base.select("*", *[h.alias(n) for n, h in helpers])
         first += [F.col(n) for n, _ in helpers]  # reasons may quote a helper value
     p1 = base.select(*first)
-    sel = [F.col(w.row_id)]
+    sel = [col_(w.row_id)]
     chg, rsn = [], []
     for ci, c in enumerate(w.columns):
         bs = branches.get(c)
         if not bs:
-            sel.append(F.col(c))
+            sel.append(col_(c))
             continue
-        bn, bv, old = F.col(f"_b{ci}"), F.col(f"_v{ci}"), F.col(c)
+        bn, bv, old = F.col(f"_b{ci}"), F.col(f"_v{ci}"), col_(c)
         assigning = [k for k, b in enumerate(bs, start=1) if b.assign]
         if assigning:
             sel.append(F.when(bn.isin(*assigning), bv).otherwise(old).alias(c))
@@ -177,9 +177,13 @@ def barrier(w: Work, aggs: dict) -> dict:
     """One aggregate job over the current frame; returns driver-side scalars."""
     if not aggs:
         return {}
-    names = list(aggs)
-    row = w.df.agg(*[aggs[n].alias(f"s{i}") for i, n in enumerate(names)]).first()
-    return {n: row[f"s{i}"] for i, n in enumerate(names)}
+    return aggregate_in_groups(w.df, aggs)
+
+
+def release(w: Work) -> None:
+    """Give up all persisted frames but the newest, once a job has read that one whole."""
+    while len(w.persisted) > 1:
+        w.persisted.pop(0).unpersist()
 
 
 def materialize(w: Work, how: str) -> Work:
@@ -205,19 +209,18 @@ def stringify(df: DataFrame, row_id: str = "_row_id", roles: dict | None = None)
     """add the row id if missing, cast every content column to text."""
     if row_id not in df.columns:
         df = with_row_id(df, row_id)
-    df = balance(df)
     cols = [c for c in df.columns if c != row_id]
     dtypes = {f.name: f.dataType for f in df.schema.fields}
 
     def text(c):
         dt = dtypes[c]
         if isinstance(dt, (T.DoubleType, T.FloatType)):
-            return py_repr_double(F.col(c).cast("double"))
+            return py_repr_double(col_(c).cast("double"))
         if isinstance(dt, (T.StructType, T.ArrayType, T.MapType)):
-            return F.to_json(F.col(c))
-        return F.col(c).cast("string")
+            return F.to_json(col_(c), {"ignoreNullFields": "false"})
+        return col_(c).cast("string")
 
-    out = df.select(F.col(row_id).cast("long").alias(row_id), *[text(c).alias(c) for c in cols],
+    out = df.select(col_(row_id).cast("long").alias(row_id), *[text(c).alias(c) for c in cols],
                     F.array().cast(T.ArrayType(CHANGE)).alias("_changes"),
                     F.array().cast(T.ArrayType(T.StringType())).alias("_reasons"),
                     F.lit(False).alias("_q"))
@@ -238,7 +241,7 @@ def fix_whitespace(w: Work) -> Work:
     """strip both ends of every value."""
     br = {}
     for c in w.columns:
-        v = F.col(c)
+        v = col_(c)
         br[c] = [Branch(v.isNotNull() & _edge_ws(v) & (v != strip_ws(v)), strip_ws(v), "fixed",
                         lit_s("Leading/trailing whitespace stripped."))]
     return step(w, R_WS, br)
@@ -248,7 +251,7 @@ def fix_null_sentinels(w: Work) -> Work:
     """placeholder text ("n/a", "unknown", "-", ...) becomes null."""
     br = {}
     for c in w.columns:
-        v = F.col(c)
+        v = col_(c)
         br[c] = [Branch(v.isNotNull() & F.lower(strip(v)).isin(*NULL_SENTINELS), None, "fixed",
                         F.concat(lit_s("Null-sentinel '"), v, lit_s("' normalised to null.")))]
     return step(w, R_NULL, br)
@@ -275,7 +278,7 @@ def fix_numeric_strings(w: Work, apply_cols) -> Work:
     """currency symbols and thousands separators removed in chosen columns."""
     br, helpers = {}, []
     for i, c in enumerate(apply_cols):
-        v = F.col(c)
+        v = col_(c)
         helpers.append((f"_h3_{i}", F.when(v.isNotNull() & _has_currency_mark(v) & _currency_hit(v),
                                            _currency_clean(v))))
         cleaned = F.col(f"_h3_{i}")
@@ -308,9 +311,9 @@ def fix_ratings(w: Work) -> Work:
     """rating words to numbers, out-of-range numbers clamped."""
     br, helpers = {}, []
     for i, c in enumerate(rating_columns(w)):
-        vl = F.lower(F.col(c))
+        vl = F.lower(col_(c))
         helpers += [(f"_h4w_{i}", rating_word_number(vl)), (f"_h4n_{i}", py_float_value(vl))]
-        br[c] = _rating_branches(F.col(c), F.col(f"_h4w_{i}"), F.col(f"_h4n_{i}"))
+        br[c] = _rating_branches(col_(c), F.col(f"_h4w_{i}"), F.col(f"_h4n_{i}"))
     return step(w, R_RATING, br, helpers)
 
 
@@ -330,11 +333,11 @@ def coerce_types(w: Work, to_labels, to_numbers) -> Work:
     """F5 numbers in a rating-word column -> labels; F6 rating words in a numeric column -> numbers."""
     br, helpers = {}, []
     for i, c in enumerate(to_labels):
-        helpers.append((f"_h5_{i}", closest_rating_label(py_float_value(F.col(c)))))
-        br[c] = [_to_label_branch(F.col(c), F.col(f"_h5_{i}"))]
+        helpers.append((f"_h5_{i}", closest_rating_label(py_float_value(col_(c)))))
+        br[c] = [_to_label_branch(col_(c), F.col(f"_h5_{i}"))]
     for i, c in enumerate(to_numbers):
-        helpers.append((f"_h6_{i}", rating_word_number(F.lower(F.col(c)))))
-        br[c] = [_to_number_branch(F.col(c), F.col(f"_h6_{i}"))]
+        helpers.append((f"_h6_{i}", rating_word_number(F.lower(col_(c)))))
+        br[c] = [_to_number_branch(col_(c), F.col(f"_h6_{i}"))]
     return step(w, R_COERCE, br, helpers)
 
 
@@ -342,7 +345,7 @@ def fix_dates(w: Work, plans: dict) -> Work:
     """dates in the column's dominant non-ISO shape, then any shape, rewritten as ISO."""
     br, helpers = {}, []
     for i, (c, dom) in enumerate(plans.items()):
-        v = F.col(c)
+        v = col_(c)
         helpers += [(f"_h7a_{i}", parse_as(v, dom)),
                     (f"_h7b_{i}", parse_first(v, range(len(DATE_FORMATS))))]
         first, other = F.col(f"_h7a_{i}"), F.col(f"_h7b_{i}")
@@ -356,7 +359,7 @@ def fix_emails(w: Work) -> Work:
     """F8: lower-case, strip, correct common domain typos."""
     br, helpers = {}, []
     for i, c in enumerate(x for x in w.columns if w.role(x) == "email"):
-        v = F.col(c)
+        v = col_(c)
         helpers.append((f"_h8_{i}", normalise_email(v, stripped=True)))
         nv = F.col(f"_h8_{i}")
         br[c] = [Branch(v.isNotNull() & (nv != v), nv, "fixed",
@@ -378,7 +381,7 @@ def fix_phones(w: Work) -> Work:
     """10 digits -> (ddd) ddd-dddd, 11 digits with a leading 1 -> +1 (ddd) ddd-dddd."""
     br, helpers = {}, []
     for i, c in enumerate(x for x in w.columns if w.role(x) == "phone"):
-        v = F.col(c)
+        v = col_(c)
         helpers.append((f"_h9_{i}", phone_format(v)))
         fmt = F.col(f"_h9_{i}")
         br[c] = [Branch(v.isNotNull() & fmt.isNotNull() & (fmt != v), fmt, "fixed",
@@ -390,7 +393,7 @@ def fix_booleans(w: Work, cols) -> Work:
     """a column made only of yes/no words becomes "True"/"False"."""
     br = {}
     for c in cols:
-        v = F.col(c)
+        v = col_(c)
         vl = F.lower(strip(v))
         br[c] = [Branch(v.isNotNull() & vl.isin(*BOOLEAN_TRUE) & (v != "True"), F.lit("True"), "fixed",
                         lit_s("Boolean normalised to 'True'.")),
@@ -405,7 +408,7 @@ def validate_emails(w: Work) -> Work:
     for c in w.columns:
         if w.role(c) != "email":
             continue
-        v = F.col(c)
+        v = col_(c)
         reason = F.concat(lit_s("Email '"), v, lit_s(f"' in '{c}' remains invalid after auto-correction"
                                                      " — manual fix required."))
         br[c] = [Branch(v.isNotNull() & ~strip(v).rlike(EMAIL_PATTERN), None, "critical", reason,
@@ -438,7 +441,7 @@ def plan_numeric_and_coerce(w: Work):
     skip = {"id", "email", "phone", "date", "name"}
     first, second, aggs = [F.lit(1).alias("_one")], [F.col("_one")], {}
     for i, c in enumerate(w.columns):
-        v = F.col(c)
+        v = col_(c)
         x = _after_rating(w, c, v)
         first += [v.isNotNull().alias(f"_nn{i}"),
                   (v.isNotNull() & castable_float(x)).alias(f"_nr{i}"),
@@ -462,9 +465,7 @@ def plan_numeric_and_coerce(w: Work):
         aggs[("num", "f3", c)] = F.count_if(F.col(f"_nf{i}"))
         aggs[("txt", "f3", c)] = F.count_if(F.col(f"_tf{i}"))
     flags = w.df.select(*first).select(*second)
-    names = list(aggs)
-    row = flags.agg(*[aggs[n].alias(f"s{k}") for k, n in enumerate(names)]).first()
-    s = {n: row[f"s{k}"] for k, n in enumerate(names)}
+    s = aggregate_in_groups(flags, aggs)
     f3 = [c for c in w.columns
           if ("cur", c) in s and s[("nn", c)] >= 3 and s[("cur", c)] / s[("nn", c)] >= 0.5]
     to_labels, to_numbers = [], []
@@ -486,14 +487,14 @@ def plan_dates_and_booleans(w: Work):
     aggs = {}
     date_cols = [c for c in w.columns if w.role(c) == "date"]
     for c in date_cols:
-        shape = date_shape(strip(F.col(c)))
+        shape = date_shape(strip(col_(c)))
         for i in range(len(DATE_FORMATS)):
-            hit = F.col(c).isNotNull() & (shape == i)
+            hit = col_(c).isNotNull() & (shape == i)
             aggs[("dn", i, c)] = F.count_if(hit)
-            aggs[("df", i, c)] = F.min(F.when(hit, F.col(w.row_id)))
+            aggs[("df", i, c)] = F.min(F.when(hit, col_(w.row_id)))
     allwords = list(BOOLEAN_TRUE) + list(BOOLEAN_FALSE)
     for c in w.columns:
-        v = F.col(c)
+        v = col_(c)
         vl = F.lower(strip(v))
         ne = v.isNotNull() & (v != "")
         aggs[("bn", c)] = F.count(v)
@@ -545,26 +546,22 @@ def _present(v: Column) -> Column:
 
 def email_naming_pattern(w: Work, ecol: str, ncol: str):
     """The e-mail naming pattern that the complete (e-mail, name) pairs vote for."""
-    e, n = F.col(ecol), F.col(ncol)
+    e, n = col_(ecol), col_(ncol)
     complete = _present(e) & _present(n) & (F.instr(e, "@") > 0) & e.rlike(EMAIL_PATTERN)
-    pairs = w.df.where(complete)
-    head = pairs.agg(F.count(F.lit(1)).alias("n"),
-                     F.min_by(F.substring_index(e, "@", -1), F.col(w.row_id)).alias("dom")).first()
-    if head["n"] < 3:
-        return None
     parts = _name_parts(n)
     p0, pl = F.lower(F.element_at(parts, 1)), F.lower(F.element_at(parts, -1))
-    cands = []
+    prefix, two = _prefix_of(e), F.size(parts) >= 2
+    rid = col_(w.row_id)
+    aggs = {"n": F.count(F.lit(1)), "dom": F.min_by(F.substring_index(e, "@", -1), rid)}
     for oi, (f, l) in enumerate(((p0, pl), (pl, p0))):
         for pi, cand in enumerate(_candidates(f, l)):
-            cands.append(F.struct(F.lit(oi).alias("o"), F.lit(pi).alias("p"), cand.alias("c")))
-    votes = (pairs.where(F.size(parts) >= 2)
-             .select(F.col(w.row_id).alias("r"), _prefix_of(e).alias("prefix"),
-                     F.explode(F.array(*cands)).alias("k"))
-             .where(F.col("k.c") == F.col("prefix"))
-             .groupBy(F.col("k.o").alias("o"), F.col("k.p").alias("p"))
-             .agg(F.count(F.lit(1)).alias("votes"), F.min("r").alias("first"))
-             .collect())
+            hit = two & F.coalesce(cand == prefix, F.lit(False))
+            aggs["votes", oi, pi], aggs["first", oi, pi] = F.count_if(hit), F.min(F.when(hit, rid))
+    head = aggregate_in_groups(w.df.where(complete), aggs)
+    if head["n"] < 3:
+        return None
+    votes = [{"o": o, "p": p, "votes": head["votes", o, p], "first": head["first", o, p]}
+             for o in range(2) for p in range(len(PATTERNS)) if head["votes", o, p]]
     if not votes:
         return None
     total = sum(int(v["votes"]) for v in votes)
@@ -601,7 +598,7 @@ def name_from_email(email: Column, info: dict) -> Column | None:
     return F.when(ok, full)
 
 
-def infer_cross_column(w: Work) -> Work:
+def infer_cross_column(w: Work, how: str = "persist") -> Work:
     """F11/F12 for every (e-mail, name) column pair, pairs in order."""
     ecols = [c for c in w.columns if w.role(c) == "email"]
     ncols = [c for c in w.columns if w.role(c) == "name"]
@@ -610,19 +607,22 @@ def infer_cross_column(w: Work) -> Work:
             info = email_naming_pattern(w, ecol, ncol)
             if not info:
                 continue
-            w = _infer_pair(w, ecol, ncol, info)
+            w = materialize(_infer_pair(w, ecol, ncol, info), how)      # else every pair would triple the plan
+            if w.persisted and how == "persist":
+                w.df.count()
+                release(w)
     return w
 
 
 def _infer_pair(w: Work, ecol: str, ncol: str, info: dict) -> Work:
-    e, n = F.col(ecol), F.col(ncol)
+    e, n = col_(ecol), col_(ncol)
     kind = "fixed" if info["confidence"] >= 0.80 else "warning"
     tail = f"(pattern: {info['pattern']}, confidence: {info['confidence']:.0%})."
     rid = w.row_id
     # F11 candidates: e-mail empty, name present, inferred address valid.
     inferred = email_from_name(n, info)
     want = ~_present(e) & _present(n)
-    cand = (w.df.where(want).select(F.col(rid), inferred.alias("inf"))
+    cand = (w.df.where(want).select(col_(rid), inferred.alias("inf"))
             .where(F.col("inf").isNotNull() & F.col("inf").rlike(EMAIL_PATTERN)))
     existing = (w.df.where(_present(e) & (F.instr(e, "@") > 0) & e.rlike(EMAIL_PATTERN))
                 .select(e.alias("inf")).distinct())
@@ -630,7 +630,7 @@ def _infer_pair(w: Work, ecol: str, ncol: str, info: dict) -> Work:
     # then drop addresses already in use (distinct keys: no skew in the anti join)
     winners = (cand.groupBy("inf").agg(F.min(rid).alias(rid))
                .join(existing, "inf", "left_anti")
-               .select(F.col(rid), F.col("inf").alias("_inf_email")))
+               .select(col_(rid), F.col("inf").alias("_inf_email")))
     df = w.df.join(winners, rid, "left")
     w2 = Work(df, w.columns, w.roles, rid, w.stats, w.persisted)
     got = F.col("_inf_email")
@@ -657,7 +657,7 @@ def _py_is_decimal(v: str) -> bool:
 
 
 def _style_aggs(c: str) -> dict:
-    v = F.col(c)
+    v = col_(c)
     return {("lo", c): F.count_if(v.isNotNull() & is_lower_style(v)),
             ("up", c): F.count_if(v.isNotNull() & is_upper_style(v)),
             ("ti", c): F.count_if(v.isNotNull() & is_title_style(v))}
@@ -667,12 +667,12 @@ def plan_missing_and_casing(w: Work):
     """B5 (+B6 folded in): how each column's nulls are handled, and its casing fix."""
     aggs = {("rows",): F.count(F.lit(1))}
     for c in w.columns:
-        v = F.col(c)
+        v = col_(c)
         x = decimal_value(v)
         aggs[("nn", c)] = F.count(v)
         aggs[("num", c)] = F.count(x)
         aggs[("fin", c)] = F.bool_and(F.when(x.isNotNull(), ~F.isnan(x) & (F.abs(x) != float("inf"))))
-        aggs[("int", c)] = F.bool_and(F.when(x.isNotNull(), x == F.floor(x)))
+        aggs[("int", c)] = F.bool_and(F.when(x.isNotNull(), x == F.rint(x)))
         aggs.update(_style_aggs(c))
     s = barrier(w, aggs)
     rows = s[("rows",)]
@@ -693,10 +693,9 @@ def plan_missing_and_casing(w: Work):
             if nn > 0:
                 mode_cols.append(c)
     md = modes(w.df, mode_cols)
+    medians = exact_medians(w.df, {c: (decimal_value(col_(c)), s[("num", c)]) for c in med_cols})
     for c in med_cols:
-        x = decimal_value(F.col(c))
-        med = exact_median(w.df, x, s[("num", c)])
-        med = round(float(med), 2)
+        med = round(float(medians[c]), 2)
         fill = str(int(med)) if s[("int", c)] is not False else str(med)
         plan[c] = ("median", fill)
     for c in mode_cols:
@@ -745,7 +744,7 @@ def fix_missing(w: Work, plan: dict) -> Work:
     """F13 quarantine, F14 median, F15 mode, F16 flag."""
     br = {}
     for c, p in plan.items():
-        v = F.col(c)
+        v = col_(c)
         if p[0] == "quarantine":
             reason = lit_s(f"Missing {p[1].upper()} value in column '{c}' — cannot be inferred automatically.")
             br[c] = [Branch(v.isNull(), None, "critical", reason, assign=False, quarantine=True)]
@@ -767,7 +766,7 @@ def fix_casing(w: Work, casing: dict) -> Work:
     br, helpers = {}, []
     labels = {"title": "Title Case", "lower": "lowercase", "upper": "UPPERCASE"}
     for i, (c, how) in enumerate(casing.items()):
-        v = F.col(c)
+        v = col_(c)
         helpers.append((f"_h17_{i}", smart_title(v) if how == "title" else F.lower(v) if how == "lower"
                         else F.upper(v)))
         nv = F.col(f"_h17_{i}")
@@ -791,29 +790,29 @@ class AutofixResult:
     def clean(self, keep_row_id: bool = True) -> DataFrame:
         """O1: rows without quarantine reasons, content columns (+ row id)."""
         cols = ([self.row_id] if keep_row_id else []) + self.columns
-        return self.frame.where(~F.col("_q")).select(*cols)
+        return self.frame.where(~F.col("_q")).select(*map(col_, cols))
 
     def quarantine(self) -> DataFrame:
         """O1-O3: quarantined rows, nulls marked TO_BE_DETERMINED, reasons joined."""
         q = self.frame.where(F.col("_q"))
-        return q.select(F.col(self.row_id),
-                        *[F.coalesce(F.col(c), F.lit(TO_BE_DETERMINED)).alias(c) for c in self.columns],
+        return q.select(col_(self.row_id),
+                        *[F.coalesce(col_(c), F.lit(TO_BE_DETERMINED)).alias(c) for c in self.columns],
                         F.concat_ws("; ", "_reasons").alias("_issue_reason"))
 
     def all_changes(self) -> DataFrame:
         """Every change including quarantined rows, keyed by row id."""
-        return (self.frame.select(F.col(self.row_id), F.explode("_changes").alias("c"))
-                .where(F.col("c").isNotNull()).select(F.col(self.row_id), "c.*"))
+        return (self.frame.select(col_(self.row_id), F.explode("_changes").alias("c"))
+                .where(F.col("c").isNotNull()).select(col_(self.row_id), "c.*"))
 
     def changes(self) -> DataFrame:
         """Changes of clean rows; ``row`` = position among clean rows."""
         if "_changes_df" in self.plan:
             return self.plan["_changes_df"]
-        clean = self.frame.where(~F.col("_q")).select(self.row_id, "_changes")
+        clean = self.frame.where(~F.col("_q")).select(col_(self.row_id), "_changes")
         indexed = dense_index(clean, self.row_id, "row", persisted=self.plan.setdefault("_persisted", []))
-        out = (indexed.select("row", F.col(self.row_id), F.explode("_changes").alias("c"))
+        out = (indexed.select("row", col_(self.row_id), F.explode("_changes").alias("c"))
                 .where(F.col("c").isNotNull())
-                .select("row", F.col(self.row_id), F.col("c.rule"), F.col("c.col"),
+                .select("row", col_(self.row_id), F.col("c.rule"), F.col("c.col"),
                         F.col("c.column"), F.col("c.old_value"), F.col("c.new_value"), F.col("c.kind"),
                         F.col("c.reason")))
         self.plan["_changes_df"] = out
@@ -845,20 +844,23 @@ def autofix(df: DataFrame, row_id: str = "_row_id", roles: dict | None = None,
     w = fix_null_sentinels(w)
     w = materialize(w, materialize_as)
     f3, to_labels, to_numbers = plan_numeric_and_coerce(w)
+    release(w)
     w = fix_numeric_strings(w, f3)
     w = fix_ratings(w)
     w = coerce_types(w, to_labels, to_numbers)
     w = materialize(w, materialize_as)  # B3 and the F7-F10 stage both read this
     dates, bools = plan_dates_and_booleans(w)
+    release(w)
     w = fix_dates(w, dates)
     w = fix_emails(w)
     w = fix_phones(w)
     w = fix_booleans(w, bools)
     if any(r == "email" for r in w.roles.values()) and any(r == "name" for r in w.roles.values()):
         w = materialize(w, materialize_as)
-        w = infer_cross_column(w)
+        w = infer_cross_column(w, materialize_as)
     w = materialize(w, materialize_as)
     missing, casing = plan_missing_and_casing(w)
+    release(w)
     w = fix_missing(w, missing)
     w = fix_casing(w, casing)
     w = validate_emails(w)
@@ -880,9 +882,9 @@ def dominant_date_formats(df: DataFrame, row_id: str = "_row_id", roles: dict |
     date_cols = [c for c in w.columns if w.role(c) == "date"]
     aggs = {}
     for c in date_cols:
-        shape = date_shape(strip_ws(F.col(c)))
+        shape = date_shape(strip_ws(col_(c)))
         for i in range(len(DATE_FORMATS)):
-            hit = F.col(c).isNotNull() & (shape == i)
+            hit = col_(c).isNotNull() & (shape == i)
             aggs[("dn", i, c)] = F.count_if(hit)
             aggs[("df", i, c)] = F.min(F.when(hit, F.col(row_id)))
     s = barrier(w, aggs)
@@ -902,7 +904,7 @@ def numeric_columns(df: DataFrame, row_id: str = "_row_id") -> DataFrame:
                  T.DecimalType)
     aggs = []
     for i, c in enumerate(cols):
-        aggs += [F.count(F.col(c)).alias(f"n{i}"), F.count(decimal_value(F.col(c).cast("string"))).alias(f"k{i}")]
+        aggs += [F.count(col_(c)).alias(f"n{i}"), F.count(decimal_value(col_(c).cast("string"))).alias(f"k{i}")]
     r = df.agg(*aggs).first()
     rows = []
     for i, c in enumerate(cols):

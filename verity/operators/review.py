@@ -9,9 +9,14 @@ a whole table, or all changes of a column, into one task.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import col_
+from .history import read_log
+
 SEVERITY_RANK = {"critical": 4, "error": 3, "warning": 2}   # anything else ranks 1
 KIND_RANK = {"critical": 3, "warning": 2}                   # anything else ("fixed") ranks 1
 
@@ -48,10 +53,10 @@ def _apply_cells(table: DataFrame, cells: DataFrame, row_id: str, columns) -> Da
         if c == row_id:
             continue
         if c in cols:
-            out.append(F.when(F.coalesce(F.col(f"_w_{c}"), F.lit(False)), F.col(f"_v_{c}"))
-                       .otherwise(F.col(c)).alias(c))
+            out.append(F.when(F.coalesce(col_(f"_w_{c}"), F.lit(False)), col_(f"_v_{c}"))
+                       .otherwise(col_(c)).alias(c))
         else:
-            out.append(F.col(c))
+            out.append(col_(c))
     return joined.select(*out)
 
 
@@ -142,14 +147,14 @@ def search_rows(table: DataFrame, query: str, row_id: str = "_row_id") -> DataFr
     for c in table.columns:
         if c == row_id:
             continue
-        cond = cond | F.coalesce(F.instr(F.lower(F.col(c).cast("string")), q) > 0, F.lit(False))
+        cond = cond | F.coalesce(F.instr(F.lower(col_(c).cast("string")), q) > 0, F.lit(False))
     return table.where(cond)
 
 
 def cell_severity(cells: DataFrame, issues: DataFrame) -> DataFrame:
     """V6: highest severity per affected cell (critical > error > warning > info)."""
     sev = issues.select("seq", "severity")
-    return (cells.join(F.broadcast(sev), "seq")
+    return (cells.join(sev, "seq")
             .groupBy("row", "column")
             .agg(F.max_by("severity", _rank(F.col("severity"), SEVERITY_RANK)).alias("severity")))
 
@@ -176,45 +181,63 @@ def change_stats(changes: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------------------
-# Table versions (undo / redo) on a versioned Parquet folder
+# Table versions (undo / redo) in a folder of Parquet snapshots
 # ---------------------------------------------------------------------------
 
 class TableVersions:
-    """Snapshots of a table, one ``version`` partition each, plus a cursor.
+    """Snapshots of a table, and a log of what was done with them (push, undo, redo).
 
-    ``push`` writes a new snapshot after the cursor (dropping any redo tail),
-    ``undo`` / ``redo`` move the cursor, ``current`` reads the snapshot at the
-    cursor.  Snapshots are written tables in a shared folder, so nothing is
-    held on the driver and a lost executor only recomputes its own task.
+    Both are written tables in a shared folder, so another process that opens the folder goes on where
+    the last one was.  A snapshot has a folder of its own and exists once the log names it; none is ever overwritten.
+    ``push`` drops the redo tail, ``undo`` / ``redo`` move the cursor, ``current`` reads the snapshot at the
+    cursor.  One writer at a time.
     """
 
+    LOG = "seq long, action string, snapshot string"
+
     def __init__(self, spark, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        self.versions: list[int] = []
-        self.cursor = -1
-        self._next = 0  # snapshot ids are never reused, so a dropped redo tail stays unread
-
-    def push(self, df: DataFrame) -> int:
-        keep = self.versions[: self.cursor + 1]
-        v = self._next
-        self._next += 1
-        df.withColumn("version", F.lit(v)).write.mode("append").partitionBy("version").parquet(self.path)
-        self.versions = keep + [v]
-        self.cursor = len(self.versions) - 1
-        return v
+
+    def _state(self) -> tuple[int, list[str], int]:
+        """(entries in the log, snapshots that are reachable, cursor), by replaying the log (one row per action)."""
+        rows = sorted(read_log(self.spark, f"{self.path}/log", self.LOG).collect())
+        kept, cursor = [], -1
+        for r in rows:
+            if r["action"] == "push":
+                kept = [*kept[:cursor + 1], r["snapshot"]]
+            cursor += {"push": 1, "redo": 1, "undo": -1}[r["action"]]
+        return len(rows), kept, cursor
+
+    def _log(self, seq: int, action: str, snapshot: str | None = None) -> None:
+        self.spark.createDataFrame([(seq, action, snapshot)], self.LOG).coalesce(1).write.mode("append").parquet(f"{self.path}/log")
+
+    @property
+    def versions(self) -> list[str]:
+        return self._state()[1]
+
+    @property
+    def cursor(self) -> int:
+        return self._state()[2]
+
+    def push(self, df: DataFrame) -> str:
+        seq, _, _ = self._state()
+        name = f"snapshot-{seq}-{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.path}/{name}")
+        self._log(seq, "push", name)
+        return name
 
     def undo(self) -> bool:
-        if self.cursor > 0:
-            self.cursor -= 1
-            return True
-        return False
+        seq, _, cursor = self._state()
+        if cursor > 0:
+            self._log(seq, "undo")
+        return cursor > 0
 
     def redo(self) -> bool:
-        if self.cursor < len(self.versions) - 1:
-            self.cursor += 1
-            return True
-        return False
+        seq, kept, cursor = self._state()
+        if cursor < len(kept) - 1:
+            self._log(seq, "redo")
+        return cursor < len(kept) - 1
 
     def current(self) -> DataFrame:
-        v = self.versions[self.cursor]
-        return self.spark.read.parquet(self.path).where(F.col("version") == v).drop("version")
+        _, kept, cursor = self._state()
+        return self.spark.read.parquet(f"{self.path}/{kept[cursor]}")

@@ -2,34 +2,48 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions.text import col_
 
 _POS_BITS = 33  # monotonically_increasing_id = partition_id << 33 | position
 
 
 def with_row_id(df: DataFrame, name: str = "_row_id", key: str | None = None) -> DataFrame:
-    """Add a unique id that follows input order.
+    """Add a unique long id that follows input order.
 
-    * ``key`` given: the key itself orders rows (it must be unique).
-    * file scan: (file, row index inside the file) gives the original order;
-      a per-file offset (one small aggregate over file metadata, one row per
-      file) turns it into a contiguous 0-based position.
+    * ``key`` given: it must be unique and orders the rows.  An integer key is the id; of any other
+      orderable key (text, dates, structs) the id is the rank.
+    * rows of files (Parquet, CSV, JSON lines): the position over all files, in the order of
+      (file, split, place in the split).
+    * anything else (joins, in-memory rows): ids that follow the order of the partitions.  They hold as long
+      as the input is not computed anew in another order, so give a key or a written table where that can happen.
     """
     if key is not None:
-        return df.withColumn(name, F.col(key).cast("long"))
-    meta = df.select("*", F.col("_metadata.file_path").alias("_vf"),
-                     F.col("_metadata.row_index").alias("_vi"))
-    sizes = meta.groupBy("_vf").agg(F.count(F.lit(1)).alias("_vn")).orderBy("_vf").collect()
-    offsets, acc = [], 0
-    for r in sizes:
-        offsets.append((r["_vf"], acc))
-        acc += int(r["_vn"])
-    if not offsets:
-        return df.withColumn(name, F.lit(None).cast("long"))
-    off = F.create_map(*[x for f, o in offsets for x in (F.lit(f), F.lit(o))])
-    return meta.withColumn(name, (F.element_at(off, F.col("_vf")) + F.col("_vi")).cast("long")) \
-        .drop("_vf", "_vi")
+        kind = df.schema[key].dataType
+        if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+            return df.withColumn(name, col_(key).cast("long"))
+        return dense_index(df, key, name)
+    here = F.monotonically_increasing_id()
+    try:
+        known = df.select("_metadata").schema["_metadata"].dataType.names
+    except AnalysisException:
+        return df.withColumn(name, here)
+    indexed = "row_index" in known
+    rows = df.select("*", F.col("_metadata.file_path").alias("_vf"),
+                     (F.col("_metadata.row_index") if indexed else here).alias("_vi"),
+                     (F.lit(0).cast("long") if indexed else F.col("_metadata.file_block_start")).alias("_vb"))
+    # one row per file or split: its first place, and how many rows come before it
+    splits = rows.groupBy("_vf", "_vb").agg(F.count(F.lit(1)).alias("_vn"), F.min("_vi").alias("_vl"))
+    before = Window.orderBy("_vf", "_vb").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select(F.col("_vf").alias("_sf"), F.col("_vb").alias("_sb"),
+                           (F.coalesce(F.sum("_vn").over(before), F.lit(0)) - F.col("_vl")).alias("_so"))
+    return (rows.join(splits, (F.col("_vf") == F.col("_sf")) & (F.col("_vb") == F.col("_sb")))
+            .withColumn(name, (F.col("_so") + F.col("_vi")).cast("long"))
+            .drop("_vf", "_vi", "_vb", "_sf", "_sb", "_so"))
 
 
 def dense_index(df: DataFrame, order_col: str, name: str = "_pos",
@@ -38,12 +52,12 @@ def dense_index(df: DataFrame, order_col: str, name: str = "_pos",
 
     Range-partition on the key (one shuffle), sort inside partitions, read each
     row's partition and position from ``monotonically_increasing_id``, and add
-    the partition's offset (prefix sum of per-partition counts: one row per
-    partition, so a bounded literal).  No single-partition window.
+    the partition's offset: an array literal with one number per partition, looked up by
+    index.  No single-partition window.
     """
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (df.repartitionByRange(n, F.col(order_col)).sortWithinPartitions(order_col)
+    ranged = (df.repartitionByRange(n, col_(order_col)).sortWithinPartitions(col_(order_col))
               .withColumn("_mid", F.monotonically_increasing_id()))
     ranged = ranged.withColumn("_pid", F.shiftright(F.col("_mid"), _POS_BITS)) \
         .withColumn("_ppos", F.col("_mid").bitwiseAND((1 << _POS_BITS) - 1))
@@ -52,12 +66,11 @@ def dense_index(df: DataFrame, order_col: str, name: str = "_pos",
         persisted.append(ranged)
     counts = {r["_pid"]: int(r["n"]) for r in
               ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("n")).collect()}
-    offs, acc = {}, 0
-    for pid in sorted(counts):
-        offs[pid] = acc
-        acc += counts[pid]
+    offs, acc = [], 0
+    for pid in range(max(counts, default=-1) + 1):
+        offs.append(acc)
+        acc += counts.get(pid, 0)
     if not offs:
         return ranged.withColumn(name, F.lit(None).cast("long")).drop("_mid", "_pid", "_ppos")
-    off = F.create_map(*[x for p, o in offs.items() for x in (F.lit(p), F.lit(o))])
-    return (ranged.withColumn(name, (F.element_at(off, F.col("_pid")) + F.col("_ppos")).cast("long"))
-            .drop("_mid", "_pid", "_ppos"))
+    off = F.element_at(F.array(*[F.lit(o).cast("long") for o in offs]), (F.col("_pid") + 1).cast("int"))
+    return ranged.withColumn(name, (off + F.col("_ppos")).cast("long")).drop("_mid", "_pid", "_ppos")

@@ -1,70 +1,81 @@
-"""Exact column statistics that stay bounded at any size: median and mode.
+"""Exact column statistics that stay bounded at any size: medians and modes.
 
-Spark's exact ``percentile`` keeps every distinct value of a group in one hash
-map, so a global median over a high-cardinality column cannot scale.  Here the
-median is found by narrowing: an approximate quantile sketch (bounded memory)
-brackets the wanted ranks, one counting pass confirms the bracket, and only the
-values inside the bracket (a bounded number) are ranked exactly.
+The median is found by radix selection.  A double is turned into the integer that orders as
+it does (its IEEE bits, negated below zero), and the integer's 16-bit digits are counted from the
+top: four counting jobs, each for all columns together, end at the exact value.  A
+job keeps at most 65,536 counts a column, whatever the number of rows, of distinct values or of ties.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import struct
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BRACKET_ROWS = 100_000   # values ranked exactly once a bracket is this small
-ACCURACY = 100_000       # sketch accuracy: rank error <= n / ACCURACY
+DIGIT_BITS = 16
+_NORMAL = 2.0 ** -1022      # the least normal double
+
+
+def order_key(x: Column) -> Column:
+    """A long that orders finite doubles as they order; -0.0 and 0.0 are both 0."""
+    a = F.abs(x)
+    e = F.greatest(F.lit(-1022), F.least(F.lit(1023), F.floor(F.log2(a)).cast("int")))
+    m = a / F.pow(F.lit(2.0), e.cast("double"))
+    e = F.when(m >= 2, e + 1).when(m < 1, e - 1).otherwise(e)        # the logarithm may be off by a hair
+    m = a / F.pow(F.lit(2.0), e.cast("double"))
+    bits = F.when(a < _NORMAL, (a * 2.0 ** 537 * 2.0 ** 537).cast("long")).otherwise(
+        F.shiftleft((e + 1023).cast("long"), 52) + ((m - 1) * 2.0 ** 52).cast("long"))
+    return F.when(x == 0, F.lit(0).cast("long")).when(x < 0, -bits).otherwise(bits)
+
 
+def _from_key(k: int) -> float:
+    x = struct.unpack("<d", struct.pack("<q", abs(k)))[0]
+    return -x if k < 0 else x
 
-def _kth_pair(df: DataFrame, x: Column, n: int, k1: int, k2: int):
-    """Values of rank k1 and k2 (0-based, ascending) among the non-null x."""
-    v = df.select(x.alias("v")).where(F.col("v").isNotNull())
-    lo, hi, below, inside = None, None, 0, n
-    for _ in range(12):
-        sub = v
-        if lo is not None:
-            sub = v.where((F.col("v") >= lo) & (F.col("v") <= hi))
-        if inside <= BRACKET_ROWS:
-            vals = [r["v"] for r in sub.orderBy("v").collect()]
-            return vals[k1 - below], vals[k2 - below]
-        eps = 2.0 / ACCURACY + 1.0 / inside
-        q1 = max(0.0, (k1 - below) / inside - eps)
-        q2 = min(1.0, (k2 - below) / inside + eps)
-        qs = sub.agg(F.percentile_approx("v", F.array(F.lit(q1), F.lit(q2)), ACCURACY).alias("q")).first()["q"]
-        nlo, nhi = qs[0], qs[1]
-        r = sub.agg(F.count_if(F.col("v") < nlo).alias("b"),
-                    F.count_if((F.col("v") >= nlo) & (F.col("v") <= nhi)).alias("i")).first()
-        nb, ni = below + int(r["b"]), int(r["i"])
-        if nb <= k1 and nb + ni > k2:
-            if nlo == nhi:
-                return nlo, nlo
-            if ni >= inside and lo is not None:
-                # no progress (heavy ties); rank the bracket exactly in pieces
-                break
-            lo, hi, below, inside = nlo, nhi, nb, ni
-        else:
-            break  # sketch bracket missed (should not happen); fall back below
-    # fallback (heavy ties): rank distinct values of the bracket with their counts
-    sub = v if lo is None else v.where((F.col("v") >= lo) & (F.col("v") <= hi))
-    grouped = sub.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
-    if grouped.count() > 10 * BRACKET_ROWS:
-        raise RuntimeError("median bracket did not narrow; use percentile_approx")
-    out, acc = {}, below
-    for r in grouped.orderBy("v").collect():
-        nxt = acc + int(r["c"])
-        for k in (k1, k2):
-            if acc <= k < nxt:
-                out[k] = r["v"]
-        acc = nxt
-    return out[k1], out[k2]
 
+def exact_medians(df: DataFrame, columns: dict) -> dict:
+    """Medians of several columns: {name: (double column, number of its non-null values)} to {name: median}.
 
-def exact_median(df: DataFrame, x: Column, n: int) -> float | None:
-    """Median of the non-null values of ``x`` (average of the middle two for even n)."""
-    if n <= 0:
-        return None
-    a, b = _kth_pair(df, x, n, (n - 1) // 2, n // 2)
-    return (a + b) / 2.0
+    Values must be finite.  For an even number the two middle values are averaged; no value, no median.
+    """
+    columns = {c: (x, n) for c, (x, n) in columns.items() if n}
+    if not columns:
+        return {}
+    names = list(columns)
+    ranks = {i: sorted({(columns[c][1] - 1) // 2, columns[c][1] // 2}) for i, c in enumerate(names)}
+    values = df.select(F.explode(F.array(*[
+        F.struct(F.lit(i).alias("k"), order_key(columns[c][0]).alias("key")) for i, c in enumerate(names)])).alias("p")) \
+        .select("p.k", "p.key").where(F.col("key").isNotNull())
+    # of each (column, rank): the digits found so far, and the rank among the values that share them
+    state = {(i, r): (None, r) for i, rs in ranks.items() for r in rs}
+    for low in (48, 32, 16, 0):
+        shared = {(i, prefix) for (i, _), (prefix, _) in state.items()}
+        here = None
+        for i, prefix in sorted(shared, key=str):
+            hit = F.col("k") == i
+            if prefix is not None:
+                hit = hit & (F.shiftright("key", low + DIGIT_BITS) == prefix)
+            here = hit if here is None else here | hit
+        counts = values.where(here).groupBy("k", F.shiftright("key", low).alias("digits")).agg(F.count(F.lit(1)).alias("n"))
+        counts = counts.withColumn("prefix", F.shiftright("digits", DIGIT_BITS) if low < 48 else F.lit(0).cast("long"))
+        upto = Window.partitionBy("k", "prefix").orderBy("digits").rowsBetween(Window.unboundedPreceding, 0)
+        counts = counts.withColumn("to", F.sum("n").over(upto))
+        wanted = None
+        for (i, _), (prefix, r) in state.items():
+            hit = (F.col("k") == i) & (F.col("to") > r) & (F.col("to") - F.col("n") <= r)
+            if prefix is not None:
+                hit = hit & (F.col("prefix") == prefix)
+            wanted = hit if wanted is None else wanted | hit
+        found = counts.where(wanted).collect()                    # one row for each rank at most
+        state = {(i, rank): next((f["digits"], r - (f["to"] - f["n"])) for f in found if f["k"] == i
+                                 and (prefix is None or f["prefix"] == prefix) and f["to"] - f["n"] <= r < f["to"])
+                 for (i, rank), (prefix, r) in state.items()}
+    out = {}
+    for i, c in enumerate(names):
+        v = [_from_key(state[i, r][0]) for r in ranks[i]]
+        out[c] = (v[0] + v[-1]) / 2.0
+    return out
 
 
 def modes(df: DataFrame, columns: list) -> dict:
@@ -73,10 +84,11 @@ def modes(df: DataFrame, columns: list) -> dict:
     One shuffle for all columns: unpivot to (column, value), count per pair with
     map-side partial aggregation, then pick per column.
     """
+    from ..functions.text import col_
     if not columns:
         return {}
     pairs = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("k"), F.col(c).cast("string").alias("v")) for c in columns])).alias("p"))
+        F.struct(F.lit(c).alias("k"), col_(c).cast("string").alias("v")) for c in columns])).alias("p"))
     counts = (pairs.where(F.col("p.v").isNotNull())
               .groupBy(F.col("p.k").alias("k"), F.col("p.v").alias("v")).agg(F.count(F.lit(1)).alias("n")))
     best = counts.groupBy("k").agg(F.min_by(F.struct("v", "n"), F.struct((-F.col("n")).alias("nn"), "v"))

@@ -33,7 +33,7 @@ def _inspection(spark, sf_dir, view):
 
 
 INSPECT_VIEWS = ("dirty_orders", "dirty_customer", "dirty_events", "dirty_price", "dirty_people",
-                 "dirty_staff", "dirty_lineitem")
+                 "dirty_staff", "dirty_lineitem", "dirty_ratings")
 
 
 def _register_inspection(view: str):
@@ -83,7 +83,7 @@ for _v in INSPECT_VIEWS:
 # ---------------------------------------------------------------------------
 
 REPAIR_VIEWS = ("dirty_customer", "dirty_orders", "dirty_price", "dirty_events", "dirty_people",
-                "dirty_staff", "dirty_lineitem")
+                "dirty_staff", "dirty_lineitem", "dirty_ratings")
 
 
 def _autofix(spark, sf_dir, view):
@@ -612,3 +612,6 @@ def _stream_quality(spark, sf_dir):
     q = quality_monitor(stream, out, ck, source="events", key="event_id")
     q.awaitTermination()
     return spark.read.parquet(out).drop("batch_id", "source", "created_at")
+
+
+from . import catalog_edges  # noqa: E402, F401  registers more queries

@@ -1,6 +1,6 @@
 """Dirty views: the driver tables made dirty by pure functions of their keys.
 
-Spark and DuckDB (see :mod:`verity.plans.oracle_sql`) build identical rows from
+Spark and DuckDB (see :mod:`verity.plans.views_sql`) build identical rows from
 the same parquet files, so every operator can be checked against SQL.  Each
 view keeps every row of its source table (rows are only ever added, never
 filtered) and carries ``_row_id``: a unique, order-giving id derived from the
@@ -157,6 +157,42 @@ def dirty_staff(spark, sf_dir) -> DataFrame:
     )
 
 
+def dirty_ratings(spark, sf_dir) -> DataFrame:
+    """Mixed rating columns, a dominant text with gaps, and a column name with a dot.
+
+    ``feedback`` is mostly rating words with some numbers, ``points`` mostly numbers with rating words.
+    """
+    p = table(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    return p.select(
+        k.alias("_row_id"),
+        k.alias("part_no"),
+        _pick(k, 5, [F.lit("excellent"), F.lit("good"), F.lit("poor"), F.lit("4.2"), F.lit("average")]).alias("feedback"),
+        F.when(k % 4 == 0, F.lit("good")).otherwise((k % 5).cast("string")).alias("points"),
+        F.when(k % 10 < 6, F.lit("matte")).when(k % 10 == 6, F.lit(None).cast("string"))
+        .otherwise(F.concat(F.lit("f"), k.cast("string"))).alias("finish"),
+        F.when(k % 9 == 0, F.lit(None).cast("string"))
+        .otherwise(F.floor(F.col("p_retailprice")).cast("bigint").cast("string")).alias("unit.price"),
+    )
+
+
+def dirty_contacts(spark, sf_dir) -> DataFrame:
+    """Two e-mail and two name columns, so that four pairs are looked at one after the other."""
+    j = _person_parts(spark, sf_dir)
+    k = F.col("c_custkey")
+    none = F.lit(None).cast("string")
+    given, low = F.col("given"), F.lower(F.col("given"))
+    return j.select(
+        k.alias("_row_id"),
+        F.when(k % 6 == 0, none).otherwise(F.concat(given, F.lit(" Cust"), k.cast("string"))).alias("employee_name"),
+        F.when(k % 7 == 0, none).otherwise(F.concat(low, F.lit(".cust"), k.cast("string"), F.lit("@corp.example.com")))
+        .alias("work_email"),
+        F.when(k % 8 == 0, none).otherwise(F.concat(given, F.lit(" Boss"), k.cast("string"))).alias("manager_name"),
+        F.when(k % 5 == 0, none).otherwise(F.concat(F.substring(low, 1, 1), F.lit(".boss"), k.cast("string"),
+                                                    F.lit("@head.example.com"))).alias("manager_email"),
+    )
+
+
 LINEITEM_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
                   "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
 
@@ -194,6 +230,8 @@ VIEWS = {
     "dirty_people": dirty_people,
     "dirty_staff": dirty_staff,
     "dirty_lineitem": dirty_lineitem,
+    "dirty_ratings": dirty_ratings,
+    "dirty_contacts": dirty_contacts,
 }
 
 

@@ -25,6 +25,8 @@ VIEW_COLUMNS = {
     "events": [("event_id", "i"), ("ts", "t"), ("user_id", "i"), ("event_type", "s"), ("value", "d"),
                ("props", "s")],
     "dirty_staff": [("staff_id", "i"), ("full_name", "s"), ("email", "s"), ("department", "s")],
+    "dirty_ratings": [("part_no", "i"), ("feedback", "s"), ("points", "s"), ("finish", "s"), ("unit.price", "s")],
+    "dirty_contacts": [("employee_name", "s"), ("work_email", "s"), ("manager_name", "s"), ("manager_email", "s")],
     "dirty_lineitem": [("l_orderkey", "i"), ("l_partkey", "i"), ("l_suppkey", "i"),
                        ("l_linenumber", "i"), ("l_quantity", "d"), ("l_extendedprice", "d"),
                        ("l_discount", "d"), ("l_tax", "d"), ("l_returnflag", "s"),

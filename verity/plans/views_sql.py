@@ -71,6 +71,25 @@ FROM (SELECT *, CASE WHEN c_custkey % 14 = 7 THEN c_custkey - 7 WHEN c_custkey %
      (SELECT n_nationkey, upper(substr(w, 1, 1)) || lower(substr(w, 2, 1000)) AS given
       FROM (SELECT n_nationkey, string_split(n_name, ' ')[-1] AS w FROM nation)) n
      ON c.c_nationkey = n.n_nationkey""",
+    "dirty_ratings": """
+SELECT p_partkey AS _row_id, p_partkey AS part_no,
+  CASE p_partkey % 5 WHEN 0 THEN 'excellent' WHEN 1 THEN 'good' WHEN 2 THEN 'poor' WHEN 3 THEN '4.2' ELSE 'average' END AS feedback,
+  CASE WHEN p_partkey % 4 = 0 THEN 'good' ELSE CAST(p_partkey % 5 AS VARCHAR) END AS points,
+  CASE WHEN p_partkey % 10 < 6 THEN 'matte' WHEN p_partkey % 10 = 6 THEN NULL ELSE 'f' || CAST(p_partkey AS VARCHAR) END AS finish,
+  CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE CAST(CAST(floor(p_retailprice) AS BIGINT) AS VARCHAR) END AS "unit.price"
+FROM part""",
+    "dirty_contacts": """
+SELECT c_custkey AS _row_id,
+  CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE given || ' Cust' || CAST(c_custkey AS VARCHAR) END AS employee_name,
+  CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE lower(given) || '.cust' || CAST(c_custkey AS VARCHAR) || '@corp.example.com' END
+    AS work_email,
+  CASE WHEN c_custkey % 8 = 0 THEN NULL ELSE given || ' Boss' || CAST(c_custkey AS VARCHAR) END AS manager_name,
+  CASE WHEN c_custkey % 5 = 0 THEN NULL
+       ELSE substr(lower(given), 1, 1) || '.boss' || CAST(c_custkey AS VARCHAR) || '@head.example.com' END AS manager_email
+FROM customer c LEFT JOIN
+     (SELECT n_nationkey, upper(substr(w, 1, 1)) || lower(substr(w, 2, 1000)) AS given
+      FROM (SELECT n_nationkey, string_split(n_name, ' ')[-1] AS w FROM nation)) n
+     ON c.c_nationkey = n.n_nationkey""",
     "dirty_lineitem": """
 SELECT k AS _row_id, l_orderkey, l_partkey, l_suppkey, l_linenumber,
   CASE WHEN k % 97 = 0 THEN NULL ELSE l_quantity END AS l_quantity,

@@ -13,51 +13,81 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numeric import DECIMAL_TEXT
+from ..functions.text import col_
+from ..operators.inspect import aggregate_in_groups
 
 JUNK_COLUMN = re.compile(r"^(Unnamed|__)")
 
 
-def read_csv(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8",
-             infer: bool = True) -> DataFrame:
-    """Header CSV (or TSV with ``sep='\\t'``), types inferred, bad cells null.
+INTEGER_TEXT = r"^[+-]?[0-9]{1,18}$"
+BOOLEAN_TEXT = r"^(?i:true|false)$"
+
 
-    A column with mixed content is inferred as text, so type checks still see
-    the stray cells.  ``encoding='ISO-8859-1'`` is the latin-1 fallback (Spark
-    does not fail on bad UTF-8, so the caller chooses it).
+def read_csv(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8",
+             infer: bool = True, multiline: bool = True) -> DataFrame:
+    """Header CSV (or TSV with ``sep='\\t'``) by RFC 4180, missing cells null.
+
+    A quoted cell may hold separators, doubled quotes and newlines.  Such a file cannot be split, so a very large one that
+    is known to hold no newline in a cell should be read with ``multiline=False``.  Columns that hold only
+    numbers or only booleans get that type; everything else, dates included, stays the text that it was.
+    ``encoding='ISO-8859-1'`` is the latin-1 fallback (Spark does not fail on bad UTF-8, so the caller
+    chooses it).
     """
-    return (spark.read.option("header", True).option("inferSchema", infer).option("sep", sep)
-            .option("encoding", encoding).option("mode", "PERMISSIVE").csv(path))
+    df = (spark.read.option("header", True).option("inferSchema", False).option("sep", sep).option("multiLine", multiline)
+          .option("quote", '"').option("escape", '"').option("encoding", encoding).option("mode", "PERMISSIVE").csv(path))
+    return infer_scalars(df) if infer else df
+
+
+def read_tsv(spark: SparkSession, path: str, encoding: str = "UTF-8", infer: bool = True, multiline: bool = True) -> DataFrame:
+    return read_csv(spark, path, "\t", encoding, infer, multiline)
+
+
+def infer_scalars(df: DataFrame) -> DataFrame:
+    """Text columns that hold only integers, only decimals or only booleans, as such (one aggregate for all columns)."""
+    names = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    kinds = (("long", INTEGER_TEXT), ("double", DECIMAL_TEXT), ("boolean", BOOLEAN_TEXT))
+    seen = aggregate_in_groups(df, {(c, k): F.bool_and(col_(c).rlike(rx)) for c in names for k, rx in kinds})
+    kind = {c: next((k for k, _ in kinds if seen[c, k]), None) for c in names}
+    return df.select(*[col_(c).cast(kind[c]).alias(c) if kind.get(c) else col_(c) for c in df.columns])
 
 
-def read_tsv(spark: SparkSession, path: str) -> DataFrame:
-    return read_csv(spark, path, sep="\t")
+def first_list_field(spark: SparkSession, path: str) -> str | None:
+    """The first field of a JSON object (in the order of the file) whose value is a list; None if there is none."""
+    text = spark.read.text(path, wholetext=True).where(F.col("value").rlike(r"^\s*\{")).limit(1)
+    keys = text.select(F.posexplode(F.json_object_keys("value")).alias("at", "key"),
+                       F.from_json("value", "map<string,string>").alias("fields"))
+    hit = keys.where(F.try_element_at("fields", F.col("key")).rlike(r"^\s*\[")).orderBy("at").first()
+    return hit["key"] if hit else None
 
 
 def read_json_records(spark: SparkSession, path: str, record_field: str | None = None,
                       multiline: bool = True) -> DataFrame:
     """JSON records as text columns; nested values become JSON text.
 
-    A top-level object holding a list of records is unwrapped through
-    ``record_field`` (Spark orders object fields by name, so the field is
-    named rather than guessed); otherwise each object is one record.
+    A file that is one object gives the records of its first list-valued field (or of ``record_field``), and is one
+    record if it has no list.  With ``multiline=False`` every line is a record.
     """
-    df = spark.read.option("multiLine", multiline).json(path)
-    if record_field is not None:
-        df = df.select(F.explode(F.col(record_field)).alias("_r")).select("_r.*")
+    if multiline and record_field is None:
+        record_field = first_list_field(spark, path)
+    df = spark.read.option("multiLine", multiline).option("prefersDecimal", False).option("inferTimestamp", False).json(path)
+    if record_field is not None and record_field in df.columns:
+        records = df.select(F.explode(col_(record_field)).alias("_r"))
+        df = records.select("_r.*") if isinstance(records.schema["_r"].dataType, T.StructType) \
+            else records.withColumnRenamed("_r", record_field)
     return flatten_nested_to_json(df)
 
 
 def flatten_nested_to_json(df: DataFrame) -> DataFrame:
-    """S5 + cast to text: struct/array/map values as JSON text, the rest as text."""
+    """S5 + cast to text: struct/array/map values as JSON text (null fields kept), the rest as text."""
     from ..functions.numeric import py_repr_double
     out = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType)):
-            out.append(F.to_json(F.col(f.name)).alias(f.name))
+            out.append(F.to_json(col_(f.name), {"ignoreNullFields": "false"}).alias(f.name))
         elif isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            out.append(py_repr_double(F.col(f.name).cast("double")).alias(f.name))
+            out.append(py_repr_double(col_(f.name).cast("double")).alias(f.name))
         else:
-            out.append(F.col(f.name).cast("string").alias(f.name))
+            out.append(col_(f.name).cast("string").alias(f.name))
     return df.select(*out)
 
 
@@ -68,35 +98,32 @@ def row_cap(df: DataFrame, n: int | None = None) -> DataFrame:
 
 def drop_junk_columns(df: DataFrame) -> DataFrame:
     """Drop index-like columns named ``Unnamed...`` or ``__...`` (metadata only)."""
-    return df.select(*[F.col(f"`{c}`") for c in df.columns if not JUNK_COLUMN.match(c)])
+    return df.select(*[col_(c) for c in df.columns if not JUNK_COLUMN.match(c)])
 
 
 def drop_all_null_columns(df: DataFrame) -> DataFrame:
     """Keep columns with fewer nulls than rows (one aggregate for all columns)."""
     if not df.columns:
         return df
-    row = df.agg(F.count(F.lit(1)).alias("__n"),
-                 *[F.count(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(df.columns)]).first()
-    n = row["__n"]
-    keep = [c for i, c in enumerate(df.columns) if n - row[f"c{i}"] < n]
-    return df.select(*[F.col(f"`{c}`") for c in keep])
+    seen = aggregate_in_groups(df, {c: F.count(col_(c)) for c in df.columns})
+    return df.select(*[col_(c) for c in df.columns if seen[c]])
 
 
 def try_cast_numeric(df: DataFrame) -> DataFrame:
     """A column becomes double only if the cast adds no nulls (one aggregate)."""
     if not df.columns:
         return df
-    checks = []
-    for i, c in enumerate(df.columns):
-        v = F.col(f"`{c}`")
+    checks = {}
+    for c in df.columns:
+        v = col_(c)
         x = v.cast("double") if isinstance(df.schema[c].dataType, (T.NumericType, T.BooleanType)) \
             else F.when(v.cast("string").rlike(DECIMAL_TEXT), v.cast("string").cast("double"))
-        checks.append((F.count(x) == F.count(v)).alias(f"c{i}"))
-    row = df.agg(*checks).first()
+        checks[c] = F.count(x) == F.count(v)
+    row = aggregate_in_groups(df, checks)
     out = []
-    for i, c in enumerate(df.columns):
-        v = F.col(f"`{c}`")
-        if row[f"c{i}"]:
+    for c in df.columns:
+        v = col_(c)
+        if row[c]:
             dt = df.schema[c].dataType
             out.append((v.cast("double") if isinstance(dt, (T.NumericType, T.BooleanType))
                         else F.when(v.rlike(DECIMAL_TEXT), v.cast("double"))).alias(c))
@@ -112,16 +139,16 @@ def ensure_not_empty(df: DataFrame) -> DataFrame:
     return df
 
 
-def read_upload(spark: SparkSession, path: str, fmt: str | None = None,
-                record_field: str | None = None) -> DataFrame:
-    """The whole upload path: read by extension, drop junk and empty columns."""
+def read_upload(spark: SparkSession, path: str, fmt: str | None = None, record_field: str | None = None,
+                encoding: str = "UTF-8", multiline: bool = True) -> DataFrame:
+    """The whole upload path: read by extension, drop junk and empty columns; no rows is an error."""
     ext = (fmt or (path.rsplit(".", 1)[-1].lower() if "." in path.rsplit("/", 1)[-1] else "csv"))
     if ext == "tsv":
-        df = read_tsv(spark, path)
+        df = read_tsv(spark, path, encoding, multiline=multiline)
     elif ext == "json":
-        df = read_json_records(spark, path, record_field)
+        df = read_json_records(spark, path, record_field, multiline)
     elif ext == "parquet":
         df = spark.read.parquet(path)
     else:
-        df = read_csv(spark, path)
-    return drop_all_null_columns(drop_junk_columns(df))
+        df = read_csv(spark, path, encoding=encoding, multiline=multiline)
+    return drop_all_null_columns(drop_junk_columns(ensure_not_empty(df)))

@@ -41,9 +41,7 @@ REPORT_SCHEMA = T.StructType([
 
 
 def _batch_row_id(batch: DataFrame, key: str | None) -> DataFrame:
-    if key is not None:
-        return batch.withColumn("_row_id", F.col(key).cast("long"))
-    return with_row_id(batch, "_row_id")
+    return with_row_id(batch, "_row_id", key)
 
 
 def quality_monitor(stream: DataFrame, history_path: str, checkpoint: str, source: str = "stream",
