@@ -39,10 +39,12 @@ HEADER = struct.Struct("<8sIIQQQQQ")
 BLOCK_IDS = 1 << 14
 SEGMENT_IDS = 1 << 20     # a segment closes after the document that reaches this many ids
 SEGMENTS_PER_FILE = 64    # keeps a file far below what one task can hold
-CACHE_WORDS = 800_000     # pieces of text whose ids a Python worker remembers
+STEP_BYTES = 8 << 20       # text that is encoded at a time
+CACHE_WORDS = 700_000     # pieces of text whose ids a Python worker remembers
 
 _SPACES = r"\t-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _UNSAFE = f"[ {_SPACES}] | [{_SPACES}]|^ | $"     # a space beside white space or an edge
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -55,12 +57,16 @@ def bits_for(vocabulary: int) -> int:
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
     """Ids in ``bits`` bits each, least significant bit first."""
+    if bits == 16:                                            # the same bytes, without the detour
+        return ids.astype("<u2").tobytes()
     raw = np.unpackbits(ids.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")
     return np.packbits(raw[:, :bits].reshape(-1), bitorder="little").tobytes()
 
 
 def unpack(data, bits: int, n: int) -> np.ndarray:
     """The first n ids of what ``pack`` wrote."""
+    if bits == 16:
+        return np.frombuffer(data, "<u2", n).astype(np.uint32)
     raw = np.unpackbits(np.frombuffer(data, np.uint8), bitorder="little", count=n * bits).reshape(n, bits)
     wide = np.zeros((n, 32), np.uint8)
     wide[:, :bits] = raw
@@ -121,11 +127,12 @@ def segments(data):
 # ---------------------------------------------------------------- encoding
 
 class PieceCoder:
-    """Encodes texts with the library, each distinct piece between single spaces once.
+    """Encodes texts with the library, each distinct piece once.
 
-    In this tokenizer a space that stands alone between two words starts the second word's
-    token, so a text's ids are those of its first piece and of the others with a space before them.
-    Spaces beside other white space or at an edge are not cut at.
+    In this tokenizer a space that stands alone between two words starts the second word's token, and
+    punctuation after a letter or digit starts a new one.  So a text is cut at such spaces, and a word from
+    the marks that end it; its ids are those of the pieces, with the space before all but the first.  Spaces beside
+    other white space or at an edge are not cut at.
     """
 
     def __init__(self, path: str):
@@ -134,19 +141,25 @@ class PieceCoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        forget = getattr(self.tokenizer.model, "_resize_cache", None)
+        if forget:                    # words are remembered here; the library need not do so as well
+            forget(0)
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.cache: dict[str, bytes] = {}
 
     def known(self, pieces: list[str]) -> list[bytes]:
-        new = [p for p in pieces if p not in self.cache]
-        if len(self.cache) + len(new) > CACHE_WORDS:
-            self.cache.clear()
-            new = list(dict.fromkeys(pieces))
-        for at in range(0, len(new), 20_000):
-            part = new[at:at + 20_000]
-            for p, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                self.cache[p] = struct.pack(f"<{len(e.ids)}I", *e.ids)
-        return [self.cache[p] for p in pieces]
+        """Ids (32-bit) of each piece."""
+        cache = self.cache
+        new = [p for p in pieces if p not in cache]
+        if len(cache) + len(new) > CACHE_WORDS:
+            cache = self.cache = {p: cache[p] for p in pieces if p in cache}    # what is in use stays
+        for at in range(0, len(new), 4000):
+            some = new[at:at + 4000]
+            e = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
+            to = (4 * np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(some) + 1))).tolist()
+            ids = np.array(e.ids, "<u4").tobytes()
+            cache.update(zip(some, (ids[a:b] for a, b in zip(to[:-1], to[1:], strict=True)), strict=True))
+        return [cache[p] for p in pieces]
 
     def encode(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of the texts (null: empty) and the offsets of each text's ids."""
@@ -158,18 +171,36 @@ class PieceCoder:
             order = np.arange(len(text))
             order[odd] = len(text) + np.arange(len(odd))
             lists = pa.concat_arrays([lists, own]).take(pa.array(order))
-        flat = lists.flatten()
         at = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
-        coded = flat.dictionary_encode()
-        codes, values = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist()
-        first = np.unique(codes[at[:-1]])
-        codes[at[:-1]] = len(values) + np.searchsorted(first, codes[at[:-1]])
-        packed = self.known([" " + v for v in values] + [values[i] for i in first.tolist()])
-        size = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+        coded = lists.flatten().dictionary_encode()
+        codes, values = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+        # distinct pieces as word and marks, where the word is of letters and digits only
+        word = pc.utf8_rtrim(values, characters=_MARKS)
+        marked = pc.and_(pc.utf8_is_alnum(word), pc.not_equal(word, values))
+        word = pc.if_else(marked, word, values).dictionary_encode()
+        marks = pc.if_else(marked, pc.utf8_slice_codeunits(values, 0), pa.scalar("", pa.string()))
+        size = pc.utf8_length(word.dictionary.take(word.indices)).to_numpy()
+        tails = [v[n:] if v else "" for v, n in zip(marks.to_pylist(), size.tolist(), strict=True)]
+        tail = pa.array(tails, pa.string()).dictionary_encode()
+        first = np.unique(codes[at[:-1]])                       # pieces that start a text have no space before them
+        whole = values.take(pa.array(first)).to_pylist()
+        n_words, n_tails = len(word.dictionary), len(tail.dictionary)
+        packed = self.known([" " + w for w in word.dictionary.to_pylist()]) + \
+            [b"" if not t else x for t, x in zip(tail.dictionary.to_pylist(), self.known(tail.dictionary.to_pylist()), strict=True)] + \
+            self.known(whole)
+        head = word.indices.to_numpy().astype(np.int64)[codes]
+        end = n_words + tail.indices.to_numpy().astype(np.int64)[codes]
+        blank = n_words + tail.dictionary.index("").as_py() if "" in tails else 0
+        head[at[:-1]] = n_words + n_tails + np.searchsorted(first, codes[at[:-1]])
+        length = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+        end[at[:-1]] = blank
+        two = np.stack([head, end], axis=1).reshape(-1)
+        n = length[two]
+        if "" not in tails:
+            n[2 * at[:-1] + 1] = 0
         table = np.frombuffer(b"".join(packed), "<u4")
-        begin = np.cumsum(size) - size
-        n = size[codes]
-        return table[ragged(begin[codes], n)], np.concatenate([[0], np.cumsum(n)])[at]
+        begin = np.cumsum(length) - length
+        return table[ragged(begin[two], n)], np.concatenate([[0], np.cumsum(n)])[2 * at]
 
 
 @lru_cache(2)
@@ -188,7 +219,7 @@ def _write_part(path: str, end_id: int):
                 part, number, docs, np.concatenate(sizes), np.concatenate(ids), bits)], pa.binary())], ["segment"])
 
         for batch in batches:
-            for at, n in slices(batch.column(1)):
+            for at, n in slices(batch.column(1), STEP_BYTES):
                 flat, off = c.encode(batch.column(1).slice(at, n))
                 flat = np.insert(flat, off[1:], end_id)
                 off = off + np.arange(len(off))
