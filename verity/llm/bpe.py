@@ -18,6 +18,7 @@ import hashlib
 import json
 import struct
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -27,10 +28,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, col, ragged, ship, slices
+from .common import Words, col, ragged, ship, slices, tidy
 
 NEVER = np.int64(1 << 40)
-CACHE_WORDS = 800_000    # words whose ids a Python worker remembers between batches
+STEP_BYTES = 2 << 20     # text that is encoded at a time
+CACHE_WORDS = 200_000    # words whose ids a Python worker remembers between batches
 
 
 @lru_cache(1)
@@ -172,8 +174,7 @@ class WordBPE:
         """Ids (32-bit) of each chunk; new chunks are worked out together, then remembered."""
         new = [c for c in dict.fromkeys(chunks) if c not in self.cache]
         if len(self.cache) + len(new) > CACHE_WORDS:
-            self.cache.clear()
-            new = list(dict.fromkeys(chunks))
+            self.cache = {c: self.cache[c] for c in chunks if c in self.cache}      # what is in use stays
         found = [self.pieces(c) for c in new]
         words = list(dict.fromkeys(p for f in found for p in f if isinstance(p, str)))
         known = {w: struct.pack(f"<{len(c)}I", *c) for w, c in zip(words, self.encode_words(words), strict=True)}
@@ -213,21 +214,27 @@ def encode_udf(path: str, with_ids: bool = False):
     """A scalar Arrow UDF: text to (n_tokens, ids_sha256, decoded_sha256[, ids])."""
     kind = "struct<n_tokens:long,ids_sha256:string,decoded_sha256:string" + ",ids:array<int>" * with_ids + ">"
 
+    names = ["n_tokens", "ids_sha256", "decoded_sha256", "ids"][:3 + with_ids]
+
+    def one(bpe: WordBPE, text: pa.Array) -> pa.Array:
+        ids, off = bpe.encode(text)
+        raw, decoded = ids.astype("<u4"), bpe.decode(ids, off)
+        cols = [pa.array(np.diff(off)),
+                pa.array([hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(off[:-1], off[1:], strict=True)], pa.string()),
+                pa.array([hashlib.sha256(d.as_buffer() or b"").hexdigest() for d in decoded], pa.string())]
+        if with_ids:
+            cols.append(pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(ids.astype(np.int32))))
+        return pa.StructArray.from_arrays(cols, names)
+
     @F.arrow_udf(kind)
-    def encode(text: pa.Array) -> pa.Array:
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = tokenizer(path)
-        parts = []
-        for at, n in slices(text):
-            ids, off = bpe.encode(text.slice(at, n))
-            raw = ids.astype("<u4")
-            decoded = bpe.decode(ids, off)
-            cols = [pa.array(np.diff(off)),
-                    pa.array([hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(off[:-1], off[1:], strict=True)], pa.string()),
-                    pa.array([hashlib.sha256(d.as_buffer() or b"").hexdigest() for d in decoded], pa.string())]
-            if with_ids:
-                cols.append(pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(ids.astype(np.int32))))
-            parts.append(pa.StructArray.from_arrays(cols, ["n_tokens", "ids_sha256", "decoded_sha256", "ids"][:len(cols)]))
-        return pa.concat_arrays(parts) if parts else pa.array([], pa.struct([]))
+        for text in batches:
+            yield pa.concat_arrays([one(bpe, text.slice(at, n)) for at, n in slices(text, STEP_BYTES)])
+            tidy()
+        del bpe                    # a worker outlives its task
+        tokenizer.cache_clear()
+        tidy()
     return encode
 
 

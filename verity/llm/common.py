@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import zipfile
@@ -15,11 +16,17 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 
-SLICE_BYTES = 8 << 20   # text that one vectorised step holds at a time
+BATCH_BYTES = 8 << 20   # what Spark hands to a Python worker at a time
+SLICE_BYTES = 4 << 20   # text that one vectorised step holds at a time
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers (once per context), so that a cluster needs no installation."""
+    """Make a session ready for operators with Python workers.
+
+    Arrow batches are bounded by bytes, as texts can be long, and this package is sent to the
+    workers (once per context), so that a cluster needs no installation.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     sc = spark.sparkContext
     if getattr(sc, "_verity_shipped", False):
         return
@@ -66,6 +73,17 @@ def loose(df: DataFrame, *keys: str) -> DataFrame:
 
 # ---------------------------------------------------------------- words
 
+def tidy() -> None:
+    """Give freed memory back to the system: a Python worker outlives its stage, and executors are small."""
+    for r in Rolling.all:
+        r.forget()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def slices(text: pa.Array, max_bytes: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """(start, length) runs of rows holding about ``max_bytes`` of text each, one row at least."""
     sizes = pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False)
@@ -76,6 +94,7 @@ def slices(text: pa.Array, max_bytes: int = SLICE_BYTES) -> Iterator[tuple[int,
         to = max(at + 1, int(np.searchsorted(ends, base + max_bytes, "right")))
         yield at, to - at
         at = to
+    tidy()
 
 
 class Words:
@@ -128,8 +147,15 @@ def mix(h: np.ndarray) -> np.ndarray:
 class Rolling:
     """Polynomial hashes mod 2**64 of any span of a sequence of 64-bit names, by prefix sums."""
 
+    all: list[Rolling] = []
+
     def __init__(self, base: int):
         self.base, self.inverse = base | 1, pow(base | 1, -1, 1 << 64)
+        self.forget()
+        Rolling.all.append(self)
+
+    def forget(self) -> None:
+        """Give up the tables of powers."""
         self.up = self.down = np.ones(1, np.uint64)
 
     def _powers(self, n: int) -> None:

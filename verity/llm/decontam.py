@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
 
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, Words, col, mix, ship, slices
+from .common import Rolling, Words, col, mix, ship, slices, tidy
 
 SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 19
 ITEMS_PER_PASS, SHINGLES_PER_PASS = 1000, 2_000_000   # what one pass over the documents sends to every task
@@ -206,12 +207,16 @@ _BUILT: dict[str, Index] = {}
 def _clean_udf(lazy: _Lazy):
     """A scalar Arrow UDF: whether a text matches no item."""
     @F.arrow_udf("boolean")
-    def clean(text: pa.Array) -> pa.Array:
-        out = np.ones(len(text), bool)
-        for at, n in slices(text):
-            for found in lazy.get().search(text.slice(at, n)):
-                out[at + found[0]] = False
-        return pa.array(out)
+    def clean(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for text in batches:
+            out = np.ones(len(text), bool)
+            for at, n in slices(text):
+                for found in lazy.get().search(text.slice(at, n)):
+                    out[at + found[0]] = False
+            yield pa.array(out)
+            tidy()
+        _BUILT.clear()             # a worker outlives its task
+        tidy()
     return clean
 
 

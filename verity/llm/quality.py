@@ -27,6 +27,7 @@ BUCKETS, DIM = 1 << 16, 16
 NGRAMS = (2, 3, 4)
 SAMPLE_PER_LABEL = 1200         # the bound of the training sample
 TRAIN_CHARS = 1 << 16           # characters of a training text that are used (scoring reads all)
+STEP_BYTES = 2 << 20             # text that is scored at a time
 EPOCHS, RATE = 12, 0.5
 KEEP = 0.7
 _ROLL = Rolling(0x9E3779B97F4A7C15)
@@ -77,7 +78,7 @@ class Model:
     def score(self, text: pa.Array) -> np.ndarray:
         """The probability of label 1 of each text (no words: that of the bias alone)."""
         out = []
-        for at, n in slices(text):
+        for at, n in slices(text, STEP_BYTES):
             words = Words(text.slice(at, n))
             if not len(words.codes):
                 out.append(np.zeros(n))
@@ -157,9 +158,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = docs.join(F.broadcast(sample), col(id_col) == F.col("i")) \
         .select("i", F.substring(F.coalesce(col(text_col), F.lit("")), 1, TRAIN_CHARS).alias("text"), "y")
     bags = rows.select("text", "y", "i").mapInArrow(_bags, "i long, bucket array<int>, share array<float>, label int")
-    got = {r["i"]: r for r in bags.toLocalIterator()}        # of rows that repeat an id, one
-    return sgd([(np.array(r["bucket"], np.int64), np.array(r["share"], np.float32), r["label"])
-                for _, r in sorted(got.items())])
+    got = {r["i"]: (np.array(r["bucket"], np.int32), np.array(r["share"], np.float32), r["label"])
+           for r in bags.toLocalIterator()}                  # of rows that repeat an id, one
+    return sgd([bag for _, bag in sorted(got.items(), key=lambda x: x[0])])
 
 
 def score_udf(model: Model):

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import col, connected_components, fresh, loose, materialize, ship
+from .common import col, connected_components, fresh, loose, materialize, ship, tidy
 
 SHINGLE, RADIUS = 4, 4
 SEED = 42
@@ -79,6 +79,7 @@ def fingerprint_udf(shingle: int = SHINGLE):
     @F.arrow_udf("long")
     def simhash(text: pa.Array) -> pa.Array:
         out = np.fromiter((fingerprint(t.as_py(), shingle) for t in text), np.uint64, len(text))
+        tidy()
         return pa.array(out.view(np.int64))
     return simhash
 
