@@ -142,10 +142,18 @@ def _stretch_rows(window: int, rounds: int):
                 key, content, first, last = stretches(word_names(words), words.offsets, window, rounds)
                 doc = np.searchsorted(words.offsets, first, "right") - 1
                 base = words.offsets[doc]
+                # equal stretches of one text (a line that it repeats) are one row
+                order = np.lexsort((first, content, key, doc))
+                key, content, doc = key[order], content[order], doc[order]
+                new = np.ones(len(doc), bool)
+                new[1:] = (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]) | (content[1:] != content[:-1])
+                start = np.flatnonzero(new)
+                spans = pa.ListArray.from_arrays(pa.array(np.append(start, len(doc)), pa.int32()),
+                                                 pa.array(((first - base) << 31 | (last - base))[order]))
+                key, content, doc = key[start], content[start], pa.array(doc[start])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), pa.array(content.view(np.int64)),
-                     batch.column(0).slice(at, n).take(pa.array(doc)), batch.column(2).slice(at, n).take(pa.array(doc)),
-                     pa.array((first - base) << 31 | (last - base))], ["k", "c", "doc", "h", "p"])
+                    [pa.array(key.view(np.int64)), pa.array(content.view(np.int64)), batch.column(0).slice(at, n).take(doc),
+                     batch.column(2).slice(at, n).take(doc), spans], ["k", "c", "doc", "h", "p"])
     return run
 
 
@@ -173,7 +181,7 @@ def _window_rows(window: int):
 def repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
     """Of rows (doc, h, text), the windows that go: (doc, h, spans), spans as start << 31 | last start, in any order."""
     found = materialize(docs.select("doc", "text", "h").where("doc is not null and text is not null")
-                        .mapInArrow(_stretch_rows(window, rounds), "k long, c long, doc long, h long, p long"), "stretches")
+                        .mapInArrow(_stretch_rows(window, rounds), "k long, c long, doc long, h long, p array<long>"), "stretches")
     shared = found.groupBy("k").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("k")
     found = materialize(found.join(loose(shared, "k"), "k"), "shared")
     kinds = found.groupBy("k", "c").agg(F.min("doc").alias("low"))
@@ -181,13 +189,13 @@ def repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> Data
     copies = of.where("doc > low").select("doc", "h", "p")
     mixed = kinds.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("low").alias("a"), F.max("low").alias("b")) \
         .where("n > 1 and a < b").select("k")
-    open_ = of.where("doc = low").join(loose(mixed, "k"), "k").groupBy("doc", "h").agg(F.collect_set("p").alias("spans"))
+    open_ = of.where("doc = low").join(loose(mixed, "k"), "k").groupBy("doc", "h").agg(F.flatten(F.collect_list("p")).alias("spans"))
     windows = materialize(docs.join(open_, ["doc", "h"]).select("doc", "text", "h", "spans")
                           .mapInArrow(_window_rows(window), "f long, g long, doc long, h long, p long"), "windows")
     first = windows.groupBy("f", "g").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high")
     hit = windows.join(loose(first, "f", "g"), ["f", "g"]).where("doc > low") \
-        .select("doc", "h", F.shiftleft("p", 31).bitwiseOR(F.col("p")).alias("p"))
-    return copies.unionByName(hit).groupBy("doc", "h").agg(F.collect_set("p").alias("spans"))
+        .select("doc", "h", F.array(F.shiftleft("p", 31).bitwiseOR(F.col("p"))).alias("p"))
+    return copies.unionByName(hit).groupBy("doc", "h").agg(F.flatten(F.collect_list("p")).alias("spans"))
 
 
 def cut(text: bytes, spans, window: int = WINDOW) -> tuple[int, int, str, bytes]:
