@@ -84,7 +84,7 @@ def tidy() -> None:
         pass
 
 
-def slices(text: pa.Array, max_bytes: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+def parts_of(text: pa.Array, max_bytes: int) -> Iterator[tuple[int, int]]:
     """(start, length) runs of rows holding about ``max_bytes`` of text each, one row at least."""
     sizes = pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False)
     at = 0
@@ -94,6 +94,11 @@ def slices(text: pa.Array, max_bytes: int = SLICE_BYTES) -> Iterator[tuple[int,
         to = max(at + 1, int(np.searchsorted(ends, base + max_bytes, "right")))
         yield at, to - at
         at = to
+
+
+def slices(text: pa.Array, max_bytes: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """``parts_of`` a batch, after which freed memory is handed back."""
+    yield from parts_of(text, max_bytes)
     tidy()
 
 

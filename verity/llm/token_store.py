@@ -32,13 +32,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import col, materialize, ragged, ship, slices
+from .common import col, materialize, parts_of, ragged, ship, tidy
 
 MAGIC = b"IDPACK1\0"
 HEADER = struct.Struct("<8sIIQQQQQ")
 BLOCK_IDS = 1 << 14
 SEGMENT_IDS = 1 << 20     # a segment closes after the document that reaches this many ids
 SEGMENTS_PER_FILE = 64    # keeps a file far below what one task can hold
+TIDY_EVERY = 4            # batches between two returns of freed memory
 STEP_BYTES = 8 << 20       # text that is encoded at a time
 CACHE_WORDS = 700_000     # pieces of text whose ids a Python worker remembers
 
@@ -218,8 +219,10 @@ def _write_part(path: str, end_id: int):
             return pa.RecordBatch.from_arrays([pa.array([segment(
                 part, number, docs, np.concatenate(sizes), np.concatenate(ids), bits)], pa.binary())], ["segment"])
 
-        for batch in batches:
-            for at, n in slices(batch.column(1), STEP_BYTES):
+        for k, batch in enumerate(batches):
+            if k % TIDY_EVERY == TIDY_EVERY - 1:
+                tidy()
+            for at, n in parts_of(batch.column(1), STEP_BYTES):
                 flat, off = c.encode(batch.column(1).slice(at, n))
                 flat = np.insert(flat, off[1:], end_id)
                 off = off + np.arange(len(off))
