@@ -107,3 +107,25 @@ def test_index_finds_all_within_the_radius():
 def test_empty_tables(spark, docs, items):
     d, b = frame(spark, docs), frame(spark, items, ITEMS)
     assert run(d, b) == {} and decontam.drop_contaminated(d, b).count() == len(docs)
+
+
+def test_copies_of_an_item_keep_the_passes_bounded(spark, monkeypatch):
+    hot = prose(15, seed=99, vocabulary=5000)
+    items = [(i, hot if i % 3 == 0 else prose(15, seed=i, vocabulary=5000)) for i in range(30)] + [(0, prose(15, seed=1, vocabulary=5000))]
+    docs = [(i, prose(10, 900 + i) + " " + items[i][1]) for i in range(12)] + [(100, None), (101, prose(40, 7))]
+    sizes = []
+
+    class Seen(decontam._Lazy):
+        def __init__(self, items, *args):
+            sizes.append((len(items), sum(len(h) for _, _, h in items)))
+            super().__init__(items, *args)
+
+    monkeypatch.setattr(decontam, "_Lazy", Seen)
+    monkeypatch.setattr(decontam, "ITEMS_PER_PASS", 4)
+    monkeypatch.setattr(decontam, "SHINGLES_PER_PASS", 33)      # three items of 11 shingles
+    want = brute(docs, items)
+    assert len(want) > 40 and same(run(frame(spark, docs), frame(spark, items, ITEMS)), want)
+    clean = decontam.drop_contaminated(with_clashes(frame(spark, docs)), frame(spark, items, ITEMS))
+    assert sorted(r.doc_id for r in clean.collect()) == [100, 101]
+    assert len(sizes) >= 14 and all(n <= 4 and h <= 33 for n, h in sizes)
+    assert sum(n for n, _ in sizes) == 2 * len({t for _, t in items})

@@ -25,11 +25,14 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, Words, col, mix, ship, slices, tidy
+from ..session import scratch_path
+from .common import Rolling, Words, col, fresh, materialize, mix, ship, slices, tidy
 
 SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 19
 ITEMS_PER_PASS, SHINGLES_PER_PASS = 1000, 2_000_000   # what one pass over the documents sends to every task
@@ -81,7 +84,7 @@ def _near_values(bits: int, most: int) -> np.ndarray:
 class Index:
     """Benchmark items ready for search."""
 
-    def __init__(self, items: list[tuple[int | None, int, np.ndarray]], shingle: int, radius: int, similarity: float):
+    def __init__(self, items: list[tuple[int | str | None, int, np.ndarray]], shingle: int, radius: int, similarity: float):
         """``items``: id, number of words, shingle hashes in order."""
         self.items, self.shingle, self.radius, self.similarity = items, shingle, radius, similarity
         self.lengths = sorted({n for _, n, _ in items})
@@ -161,12 +164,17 @@ class Index:
                     best[doc, i] = (score, -start, start, size, distance)
 
 
-def load_items(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", shingle: int = SHINGLE):
-    """Passes over the benchmark: lists of (id, words, shingle hashes), each of bounded size.
+def load_items(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text",
+               shingle: int = SHINGLE) -> tuple[DataFrame, list[list[str]], DataFrame]:
+    """The distinct items of a benchmark, numbered into passes of bounded size.
 
-    The number of passes grows with the benchmark, so what a task holds does not.  Items without words are left out.
+    Items with the same words are one: ``members`` (id, key) says which ids a key stands for.  ``items`` (chunk, key, n, h)
+    has each key once, and ``passes`` lists the chunks of each pass: ITEMS_PER_PASS items and SHINGLES_PER_PASS shingles
+    at most (a longer item is a pass of its own).  Their number grows with the benchmark, so what a task holds does not.
+    Items without words are left out.
     """
     ship(benchmark.sparkSession)
+    most, longest = ITEMS_PER_PASS, SHINGLES_PER_PASS
 
     def hashed(batches):
         for b in batches:
@@ -174,18 +182,41 @@ def load_items(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "t
                 bare = Bare(b.column(1).slice(i, 1))
                 n = len(bare.names)
                 if n:
+                    h = bare.shingles(min(shingle, n)).view(np.int64)
                     yield pa.RecordBatch.from_arrays(
-                        [b.column(0).slice(i, 1), pa.array([n], pa.int64()),
-                         pa.array([bare.shingles(min(shingle, n)).view(np.int64)], pa.list_(pa.int64()))], ["id", "n", "h"])
+                        [b.column(0).slice(i, 1), pa.array([f"{n}-{xxhash.xxh3_128_hexdigest(h.tobytes())}"]),
+                         pa.array([n], pa.int64()), pa.array([h], pa.list_(pa.int64()))], ["id", "key", "n", "h"])
+
+    def numbered(batches):
+        part, chunk, count, total = TaskContext.get().partitionId(), 0, 0, 0
+        for b in batches:
+            names = []
+            for size in pc.list_value_length(b.column("h")).to_pylist():
+                if count and (count == most or total + size > longest):
+                    chunk, count, total = chunk + 1, 0, 0
+                count, total = count + 1, total + size
+                names.append(f"{part}-{chunk}")
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *b.columns], ["chunk", "key", "n", "h"])
 
     rows = benchmark.select(col(id_col).cast("long").alias("id"), col(text_col).alias("text")).mapInArrow(
-        hashed, "id long, n long, h array<long>")
-    count, total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    passes = max(1, -(-count // ITEMS_PER_PASS), -(-total // SHINGLES_PER_PASS))
-    for k in range(passes):
-        part = rows.where(F.pmod(F.xxhash64("h"), F.lit(passes)) == k)
-        yield sorted(((r["id"], r["n"], np.array(r["h"], np.int64).view(np.uint64)) for r in part.collect()),
-                     key=lambda r: (r[0] is None, r[0] or 0))
+        hashed, "id long, key string, n long, h array<long>")
+    members = materialize(rows.select("id", "key").distinct(), "benchmark-members")
+    items = materialize(rows.groupBy("key").agg(F.any_value("n").alias("n"), F.any_value("h").alias("h")).mapInArrow(
+        numbered, "chunk string, key string, n long, h array<long>"), "benchmark-items")
+    passes, count, total = [], 0, 0
+    for r in items.groupBy("chunk").agg(F.count(F.lit(1)).alias("c"), F.sum(F.size("h")).alias("t")).orderBy("chunk").collect():
+        if not passes or count + r["c"] > most or total + r["t"] > longest:
+            passes.append([])
+            count = total = 0
+        passes[-1].append(r["chunk"])
+        count, total = count + r["c"], total + r["t"]
+    return members, passes, items
+
+
+def _of_pass(items: DataFrame, chunks: list[str]) -> list[tuple[str, int, np.ndarray]]:
+    """The items of one pass: key, number of words, shingle hashes."""
+    return sorted(((r["key"], r["n"], np.array(r["h"], np.int64).view(np.uint64))
+                   for r in items.where(F.col("chunk").isin(chunks)).collect()), key=lambda r: r[0])
 
 
 class _Lazy:
@@ -230,14 +261,14 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     give one row per item; rows with null ids are taken as one such document.  Empty tables give an empty
     result; other columns are ignored.
     """
-    ship(docs.sparkSession)
     rows = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text"))
-    schema = "doc_id long, item_id long, first_word long, n_words long, distance int, similarity double"
-    found = None
-    for items in load_items(benchmark, item_col, item_text_col, shingle):
-        if not items:
-            continue
-        lazy = _Lazy(items, shingle, radius, similarity)
+    schema = "doc_id long, key string, first_word long, n_words long, distance int, similarity double"
+    members, passes, items = load_items(benchmark, item_col, item_text_col, shingle)
+    if not passes:
+        return docs.sparkSession.createDataFrame([], schema.replace("key string", "item_id long"))
+    path = scratch_path(docs.sparkSession, "matches")
+    for chunks in passes:                       # each pass is written before the next one's items are loaded
+        lazy = _Lazy(_of_pass(items, chunks), shingle, radius, similarity)
 
         def scan(batches, lazy=lazy):
             index = lazy.get()
@@ -247,15 +278,13 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                     if got:
                         d, i, first, size, distance, score = zip(*got, strict=True)
                         yield pa.RecordBatch.from_arrays(
-                            [b.column(0).slice(at, n).take(pa.array(d)), pa.array([index.items[x][0] for x in i], pa.int64()),
+                            [b.column(0).slice(at, n).take(pa.array(d)), pa.array([index.items[x][0] for x in i], pa.string()),
                              pa.array(first, pa.int64()), pa.array(size, pa.int64()), pa.array(distance, pa.int32()),
                              pa.array(score, pa.float64())],
-                            ["doc_id", "item_id", "first_word", "n_words", "distance", "similarity"])
+                            ["doc_id", "key", "first_word", "n_words", "distance", "similarity"])
 
-        part = rows.mapInArrow(scan, schema)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return docs.sparkSession.createDataFrame([], schema)
+        rows.mapInArrow(scan, schema).write.mode("append").parquet(path)
+    found = docs.sparkSession.read.schema(schema).parquet(path).join(members.withColumnRenamed("id", "item_id"), "key")
     best = F.max_by(F.struct("first_word", "n_words", "distance", "similarity"),
                     F.struct("similarity", -F.col("first_word"), -F.col("distance")))
     return found.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.*")
@@ -264,10 +293,20 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
                       item_text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS,
                       similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` that match no item, all columns as they are; nothing is shuffled."""
-    ship(docs.sparkSession)
-    for items in load_items(benchmark, item_col, item_text_col, shingle):
-        if not items:
-            continue
-        docs = docs.where(_clean_udf(_Lazy(items, shingle, radius, similarity))(col(text_col)))
-    return docs
+    """The rows of ``docs`` that match no item, all columns as they are.
+
+    With one pass nothing is shuffled.  With more, each pass writes the digests of the texts that match before the next
+    one's items are loaded, and the rows with these texts go.
+    """
+    _, passes, items = load_items(benchmark, item_col, item_text_col, shingle)
+    if not passes:
+        return docs
+    if len(passes) == 1:
+        return docs.where(_clean_udf(_Lazy(_of_pass(items, passes[0]), shingle, radius, similarity))(col(text_col)))
+    path, digest = scratch_path(docs.sparkSession, "contaminated"), fresh(docs.columns, "digest")
+    texts = docs.select(col(text_col).alias("text"))
+    for chunks in passes:
+        clean = _clean_udf(_Lazy(_of_pass(items, chunks), shingle, radius, similarity))
+        texts.where(~clean(F.col("text"))).select(F.sha2("text", 256).alias(digest)).write.mode("append").parquet(path)
+    bad = docs.sparkSession.read.schema(f"{digest} string").parquet(path).distinct()
+    return docs.withColumn(digest, F.sha2(col(text_col), 256)).join(bad, digest, "left_anti").select(*map(col, docs.columns))
