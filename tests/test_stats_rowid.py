@@ -157,3 +157,16 @@ def test_no_folder_off_a_local_master():
 
     with pytest.raises(RuntimeError):
         ensure_checkpoint_dir(Session())
+
+
+def test_uploaded_objects_are_bounded(spark, monkeypatch):
+    from verity.plans import catalog_edges
+    folders = []
+    monkeypatch.setattr(catalog_edges, "EVENTS_PER_OBJECT", 100, raising=False)
+    monkeypatch.setattr(catalog_edges, "_scratch", lambda s, name: folders.append(scratch_path(s, name)) or folders[-1])
+    events = fixtures.table(spark, SF, "events").withColumn("user_id", F.lit(7).cast("long"))    # one hot user
+    monkeypatch.setattr(fixtures, "table", lambda *_: events)
+    n = events.count()
+    assert catalog_edges._upload_json_object(spark, SF).count() == n
+    sizes = [len(json.loads(r["value"])["rows"]) for r in spark.read.text(folders[0], wholetext=True).collect()]
+    assert sum(sizes) == n and len(sizes) >= n // 100 and max(sizes) <= 160

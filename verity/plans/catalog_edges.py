@@ -41,6 +41,9 @@ def _upload_autofix(spark, sf_dir):
     return autofix(_uploaded(spark, sf_dir, "dirty_customer")).clean(keep_row_id=False)
 
 
+EVENTS_PER_OBJECT = 10_000     # what one task holds as one list and one string
+
+
 @register("upload_json_object",
           "SELECT CAST(event_id AS VARCHAR) AS event_id, event_type, props, "
           "strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') AS ts, CAST(user_id AS VARCHAR) AS user_id, CAST(value AS VARCHAR) AS value FROM events")
@@ -48,7 +51,9 @@ def _upload_json_object(spark, sf_dir):
     """Files that are one object each, with a list of records after a field that is none."""
     from ..sources.readers import read_upload
     e = fixtures.table(spark, sf_dir, "events")
-    rows = e.select(F.pmod("user_id", F.lit(16)).alias("part"), F.struct(
+    parts = -(-e.count() // EVENTS_PER_OBJECT) or 1
+    # by a hash of the event: each object has about as many, and a user's events are spread
+    rows = e.select(F.pmod(F.xxhash64("event_id", "ts", "user_id"), F.lit(parts)).alias("part"), F.struct(
         "event_id", "ts", "user_id", "event_type", "value", "props").alias("r"))
     objects = rows.groupBy("part").agg(F.collect_list("r").alias("rows")).select(F.to_json(F.struct(
         F.struct(F.col("part").alias("n")).alias("meta"), "rows")).alias("value"))
