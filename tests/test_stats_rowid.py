@@ -170,3 +170,30 @@ def test_uploaded_objects_are_bounded(spark, monkeypatch):
     assert catalog_edges._upload_json_object(spark, SF).count() == n
     sizes = [len(json.loads(r["value"])["rows"]) for r in spark.read.text(folders[0], wholetext=True).collect()]
     assert sum(sizes) == n and len(sizes) >= n // 100 and max(sizes) <= 160
+
+
+def test_json_folder_of_mixed_shapes(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    files = {"a b%.json": json.dumps({"meta": {"n": 1}, "rows": [{"k": "a", "t": "} {"}, {"k": "b\\\"}{"}], "items": [1]}, indent=1),
+             "b.json": json.dumps({"items": [{"k": "c"}], "rows": [{"k": "no"}]}), "c.json": json.dumps([{"k": "d"}, {"k": "e"}]),
+             "d.json": json.dumps({"k": "f", "n": {"x": None}}), "e.json": '{"k": "g"}\r\n\n{"k": "h", "l": [{"k": "i"}]}\n',
+             "f.json": json.dumps({"rows": [{"k": "j"}]}), "g.json": '{"rows": []}', "h.json": ""}
+    for name, text in files.items():
+        (folder / name).write_text(text)
+    got = read_json_records(spark, str(folder))
+    assert sorted(r["k"] for r in got.collect()) == sorted(["a", 'b\\"}{', *"cdefghj"])
+    assert {(r["k"], r["t"], r["n"], r["l"]) for r in got.collect()} >= {
+        ("a", "} {", None, None), ("f", None, '{"x":null}', None), ("h", None, None, '[{"k":"i"}]')}
+    named = read_json_records(spark, str(folder), record_field="rows")
+    assert {"no", "a", "j", "d", "f", "g"} <= {r["k"] for r in named.collect()}
+    (folder / "z.json").write_text('{"k": 1} {"k": 2}\n')
+    with pytest.raises(ValueError):
+        read_json_records(spark, str(folder))
+
+
+def test_json_lines_are_read_whole(spark, tmp_path):
+    from verity.sources.writers import write_json
+    df = spark.createDataFrame([(f"k{i}", f"v{i}") for i in range(20)], "a string, b string").coalesce(2)
+    write_json(df, str(tmp_path / "out"))
+    assert sorted(map(tuple, read_upload(spark, str(tmp_path / "out"), fmt="json").collect())) == sorted(map(tuple, df.collect()))

@@ -7,6 +7,7 @@ aggregate over the data (never a collect of rows).
 from __future__ import annotations
 
 import re
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,13 +52,34 @@ def infer_scalars(df: DataFrame) -> DataFrame:
     return df.select(*[col_(c).cast(kind[c]).alias(c) if kind.get(c) else col_(c) for c in df.columns])
 
 
-def first_list_field(spark: SparkSession, path: str) -> str | None:
-    """The first field of a JSON object (in the order of the file) whose value is a list; None if there is none."""
-    text = spark.read.text(path, wholetext=True).where(F.col("value").rlike(r"^\s*\{")).limit(1)
-    keys = text.select(F.posexplode(F.json_object_keys("value")).alias("at", "key"),
-                       F.from_json("value", "map<string,string>").alias("fields"))
-    hit = keys.where(F.try_element_at("fields", F.col("key")).rlike(r"^\s*\[")).orderBy("at").first()
-    return hit["key"] if hit else None
+def json_shapes(spark: SparkSession, path: str, record_field: str | None = None) -> dict[tuple[str, str | None], list[str]]:
+    """The JSON files under ``path`` by shape: (kind, field) and the files that have it.
+
+    Kind "lines" is JSON Lines, one object a line; "value" is one value a file.  ``field`` is the field with the records
+    of a file that is one object: its first whose value is a list (in the order of the file), or ``record_field`` if
+    that is a list; None if there is none.  A file of several values that are not one object a line is an error.
+    """
+    value = F.col("value")
+    # without strings, no JSON value has a closing bracket right before an opening one
+    bare = F.regexp_replace(F.regexp_replace(value, r"(?s)\\.", ""), r'"[^"]*+"', '""')
+    files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"),
+                                                         bare.rlike(r"[}\]]\s*[{\[]").alias("several"))
+    lines = F.filter(F.split("value", r"\r?\n"), lambda x: F.length(F.trim(x)) > 0)
+    # of a line that holds several objects the brackets tell, too
+    whole = F.forall(lines, lambda x: F.json_object_keys(x).isNotNull() & ~F.regexp_replace(F.regexp_replace(
+        x, r"\\.", ""), r'"[^"]*+"', '""').rlike(r"[}\]]\s*[{\[]"))
+    kind = F.when(~F.col("several"), F.lit("value")).when(whole, F.lit("lines")).otherwise(F.lit("bad"))
+    keys = F.json_object_keys("value") if record_field is None else F.array(F.lit(record_field))
+    fields = F.from_json("value", "map<string,string>")
+    first = F.try_element_at(F.filter(keys, lambda k: F.try_element_at(fields, k).rlike(r"^\s*\[")), F.lit(1))
+    one = value.rlike(r"^\s*\{") & (F.col("kind") == "value")
+    found = files.withColumn("kind", kind).select("file", "kind", F.when(one, first).alias("field"))
+    shapes = {(r["kind"], r["field"]): sorted(r["files"])
+              for r in found.groupBy("kind", "field").agg(F.collect_list("file").alias("files")).collect()}
+    for (k, _), names in shapes.items():
+        if k == "bad":
+            raise ValueError(f"JSON files with several values that are not one object a line: {names[:5]}")
+    return dict(sorted(shapes.items(), key=lambda x: x[1]))
 
 
 def read_json_records(spark: SparkSession, path: str, record_field: str | None = None,
@@ -65,16 +87,33 @@ def read_json_records(spark: SparkSession, path: str, record_field: str | None =
     """JSON records as text columns; nested values become JSON text.
 
     A file that is one object gives the records of its first list-valued field (or of ``record_field``), and is one
-    record if it has no list.  With ``multiline=False`` every line is a record.
+    record if it has no list; each file is taken by its own shape, JSON Lines too, and a column that a file lacks is
+    null.  With ``multiline=False`` every line is a record.
     """
-    if multiline and record_field is None:
-        record_field = first_list_field(spark, path)
-    df = spark.read.option("multiLine", multiline).option("prefersDecimal", False).option("inferTimestamp", False).json(path)
-    if record_field is not None and record_field in df.columns:
-        records = df.select(F.explode(col_(record_field)).alias("_r"))
-        df = records.select("_r.*") if isinstance(records.schema["_r"].dataType, T.StructType) \
-            else records.withColumnRenamed("_r", record_field)
-    return flatten_nested_to_json(df)
+    reader = spark.read.option("prefersDecimal", False).option("inferTimestamp", False)
+    if not multiline:
+        return flatten_nested_to_json(_records(reader.json(path), record_field))
+    shapes = json_shapes(spark, path, record_field)
+    out = None
+    for (kind, field), files in shapes.items():
+        df = reader.option("multiLine", kind == "value").json(path if len(shapes) == 1 else [_literal(f) for f in files])
+        df = flatten_nested_to_json(_records(df, field))
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    return flatten_nested_to_json(reader.option("multiLine", True).json(path)) if out is None else out
+
+
+def _literal(file: str) -> str:
+    """The path of a file that Spark names in its metadata, for a reader that takes patterns."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", unquote(file))
+
+
+def _records(df: DataFrame, field: str | None) -> DataFrame:
+    """The records of a list-valued field, or the rows as they are."""
+    if field is None or field not in df.columns:
+        return df
+    records = df.select(F.explode(col_(field)).alias("_r"))
+    return records.select("_r.*") if isinstance(records.schema["_r"].dataType, T.StructType) \
+        else records.withColumnRenamed("_r", field)
 
 
 def flatten_nested_to_json(df: DataFrame) -> DataFrame:
