@@ -1,3 +1,5 @@
+import textwrap
+
 import pytest
 
 from verity.llm import licenses
@@ -59,3 +61,26 @@ def test_no_python_in_the_plan(spark, model):
     df = spark.read.parquet(f"{SF}/documents.parquet")
     plan = licenses.summary(licenses.scan(df, model))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+def families(spark, model, texts):
+    got = scan(frame(spark, list(enumerate(texts))), model)
+    return [sorted({f for _, f in got[i]}) for i in range(len(texts))]
+
+
+def notice(name, version, width):
+    return "\n".join(textwrap.wrap(
+        "This file is part of Foo. Foo is free software; you can redistribute it and/or modify it under the terms of the "
+        f"{name} as published by the Free Software Foundation; either version {version} of the License, or (at your option) "
+        "any later version.", width))
+
+
+def test_wrapped_notices(spark, model):
+    known = [("GNU General Public License", "3", "GPL-3.0"), ("GNU General Public License", "2", "GPL-2.0"),
+             ("GNU Affero General Public License", "3", "AGPL-3.0"), ("GNU Lesser General Public License", "2.1", "LGPL")]
+    cases = [(notice(n, v, w), [f]) for n, v, f in known for w in (40, 60, 72, 1000)]
+    cases += [("/*\n * Permission is hereby granted, free of charge, to any person obtaining a\n * copy of this software and "
+               "associated documentation files (the \"Software\"),\n * to deal in the Software without restriction, including "
+               "the rights to use,\n * copy and sell it.\n */", ["MIT"]),
+              ("Copyright 2020 Foo\nSPDX-License-Identifier: MPL-2.0\nint main;", ["MPL-2.0"])]
+    assert families(spark, model, [t for t, _ in cases]) == [f for _, f in cases]

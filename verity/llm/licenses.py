@@ -1,15 +1,18 @@
 """Licence scan with a trained paragraph classifier (operator 8, native expressions only).
 
-A paragraph is a line of text.  Its features are its words and word pairs, but for those of function words
+A paragraph is the text between blank lines.  Its lines are joined, as notices are wrapped, but for a line that ends
+short and is followed by a new start.  It is judged by its sentences (long ones without their stretches of
+other words), whose features are their words and word pairs, but for those of function words
 only.  A sparse (L1) multinomial logistic regression is fitted on the texts below with Spark ML; its classes are the
 licence families, "unknown" (licence language of no listed family) and "none" (other text).
 A temperature fitted on the left-out part of the texts calibrates its probabilities.
 
 Scanning needs no shuffle: the features that have a weight are a few hundred (bounded by the texts
-below), and all else adds nothing, so a paragraph without a word of those that speak for a licence is "none";
-one pattern finds the others, and only these are taken apart.  Of them, the class of the greatest probability is taken; a family must be at least ``CONFIDENT`` likely and
+below), and all else adds nothing, so a sentence without a word of those that speak for a licence is "none";
+one pattern finds the others, and only these are taken apart.  Of a sentence, the class of the greatest probability is taken; a family must be at least ``CONFIDENT`` likely and
 be confirmed by one of its templates, with ``CONFIRM`` of the word pairs of the shorter in common;
-else the paragraph is "unknown".
+else the sentence is "unknown".  What the confirming templates explain is then left out, but for wording that many families share, and the rest is
+judged again, until it has no other family: a sentence can name several.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ WORD = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 CONFIDENT, CONFIRM = 0.5, 0.6
 PLAIN_LINES = 120        # training lines without any feature: what most text is to this classifier
 NONE, UNKNOWN = "none", "unknown"
+LONG, GAP = 400, 12      # a sentence of more characters is cut where so many words are of no template
+SHARED = 5               # wording that more families than this use says nothing about which one it is
 
 # Wording of public licences and of the notices that name them.
 TEMPLATES = {
@@ -34,35 +39,46 @@ TEMPLATES = {
         "Released under the MIT License.", "Licensed under the MIT license.", "This project is licensed under the MIT License.",
         "MIT License", "SPDX-License-Identifier: MIT",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.",
-        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."],
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "The software is provided as is, without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement.",
+        "In no event shall the authors or copyright holders be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the software or the use or other dealings in the software."],
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0.", "Apache License Version 2.0, January 2004", "Released under the Apache License 2.0.",
         "SPDX-License-Identifier: Apache-2.0", "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
-        "This work is licensed under the Apache License, Version 2.0; you may not use this file except in compliance with the License."],
+        "This work is licensed under the Apache License, Version 2.0; you may not use this file except in compliance with the License.",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an as is basis, without warranties or conditions of any kind, either express or implied.",
+        "See the License for the specific language governing permissions and limitations under the License."],
     "GPL-3.0": [
         "This work is licensed under the GNU General Public License, version 3.", "Licensed under the GNU General Public License version 3.",
         "GNU General Public License Version 3, 29 June 2007", "SPDX-License-Identifier: GPL-3.0-only", "SPDX-License-Identifier: GPL-3.0-or-later",
-        "Released under the GNU General Public License, version 3 or later.", "Released under the GPL version 3.", "Licensed under the GPLv3."],
+        "Released under the GNU General Public License, version 3 or later.", "Released under the GPL version 3.", "Licensed under the GPLv3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
     "GPL-2.0": [
         "This work is licensed under the GNU General Public License, version 2.", "Licensed under the GNU General Public License version 2.",
         "GNU General Public License Version 2, June 1991", "SPDX-License-Identifier: GPL-2.0-only",
-        "Released under the GNU General Public License, version 2 or later.", "Released under the GPL version 2.", "Licensed under the GPLv2."],
+        "Released under the GNU General Public License, version 2 or later.", "Released under the GPL version 2.", "Licensed under the GPLv2.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version."],
     "LGPL": [
         "Licensed under the GNU Lesser General Public License, version 2.1.", "This work is licensed under the GNU Lesser General Public License, version 3.",
-        "Released under the LGPL.", "SPDX-License-Identifier: LGPL-2.1-or-later", "SPDX-License-Identifier: LGPL-3.0-only"],
+        "Released under the LGPL.", "SPDX-License-Identifier: LGPL-2.1-or-later", "SPDX-License-Identifier: LGPL-3.0-only",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 2.1 of the License, or (at your option) any later version."],
     "AGPL-3.0": [
         "Licensed under the GNU Affero General Public License, version 3.", "This work is licensed under the GNU Affero General Public License, version 3.",
-        "Released under the AGPL version 3.", "SPDX-License-Identifier: AGPL-3.0-only"],
+        "Released under the AGPL version 3.", "SPDX-License-Identifier: AGPL-3.0-only",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
     "BSD": [
         "Released under the BSD License.", "Licensed under the BSD 3-Clause License.", "Licensed under the BSD 2-Clause License.", "SPDX-License-Identifier: BSD-3-Clause",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
-        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."],
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "This software is provided by the copyright holders and contributors as is and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed."],
     "MPL-2.0": [
         "Licensed under the Mozilla Public License, version 2.0.", "Released under the Mozilla Public License 2.0.", "SPDX-License-Identifier: MPL-2.0",
-        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."],
     "ISC": [
         "Released under the ISC License.", "Licensed under the ISC license.", "SPDX-License-Identifier: ISC",
-        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."],
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
+        "The software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness."],
     "Unlicense": [
         "Released under the Unlicense.", "SPDX-License-Identifier: Unlicense",
         "This is free and unencumbered software released into the public domain."],
@@ -85,7 +101,8 @@ OTHER = {
     UNKNOWN: [
         "Licensed under the terms of the vendor agreement.", "This software is licensed under a proprietary license.",
         "Released under a custom license.", "Use of this file is governed by the license that you accepted.", "See the license file for the terms.",
-        "This work is licensed under the Example Public License.", "Licensed under the Academic Free License.", "Released under the Artistic License.",
+        "This work is licensed under the Example Public License.", "Licensed under the Academic Free License.", "Released under the Artistic License.", "You should have received a copy of the license along with this program.",
+        "This program is distributed in the hope that it will be useful, but without any warranty; without even the implied warranty of merchantability or fitness for a particular purpose.",
         "The license forbids commercial use of the data.", "All rights reserved. No license is granted.",
         "Licensed under the European Union Public Licence.", "Released under the zlib License."],
     NONE: [
@@ -174,72 +191,133 @@ def _loss(held, temperature: float) -> float:
     return total / max(len(held), 1)
 
 
+def _any_word(words) -> str:
+    """A pattern for one of these words, by their first letters."""
+    by_letter = {c: sorted(w[1:] for w in words if w[0] == c) for c in sorted({w[0] for w in words})}
+    return "(?:" + "|".join(f"{c}(?:{'|'.join(map(re.escape, rest))})" for c, rest in by_letter.items()) + ")(?![a-z0-9])"
+
+
+def sentences(block: Column) -> Column:
+    """The sentences of a paragraph.  Its lines are joined unless one ends before the longest line's width and the next has a new start."""
+    lines = F.transform(F.split(block, r"\r?\n"), lambda x: F.regexp_replace(x, r"^[\s#*/;%>|-]+|\s+$", ""))
+    width = F.array_max(F.transform(lines, F.length))
+
+    def joined(x, i):
+        after = F.get(lines, i + 1)
+        fits = F.length(x) + 1 + F.length(F.regexp_extract(after, r"^\S*", 0)) <= width
+        return F.when(after.isNull(), x).when(fits & after.rlike(r"^[\"'(\[]?[\p{Lu}0-9]"), F.concat(x, F.lit("\n"))) \
+            .otherwise(F.concat(x, F.lit(" ")))
+
+    return F.split(F.array_join(F.transform(lines, joined), ""), r"\n|(?<=[.!?][\"')]?)[ \t]+(?=[\"'(\[]?\p{Lu})")
+
+
 def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_paragraphs, and ``found``, the paragraphs with licence language.
+    """One row per input row: doc_id, n_paragraphs, and ``found``, the families of the paragraphs with licence language.
 
-    ``found`` has structs (paragraph, family, probability, similarity), in the order of the text; ``family`` is
-    "unknown" where no family is confident and confirmed.  Null and empty texts have no paragraphs; null ids
+    ``found`` has structs (paragraph, family, probability, similarity), in the order of the text, one for each family of
+    a paragraph; ``family`` is "unknown" where a sentence has licence language but no family is confident and confirmed.
+    Null and empty texts have no paragraphs; null ids
     and repeated rows are passed through; an empty table gives an empty result; other columns are ignored.
     """
-    vocabulary = F.lit(json.dumps(sorted(model.weights)))
-    known = F.from_json(vocabulary, "array<string>")
-    table = F.from_json(F.lit(json.dumps(model.weights)), "map<string,array<double>>")
-    bias = F.from_json(F.lit(json.dumps(model.bias)), "array<double>")
-    names = F.from_json(F.lit(json.dumps(model.classes)), "array<string>")
-    pairs = F.from_json(F.lit(json.dumps([{"family": c, "pairs": sorted({f"{a} {b}" for a, b in zip(w, w[1:], strict=False)})}
-                                          for c, texts in sorted(TEMPLATES.items()) for t in texts if (w := words_of(t))])),
-                        "array<struct<family:string,pairs:array<string>>>")
-    text = F.coalesce(col(text_col), F.lit(""))
-    lines = F.filter(F.split(F.lower(text), "\n"), lambda x: F.length(F.trim(x)) > 0)
+    def constant(value, kind):
+        return F.from_json(F.lit(json.dumps(value)), kind)
+
+    known = constant(sorted(model.weights), "array<string>")
+    table = constant(model.weights, "map<string,array<double>>")
+    bias = constant(model.bias, "array<double>")
+    names = constant(model.classes, "array<string>")
+    texts = [(c, w, {f"{a} {b}" for a, b in zip(w, w[1:], strict=False)})
+             for c, some in sorted(TEMPLATES.items()) for t in some if (w := words_of(t))]
+    users: dict[str, set[str]] = {}
+    for c, w, two in texts:
+        for g in two.union(w):
+            users.setdefault(g, set()).add(c)
+    shared = {g for g, c in users.items() if len(c) > SHARED}
+    templates = constant([{"family": c, "pairs": sorted(two), "own": sorted(two.union(w) - shared)} for c, w, two in texts],
+                         "array<struct<family:string,pairs:array<string>,own:array<string>>>")
     # a feature that speaks for "none" at least as much as for any other class cannot change the outcome
-    telling = sorted({w for g, x in model.weights.items() if max(x[:-1]) > x[-1] for w in g.split()} - FUNCTION_WORDS)
-    by_letter = {c: [w[1:] for w in telling if w[0] == c] for c in sorted({w[0] for w in telling})}
-    telling = "(?<![a-z0-9])(?:" + "|".join(f"{c}(?:{'|'.join(map(re.escape, rest))})" for c, rest in by_letter.items()) + \
-        ")(?![a-z0-9])"
-    # only paragraphs with a word of a weighted feature go on
-    rows = docs.select(col(id_col).alias("doc_id"), lines.alias("lines"))
-    rows = rows.select("doc_id", F.size("lines").cast("long").alias("n_paragraphs"), F.filter(
-        F.transform("lines", lambda x, i: F.when(F.rlike(x, F.lit(telling)), F.struct(
-            i.cast("long").alias("paragraph"), F.regexp_extract_all(x, F.lit(WORD), F.lit(0)).alias("words")))),
-        lambda p: p.isNotNull()).alias("some"))
-    rows = rows.withColumn("some", F.transform("some", lambda p: F.struct(
-        p["paragraph"].alias("paragraph"), grams(p["words"]).alias("g"))))
-
-    def odds(p):
-        return F.aggregate(F.array_intersect(p["g"], known), bias, lambda acc, g: F.zip_with(
-            acc, F.try_element_at(table, g), lambda a, b: a + b))
-
-    def likely(z):
-        top = F.array_max(z)
-        return F.transform(z, lambda x: F.exp((x - top) / F.lit(model.temperature)))
-
-    def rated(p):
-        total = F.aggregate(p["e"], F.lit(0.0), lambda a, x: a + x)
-        best = F.array_max(p["e"])
-        family = F.element_at(names, F.array_position(p["e"], best).cast("int"))
-        return F.struct(p["paragraph"].alias("paragraph"), family.alias("family"), (best / total).alias("probability"), p["g"].alias("g"))
-
-    def compared(p):
-        own = F.filter(p["g"], lambda x: F.contains(x, F.lit(" ")))
-        shares = F.transform(F.filter(pairs, lambda t: t["family"] == p["family"]), lambda t: F.size(
-            F.array_intersect(own, t["pairs"])).cast("double") / F.greatest(F.least(F.size(own), F.size(t["pairs"])), F.lit(1)))
-        return F.struct(p["paragraph"].alias("paragraph"), p["family"].alias("family"), p["probability"].alias("probability"),
-                        F.coalesce(F.array_max(shares), F.lit(0.0)).alias("similarity"))
-
-    def confirmed(p):
-        sure = (p["probability"] >= CONFIDENT) & (p["similarity"] >= CONFIRM)
-        return F.struct(p["paragraph"].alias("paragraph"), F.when(sure, p["family"]).otherwise(F.lit(UNKNOWN)).alias("family"),
-                        p["probability"].alias("probability"), p["similarity"].alias("similarity"))
-
-    found = F.transform("some", lambda p: F.struct(p["paragraph"].alias("paragraph"), p["g"].alias("g"), likely(odds(p)).alias("e")))
-    found = F.filter(F.transform(found, rated), lambda p: p["family"] != F.lit(NONE))
-    return rows.select("doc_id", "n_paragraphs", F.transform(F.transform(found, compared), confirmed).alias("found"))
+    telling = r"(?<![a-z0-9])" + _any_word({w for g, x in model.weights.items() if max(x[:-1]) > x[-1] for w in g.split()} - FUNCTION_WORDS)
+    usual = {w for some in (*TEMPLATES.values(), *(OTHER[UNKNOWN],)) for t in some for w in words_of(t)} - FUNCTION_WORDS
+    other = r"(?:(?<![a-z0-9.-])(?!" + _any_word(usual) + r")[a-z0-9][a-z0-9.-]*+[^a-z0-9]++){" + f"{GAP},200" + "}+"
+
+    # only sentences with a word of a weighted feature go on
+    text = F.coalesce(col(text_col), F.lit(""))
+    blocks = F.filter(F.split(text, r"\r?\n(?:[ \t\r\f]*+\n)+"), lambda x: F.length(F.trim(F.translate(x, "\r\n\t", "   "))) > 0)
+    rows = docs.select(col(id_col).alias("doc_id"), blocks.alias("blocks"))
+
+    def telling_pieces(x):
+        some = F.filter(F.transform(sentences(x), F.lower), lambda u: F.rlike(u, F.lit(telling)))
+        return F.filter(F.flatten(F.transform(some, lambda u: F.when(F.length(u) > LONG, F.split(u, other)).otherwise(F.array(u)))),
+                        lambda u: F.rlike(u, F.lit(telling)))
+
+    some = F.filter(F.transform("blocks", lambda x, i: F.when(F.rlike(F.lower(x), F.lit(telling)), F.struct(
+        i.cast("long").alias("paragraph"), telling_pieces(x).alias("pieces")))), lambda p: p.isNotNull())
+    rows = rows.select("doc_id", F.size("blocks").cast("long").alias("n_paragraphs"), some.alias("some"))
+    rows = rows.withColumn("some", F.transform("some", lambda p: F.struct(p["paragraph"].alias("paragraph"), F.transform(
+        p["pieces"], lambda u: grams(F.regexp_extract_all(u, F.lit(WORD), F.lit(0)))).alias("pieces"))))
+
+    def likely(g):
+        z = F.aggregate(F.array_intersect(g, known), bias, lambda acc, w: F.zip_with(
+            acc, F.try_element_at(table, w), lambda a, b: a + b))
+        return F.transform(F.array(z), lambda z: F.transform(z, lambda x: F.exp((x - F.array_max(z)) / F.lit(model.temperature))))[0]
+
+    def rated(g, size):
+        """Of what is left of a piece: the likeliest class, all classes' weights, and the family's confirming templates."""
+        first = F.transform(F.array(likely(g)), lambda e: F.struct(e.alias("e"), F.element_at(
+            names, F.array_position(e, F.array_max(e)).cast("int")).alias("family")))
+        shares = F.transform(first, lambda r: F.struct(r["e"].alias("e"), r["family"].alias("family"), F.transform(
+            F.filter(templates, lambda t: t["family"] == r["family"]), lambda t: F.struct(
+                (F.size(F.array_intersect(g, t["pairs"])).cast("double") / F.greatest(F.least(size, F.size(t["pairs"])), F.lit(1)))
+                .alias("share"), t["own"].alias("own"))).alias("by")))
+        return F.transform(shares, lambda r: F.struct(
+            r["e"].alias("e"), r["family"].alias("family"),
+            F.coalesce(F.array_max(F.transform(r["by"], lambda t: t["share"])), F.lit(0.0)).alias("similarity"),
+            F.flatten(F.transform(F.filter(r["by"], lambda t: t["share"] >= CONFIRM), lambda t: t["own"])).alias("own")))
+
+    kind = "array<struct<e:array<double>,family:string,similarity:double>>"
+
+    def chain(g):
+        """The classes of a piece, each of what those before it leave."""
+        size = F.size(F.filter(g, lambda x: F.contains(x, F.lit(" "))))
+
+        def step(acc, _):
+            more = F.transform(rated(acc["left"], size), lambda r: F.struct(
+                F.when(r["similarity"] >= CONFIRM, F.array_except(acc["left"], r["own"])).alias("left"),
+                # the rest counts only if it confirms another family
+                F.when((r["family"] != NONE) & ((F.size(acc["out"]) == 0) | (r["similarity"] >= CONFIRM)) & ~F.exists(
+                    acc["out"], lambda o: o["family"] == r["family"]), F.concat(acc["out"], F.array(F.struct(
+                        r["e"].alias("e"), r["family"].alias("family"), r["similarity"].alias("similarity"))).cast(kind)))
+                .alias("out")))
+            return F.when(acc["left"].isNull(), acc).otherwise(F.transform(more, lambda m: F.struct(
+                F.when(m["out"].isNotNull(), m["left"]).alias("left"), F.coalesce(m["out"], acc["out"]).alias("out")))[0])
+
+        return F.aggregate(F.sequence(F.lit(1), F.lit(len(TEMPLATES))), F.struct(
+            g.alias("left"), F.array().cast(kind).alias("out")), step)["out"]
+
+    def judged(out):
+        """Probabilities are against the classes that are not found for a reason of their own."""
+        return F.transform(out, lambda o: F.transform(F.array(F.element_at(o["e"], F.array_position(names, o["family"]).cast("int")) / F.aggregate(
+            F.filter(F.arrays_zip(names.alias("name"), o["e"].alias("e")), lambda c: (c["name"] == o["family"]) | ~F.exists(
+                out, lambda x: x["family"] == c["name"])), F.lit(0.0), lambda a, c: a + c["e"])), lambda p: F.struct(
+                    F.when((p >= CONFIDENT) & (o["similarity"] >= CONFIRM), o["family"]).otherwise(F.lit(UNKNOWN)).alias("family"),
+                    p.alias("probability"), o["similarity"].alias("similarity")))[0])
+
+    def merged(p):
+        return F.transform(F.array_distinct(F.transform(p["all"], lambda x: x["family"])), lambda f: F.transform(
+            F.array(F.filter(p["all"], lambda x: x["family"] == f)), lambda same: F.struct(
+                p["paragraph"].alias("paragraph"), f.alias("family"),
+                F.array_max(F.transform(same, lambda x: x["probability"])).alias("probability"),
+                F.array_max(F.transform(same, lambda x: x["similarity"])).alias("similarity")))[0])
+
+    found = F.transform("some", lambda p: F.struct(p["paragraph"].alias("paragraph"), F.transform(p["pieces"], chain).alias("chains")))
+    found = F.transform(found, lambda p: F.struct(p["paragraph"].alias("paragraph"), F.flatten(F.transform(p["chains"], judged)).alias("all")))
+    return rows.select("doc_id", "n_paragraphs", F.flatten(F.transform(found, merged)).alias("found"))
 
 
 def summary(scanned: DataFrame) -> DataFrame:
     """Per row of ``scan``: doc_id, n_paragraphs, n_licence, families (sorted, joined by a comma), paragraphs, probability."""
     return scanned.select(
-        "doc_id", "n_paragraphs", F.size("found").cast("long").alias("n_licence"),
+        "doc_id", "n_paragraphs", F.size(F.array_distinct(F.transform("found", lambda p: p["paragraph"]))).cast("long").alias("n_licence"),
         F.array_join(F.array_sort(F.array_distinct(F.transform("found", lambda p: p["family"]))), ",").alias("families"),
-        F.array_join(F.transform("found", lambda p: p["paragraph"].cast("string")), ",").alias("paragraphs"),
+        F.array_join(F.array_distinct(F.transform("found", lambda p: p["paragraph"].cast("string"))), ",").alias("paragraphs"),
         F.array_max(F.transform("found", lambda p: p["probability"])).alias("probability"))
