@@ -84,3 +84,14 @@ def test_wrapped_notices(spark, model):
                "the rights to use,\n * copy and sell it.\n */", ["MIT"]),
               ("Copyright 2020 Foo\nSPDX-License-Identifier: MPL-2.0\nint main;", ["MPL-2.0"])]
     assert families(spark, model, [t for t, _ in cases]) == [f for _, f in cases]
+
+
+def test_all_families_of_a_sentence_and_of_a_line(spark, model):
+    a, b = "Licensed under the Apache License, Version 2.0.", "Released under the MIT License."
+    cases = [("This project is dual licensed under the MIT License and the Apache License, Version 2.0.", ["Apache-2.0", "MIT"]),
+             (f"{prose(200, 1)}. {a} {prose(300, 2)}. {b} {prose(200, 3)}.", ["Apache-2.0", "MIT"]),
+             (f"{prose(200, 1)} {a[:-1].lower()} {prose(300, 2)} {b[:-1].lower()} {prose(3000, 3)}", ["Apache-2.0", "MIT"]),
+             ("Licensed under the GNU Affero General Public License, version 3.", ["AGPL-3.0"]), (prose(3000, 4), [])]
+    assert families(spark, model, [t for t, _ in cases]) == [f for _, f in cases]
+    dual = licenses.summary(licenses.scan(frame(spark, [(1, cases[0][0])]), model)).first()
+    assert (dual.n_paragraphs, dual.n_licence, dual.families, dual.paragraphs) == (1, 1, "Apache-2.0,MIT", "0")

@@ -200,15 +200,18 @@ def _any_word(words) -> str:
 def sentences(block: Column) -> Column:
     """The sentences of a paragraph.  Its lines are joined unless one ends before the longest line's width and the next has a new start."""
     lines = F.transform(F.split(block, r"\r?\n"), lambda x: F.regexp_replace(x, r"^[\s#*/;%>|-]+|\s+$", ""))
-    width = F.array_max(F.transform(lines, F.length))
 
-    def joined(x, i):
-        after = F.get(lines, i + 1)
+    def ended(x, after, width):
         fits = F.length(x) + 1 + F.length(F.regexp_extract(after, r"^\S*", 0)) <= width
         return F.when(after.isNull(), x).when(fits & after.rlike(r"^[\"'(\[]?[\p{Lu}0-9]"), F.concat(x, F.lit("\n"))) \
             .otherwise(F.concat(x, F.lit(" ")))
 
-    return F.split(F.array_join(F.transform(lines, joined), ""), r"\n|(?<=[.!?][\"')]?)[ \t]+(?=[\"'(\[]?\p{Lu})")
+    # arrays of one bind a value, which is else worked out again for each line
+    bound = F.transform(F.array(F.struct(lines.alias("lines"))), lambda b: F.struct(
+        b["lines"].alias("lines"), F.array_max(F.transform(b["lines"], F.length)).alias("width")))
+    joined = F.transform(bound, lambda b: F.array_join(F.transform(b["lines"], lambda x, i: ended(
+        x, F.get(b["lines"], i + 1), b["width"])), ""))[0]
+    return F.split(joined, r"\n|(?<=[.!?][\"')]?)[ \t]+(?=[\"'(\[]?\p{Lu})")
 
 
 def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -281,7 +284,7 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         size = F.size(F.filter(g, lambda x: F.contains(x, F.lit(" "))))
 
         def step(acc, _):
-            more = F.transform(rated(acc["left"], size), lambda r: F.struct(
+            more = F.transform(rated(acc["left"], acc["size"]), lambda r: F.struct(
                 F.when(r["similarity"] >= CONFIRM, F.array_except(acc["left"], r["own"])).alias("left"),
                 # the rest counts only if it confirms another family
                 F.when((r["family"] != NONE) & ((F.size(acc["out"]) == 0) | (r["similarity"] >= CONFIRM)) & ~F.exists(
@@ -289,10 +292,11 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                         r["e"].alias("e"), r["family"].alias("family"), r["similarity"].alias("similarity"))).cast(kind)))
                 .alias("out")))
             return F.when(acc["left"].isNull(), acc).otherwise(F.transform(more, lambda m: F.struct(
-                F.when(m["out"].isNotNull(), m["left"]).alias("left"), F.coalesce(m["out"], acc["out"]).alias("out")))[0])
+                F.when(m["out"].isNotNull(), m["left"]).alias("left"), acc["size"].alias("size"),
+                F.coalesce(m["out"], acc["out"]).alias("out")))[0])
 
         return F.aggregate(F.sequence(F.lit(1), F.lit(len(TEMPLATES))), F.struct(
-            g.alias("left"), F.array().cast(kind).alias("out")), step)["out"]
+            g.alias("left"), size.alias("size"), F.array().cast(kind).alias("out")), step)["out"]
 
     def judged(out):
         """Probabilities are against the classes that are not found for a reason of their own."""
