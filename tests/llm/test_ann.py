@@ -77,3 +77,27 @@ def test_empty_table(spark):
 def test_hadamard_keeps_lengths():
     x = np.random.default_rng(0).normal(size=(5, 16))
     assert np.allclose(np.linalg.norm(ann.rotate(x, 1, 0, 3), axis=1), np.linalg.norm(x, axis=1))
+
+
+def test_many_exact_ties_go_to_the_smallest_ids(spark):
+    """Vectors whose products with the queries are all equal: far more ties than a result holds, in every block."""
+    dim = 64
+    unit = lambda i, x: [float(x if j == i else 0) for j in range(dim)]
+    rows = [(999 - n, [a + b for a, b in zip(unit(0, 10), unit(j, s), strict=True)])
+            for n, (j, s) in enumerate((j, s) for j in range(1, dim) for s in (1, -1))]
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = brute(rows)
+    for share in (1.0, ann.PROBES):
+        got = run(df, share=share)
+        exact = sum([i for _, i, _ in got[q]] == [i for _, i, _ in w] for q, w in want.items())
+        assert exact == len(want) if share == 1.0 else len(got) == len(want)
+    hot = [(i, unit(i % 3, 1)) for i in range(3000)] + [(i, unit(i % 40 + 3, 1)) for i in range(3000, 5000)]
+    got = run(spark.createDataFrame(hot, SCHEMA), share=1.0, every=500)
+    assert {q: [i for _, i, _ in w] for q, w in got.items()} == {q: [i for _, i, _ in w] for q, w in brute(hot, every=500).items()}
+
+
+def test_recall_on_the_larger_table(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    want, got = brute([(r.vec_id, r.embedding) for r in df.select("vec_id", "embedding").collect()]), run(df)
+    found = sum(len({i for _, i, _ in got[q]} & {i for _, i, _ in w}) for q, w in want.items())
+    assert found >= 0.9 * sum(map(len, want.values()))

@@ -62,7 +62,7 @@ def test_ids_and_decoding(spark, library):
 def test_compatibility_decides_as_merging_does(mine):
     """A pair of tokens is compatible exactly when merging their joined letters gives the pair back."""
     r = random.Random(1)
-    names = {i: t for t, i in mine.tokens.items()}
+    names = {i: t for t, i in mine.prefixes.items() if i >= 0}
     starts = [i for i, t in names.items() if not t.endswith("\n")]
     pairs = [(r.choice(starts), r.choice(list(names))) for _ in range(3000)]
     good = mine.compatible(*(np.array(x) for x in zip(*pairs)))
@@ -88,3 +88,21 @@ def test_full_cache_changes_nothing(mine, monkeypatch):
 
 def test_empty_table(spark):
     assert bpe.encode_documents(frame(spark, []), PATH).collect() == []
+
+
+def test_very_long_words_and_texts(spark, mine, library):
+    """One word of a megabyte, and a text of many: same ids as the library, in time that does not grow with the square."""
+    r = random.Random(4)
+    for word in ("".join(r.choice("abcdefghijklmnop") for _ in range(1 << 20)), "a" * 100_001, "\u4e2d\u6587" * 3000):
+        got = np.frombuffer(mine.encode_chunks([word])[0], "<u4").tolist()
+        assert got == library.encode(word, add_special_tokens=False).ids
+    rows = [(1, prose(700_000, 5)), (2, "y" * 200_000)]
+    assert sorted(tuple(x) for x in bpe.encode_documents(frame(spark, rows), PATH).collect()) == want(library, rows)
+
+
+def test_long_merging_equals_short_merging(mine, monkeypatch):
+    r = random.Random(6)
+    words = ["".join(r.choice("aabcdeghilnorstu") for _ in range(r.randrange(1, 40))) + "\n" for _ in range(1500)]
+    plain = [mine.merge(w) for w in words]
+    monkeypatch.setattr(bpe, "SCAN", 0)
+    assert [mine.merge(w) for w in words] == plain

@@ -95,3 +95,20 @@ def test_all_families_of_a_sentence_and_of_a_line(spark, model):
     assert families(spark, model, [t for t, _ in cases]) == [f for _, f in cases]
     dual = licenses.summary(licenses.scan(frame(spark, [(1, cases[0][0])]), model)).first()
     assert (dual.n_paragraphs, dual.n_licence, dual.families, dual.paragraphs) == (1, 1, "Apache-2.0,MIT", "0")
+
+
+NOTICES = {f: max(some, key=len) for f, some in licenses.TEMPLATES.items() if max(map(len, some)) > 100}
+
+
+def test_a_sentence_is_judged_alike_at_any_length(spark, model):
+    """Notices with foreign words inside, alone and followed by so many more that the sentence is several times as long."""
+    middle, behind = (" ".join(f"zq{i}x{n}" for i in range(n)) for n in (14, 200))
+    texts, want = [], []
+    for family, notice in sorted(NOTICES.items()):
+        w = notice.rstrip(".").split()
+        inside = " ".join([*w[:len(w) // 2], middle, *w[len(w) // 2:]])
+        texts += [inside, f"{inside} {behind}", notice, f"{notice.rstrip('.')} {behind}"]
+        want += [family] * 4
+    got = families(spark, model, texts)
+    assert len(NOTICES) >= 7 and all(got[i] == got[i + 1] for i in range(0, len(got), 2))
+    assert all(want[i] in got[i] for i in range(2, len(got), 4))       # whole notices; foreign words may part a telling pair

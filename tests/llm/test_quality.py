@@ -84,3 +84,19 @@ def test_learns_a_repeated_word_that_it_never_saw():
             for b in quality._bags([batch])]
     m = quality.sgd(bags)
     assert m.score(pa.array(["zzyyxx " * 20]))[0] < 0.3 < 0.7 < m.score(pa.array([" ".join(word() for _ in range(40))]))[0]
+
+
+def test_repeated_ids_and_long_texts_are_learned_once_and_whole(spark, data):
+    """A third of the rows share one labelled id: one of them, the same in any order, reaches the driver."""
+    docs, labels = data
+    hot = labels.where(~quality.held_out(labels.doc_id)).first().doc_id
+    more = spark.range(400).selectExpr(f"{hot}L as doc_id", "concat('copy ', id) as text")
+    rows = docs.select("doc_id", "text").unionByName(more)
+    a = quality.train(rows, labels)
+    b = quality.train(rows.orderBy("text"), labels)
+    assert a.bias == b.bias and (a.weight == b.weight).all()
+    seen = {}
+    for tail in ("good", "bad"):                       # texts that differ after a hundred thousand characters only
+        one = spark.createDataFrame([(hot, "same " * 30_000 + tail * 20_000)], "doc_id long, text string")
+        seen[tail] = quality.train(one, labels).weight
+    assert (seen["good"] != seen["bad"]).any()

@@ -104,11 +104,19 @@ def test_forest_links_are_few():
 
 
 def test_keep_one(spark):
-    rows = near_copies() + EDGE_ROWS
+    rows = [(d + 100, t) for d, t in near_copies()] + EDGE_ROWS       # no id has two texts
     kept = simhash.keep_one(with_clashes(frame(spark, rows)))
     assert kept.columns == with_clashes(frame(spark, rows)).columns
     got = [r.doc_id for r in kept.collect()]
-    want = {c for d, _, c in slow_components(rows) if d is not None and d == c}
-    named = [d for d in got if d is not None]
-    assert len(named) == len(set(named)) and set(named) == want
-    assert len(got) - len(named) == sum(d is None for d, _ in rows)
+    groups = {c for _, _, c in slow_components(rows)}
+    assert None not in got and len(got) == len(set(got)) and set(got) == groups      # each group has a row with an id here
+
+
+def test_keep_one_judges_rows_of_one_id_apart(spark):
+    """Rows that share an id are known by their texts: unrelated ones both stay, a copy of another document goes."""
+    a, b = prose(60, 1), prose(60, 2)
+    for rows, want in (([(5, a), (5, b)], {(5, a), (5, b)}), ([(3, a), (5, a), (5, b)], {(3, a), (5, b)}),
+                       ([(5, a), (5, a), (None, a)], {(5, a)}), ([(None, a), (None, a), (None, None), (None, "")], None)):
+        got = [tuple(r) for r in simhash.keep_one(frame(spark, rows)).collect()]
+        assert len(got) == (2 if want is None else len(want))
+        assert want is None or set(got) == want

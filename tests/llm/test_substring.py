@@ -99,3 +99,14 @@ def test_texts(spark):
 
 def test_empty_table(spark):
     assert run(frame(spark, []), 50) == []
+
+
+def test_repeated_rows_are_searched_once(spark, monkeypatch):
+    """One document as two hundred rows beside others that share its passages: same result, one row's work."""
+    a, b = prose(400, 3), f"{prose(20, 4)} {prose(400, 3)} {prose(90, 5)}"
+    rows = [(1, a)] * 200 + [(2, b)] * 50 + [(3, f"{prose(10, 6)} {prose(90, 5)}")]
+    sizes = []
+    keep = substring.materialize
+    monkeypatch.setattr(substring, "materialize", lambda df, name: sizes.append((name, keep(df, name))) or sizes[-1][1])
+    assert run(frame(spark, rows), 50) == brute(rows, 50)
+    assert all(df.count() < 2000 for _, df in sizes)

@@ -100,3 +100,23 @@ def test_compressed_dictionary():
     c = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d))
     data = struct.pack("<II", warc.DICTIONARY_MAGIC, len(packed)) + packed + c.compress(GOOD)
     assert list(warc.frames(data)) == [GOOD]
+
+
+def test_archives_are_bounded(spark):
+    """With a tiny bound a task writes many archives, each of which leads with the dictionary; nothing is lost."""
+    rows = EDGE + [(r.page_id + 100, r.url, r.html) for r in spark.read.parquet(f"{SF}/pages.parquet").collect()]
+    out = scratch_path(spark, "t")
+    got = warc.archive_and_read(spark.createDataFrame(rows, SCHEMA).coalesce(2), out, archive_bytes=4000).collect()
+    assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got), key=str) == brute(rows)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(out).where("length > 0").collect()
+    assert len(files) > 6
+    assert all(struct.unpack_from("<I", bytes(f.content))[0] == warc.DICTIONARY_MAGIC for f in files)
+
+
+def test_frame_of_undeclared_size():
+    """Frames written as a stream do not say how long their content is."""
+    raw = warc.record(1, "u", b"x" * 5_000_000, hashlib.sha256(b"x" * 5_000_000).hexdigest())
+    c = zstandard.ZstdCompressor().compressobj()
+    frame = c.compress(raw) + c.flush()
+    assert zstandard.get_frame_parameters(frame).content_size in (-1, 2**64 - 1)
+    assert list(warc.frames(frame)) == [raw]

@@ -10,8 +10,8 @@ bands of norms (a factor of ``BAND`` wide), every band has its own tables, and a
 Equal vectors are one candidate; each keeps its smallest ids, as many as a result can need, and copies are
 expanded only at the end.  Buckets are dealt into cells; a cell's vectors and the queries that probe it are
 scored block against block.  The number of blocks follows the measured counts, so a bucket
-with a third of all vectors is spread over many tasks.  A block returns only the best of each query.
-All scores that are returned are recomputed in double precision on the original vectors.
+with a third of all vectors is spread over many tasks.  A block returns only the best of each query: all that may tie
+with the last one wanted are scored again in double precision on the original vectors, and ties go to the group with the smallest id.
 """
 
 from __future__ import annotations
@@ -27,7 +27,8 @@ TABLES, HASHES, CELLS = 4, 1, 16
 PROBES = 0.25              # share of a table's buckets that a query probes
 BLOCK = 8192               # vectors, or queries, of one block
 BAND = 1.25                # ratio of the norms at the ends of a band; 1 is in the middle of one
-SPARE = 4                  # candidates that a block ranks beyond the number wanted
+SLACK = 1e-9               # of the product of the norms: scores nearer than that are compared exactly
+PAIRS = 1 << 20            # scores of one step
 
 
 def hadamard(a: np.ndarray) -> np.ndarray:
@@ -100,19 +101,19 @@ def _by_dimension(batch):
 
 
 def _placed(tables, hashes, cells, seed, share=None, all_bands=()):
-    """Rows (t, cell, rep, v, probed): vectors with their bucket, or queries with the buckets they probe in the cell."""
+    """Rows (t, cell, rep, first, v, probed): vectors with their bucket, or queries with the buckets they probe in the cell."""
     def run(batches):
         for whole in batches:
             for b in _by_dimension(whole):
                 for at in range(0, b.num_rows, 2000):
                     part = b.slice(at, 2000)
                     raw = _matrix(part.column(1))
-                    x, rep = padded(raw), part.column(0).to_numpy()
+                    x = padded(raw)
                     band = bands(raw)
                     for t in range(tables):
                         if share is None:
                             home = buckets(x, t, hashes, seed)
-                            yield _rows(band * tables + t, home % cells, part, rep, np.arange(len(x)), [[h] for h in home.tolist()])
+                            yield _rows(band * tables + t, home % cells, part, np.arange(len(x)), [[h] for h in home.tolist()])
                             continue
                         p = probes(x, t, hashes, seed, share)
                         row, cell, lists = [], [], []
@@ -124,24 +125,39 @@ def _placed(tables, hashes, cells, seed, share=None, all_bands=()):
                             lists += [p[i][inside[i]].tolist() for i in some.tolist()]
                         row, cell = np.concatenate(row), np.concatenate(cell)
                         for other in all_bands:
-                            yield _rows(np.full(len(row), other * tables + t), cell, part, rep, row, lists)
+                            yield _rows(np.full(len(row), other * tables + t), cell, part, row, lists)
     return run
 
 
-def _rows(t, cell, part, rep, row, lists):
+def _rows(t, cell, part, row, lists):
+    row = pa.array(row)
     return pa.RecordBatch.from_arrays(
-        [pa.array(t.astype(np.int32)), pa.array(cell.astype(np.int32)), pa.array(rep[row]),
-         part.column(1).take(pa.array(row)), pa.array(lists, pa.list_(pa.int64()))], ["t", "cell", "rep", "v", "probed"])
+        [pa.array(t.astype(np.int32)), pa.array(cell.astype(np.int32)), part.column(0).take(row), part.column(2).take(row),
+         part.column(1).take(row), pa.array(lists, pa.list_(pa.int64()))], ["t", "cell", "rep", "first", "v", "probed"])
+
+
+def _exact(qv, xv, qi, xi) -> np.ndarray:
+    """Inner products of the pairs (qi, xi)."""
+    return np.concatenate([np.zeros(0)] + [(qv[qi[i:i + PAIRS // 16]] * xv[xi[i:i + PAIRS // 16]]).sum(axis=1)
+                                           for i in range(0, len(qi), PAIRS // 16)])
+
+
+def _best(qi, score, first, k: int) -> np.ndarray:
+    """Positions of each query's best k, by score and then by the smallest id."""
+    order = np.lexsort((first, -score, qi))
+    start = np.searchsorted(qi[order], qi[order])
+    return order[np.arange(len(order)) - start < k]
 
 
 def _score(k: int):
-    """Of one block of queries and one of vectors, the best k (and a few) vectors of each query."""
+    """Of one block of queries and one of vectors, the best k vectors of each query, ties to the smallest id."""
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         q_out, x_out, s_out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
         if left.num_rows and right.num_rows:
             for q, x in _pairs_of_dimension(left.combine_chunks(), right.combine_chunks()):
                 qv, xv = _matrix(q["v"].combine_chunks()), _matrix(x["v"].combine_chunks())
-                q_id, x_id = q["rep"].to_numpy(), x["rep"].to_numpy()
+                q_id, x_id, first = q["rep"].to_numpy(), x["rep"].to_numpy(), x["first"].to_numpy()
+                far = np.sqrt((qv ** 2).sum(axis=1)), np.sqrt((xv ** 2).sum(axis=1))
                 home = x["probed"].combine_chunks().flatten().to_numpy()
                 asked = q["probed"].combine_chunks()
                 owner = np.repeat(np.arange(len(q_id)), np.diff(asked.offsets.to_numpy()))
@@ -149,23 +165,21 @@ def _score(k: int):
                 qi, xi, got = [], [], []
                 for b in np.unique(home).tolist():
                     rows, xs = owner[wanted == b], np.flatnonzero(home == b)
-                    n = min(len(xs), k + SPARE)
-                    for at in range(0, len(rows), 1024):
-                        some = rows[at:at + 1024]
+                    n, step = min(len(xs), k), max(1, PAIRS // len(xs))
+                    for at in range(0, len(rows), step):
+                        some = rows[at:at + step]
                         s = qv[some] @ xv[xs].T
-                        best = np.argpartition(-s, n - 1, axis=1)[:, :n]
-                        qi.append(np.repeat(some, n)), xi.append(xs[best].reshape(-1))
-                        got.append(np.take_along_axis(s, best, 1).reshape(-1))
+                        last = np.partition(s, len(xs) - n, axis=1)[:, len(xs) - n]
+                        i, j = np.nonzero(s >= (last - SLACK * far[0][some] * far[1][xs].max())[:, None])
+                        i, j = some[i], xs[j]
+                        exact = _exact(qv, xv, i, j)
+                        top = _best(i, exact, first[j], k)
+                        qi.append(i[top]), xi.append(j[top]), got.append(exact[top])
                 if not qi:
                     continue
                 qi, xi, got = np.concatenate(qi), np.concatenate(xi), np.concatenate(got)
-                order = np.lexsort((x_id[xi], -got, qi))
-                qi, xi = qi[order], xi[order]
-                first = np.searchsorted(qi, np.arange(len(q_id)))
-                top = np.arange(len(qi)) - first[qi] < k + SPARE
-                qi, xi = qi[top], xi[top]
-                q_out.append(q_id[qi]), x_out.append(x_id[xi])
-                s_out.append((qv[qi] * xv[xi]).sum(axis=1))
+                top = _best(qi, got, first[xi], k)
+                q_out.append(q_id[qi[top]]), x_out.append(x_id[xi[top]]), s_out.append(got[top])
         return pa.table({"q": np.concatenate(q_out), "rep": np.concatenate(x_out), "score": np.concatenate(s_out)})
     return run
 
@@ -197,11 +211,11 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     ids = few.groupBy("a").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))       # k + 1 ids at most
     asked = rows.groupBy("a").agg(F.max(asks).alias("asked"))
     groups = materialize(ids.join(asked, "a").select(F.xxhash64("a").alias("rep"), "a", "ids", "asked"), "groups")
-    schema = "t int, cell int, rep long, v binary, probed array<long>"
-    packed = groups.select("rep", F.arrow_udf(_bytes_of, "binary")("a").alias("v"), "asked")
-    data = materialize(packed.select("rep", "v").mapInArrow(_placed(tables, hashes, cells, seed), schema), "placed")
+    schema = "t int, cell int, rep long, first long, v binary, probed array<long>"
+    packed = groups.select("rep", F.arrow_udf(_bytes_of, "binary")("a").alias("v"), F.col("ids")[0].alias("first"), "asked")
+    data = materialize(packed.select("rep", "v", "first").mapInArrow(_placed(tables, hashes, cells, seed), schema), "placed")
     present = sorted({r["t"] // tables for r in data.select("t").distinct().collect()})   # a few dozen at most
-    queries = materialize(packed.where("asked = 1").select("rep", "v").mapInArrow(
+    queries = materialize(packed.where("asked = 1").select("rep", "v", "first").mapInArrow(
         _placed(tables, hashes, cells, seed, share, present), schema), "probing")
     # blocks of each cell, from the counts of its vectors and queries (tables x cells rows)
     sizes = {(r["t"], r["cell"]): (r["x"], r["q"]) for r in
@@ -218,8 +232,8 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     queries = queries.join(blocks, ["t", "cell"]).withColumn("qs", salt % F.col("nq")) \
         .withColumn("xs", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nx") - 1)))
     key = ["t", "cell", "xs", "qs"]
-    found = queries.select(*key, "rep", "v", "probed").groupBy(*key).cogroup(
-        data.select(*key, "rep", "v", "probed").groupBy(*key)).applyInArrow(_score(k + 1), "q long, rep long, score double")
+    found = queries.select(*key, "rep", "first", "v", "probed").groupBy(*key).cogroup(
+        data.select(*key, "rep", "first", "v", "probed").groupBy(*key)).applyInArrow(_score(k + 1), "q long, rep long, score double")
     best = found.groupBy("q", "rep").agg(F.max("score").alias("score"))
     members = groups.select("rep", "ids")
     w = Window.partitionBy("q").orderBy(F.col("score").desc(), "first")

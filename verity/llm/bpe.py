@@ -20,6 +20,7 @@ import struct
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,7 @@ from .common import Words, col, ragged, ship, slices, tidy
 
 NEVER = np.int64(1 << 40)
 STEP_BYTES = 2 << 20     # text that is encoded at a time
+SCAN = 64                # symbols of a word up to which finding the least rank by a scan is the faster way
 CACHE_WORDS = 200_000    # words whose ids a Python worker remembers between batches
 
 
@@ -83,7 +85,7 @@ class WordBPE:
         self.pair_keys, self.pair_ranks = np.append(keys[order], np.iinfo(np.int64).max), np.append(ranks[order], NEVER)
         # tokens that the merges can really produce; only these are proposed
         whole = {t: i for t, i in self.ids.items() if self.merge(t) == [i]}
-        self.tokens, self.longest = whole, max(map(len, whole))
+        self.prefixes = {t[:n]: -1 for t in whole for n in range(1, len(t))} | whole     # token of each, -1 if it only begins some
         self.cache: dict[str, bytes] = {}
 
     def symbols(self, word: str) -> list[str]:
@@ -93,6 +95,8 @@ class WordBPE:
     def merge(self, word: str) -> list[int]:
         """Exact merging: the pair of the lowest rank first, the leftmost of equals."""
         ids = [self.ids[s] for s in self.symbols(word)]
+        if len(ids) > SCAN:
+            return self._merge_long(ids)
         n, get, made, none = self.size, self.merges.get, self.made, len(self.made)
         ranks = [get(a * n + b, none) for a, b in zip(ids, ids[1:], strict=False)]
         while ranks and (best := min(ranks)) < none:
@@ -105,17 +109,42 @@ class WordBPE:
                 ranks[i] = get(new * n + ids[i + 1], none)
         return ids
 
+    def _merge_long(self, ids: list[int]) -> list[int]:
+        """The same with the pairs in a heap and the symbols in a linked list: n letters take n log n steps."""
+        size, get, made, end = self.size, self.merges.get, self.made, len(ids)
+        after, before = list(range(1, end + 1)), list(range(-1, end - 1))
+        heap = [r << 32 | i for i, (a, b) in enumerate(zip(ids, ids[1:], strict=False)) if (r := get(a * size + b)) is not None]
+        heapify(heap)
+        while heap:
+            first = heappop(heap)
+            r, i = first >> 32, first & 0xFFFFFFFF
+            j = after[i]
+            if j >= end or ids[i] < 0 or get(ids[i] * size + ids[j]) != r:
+                continue                                   # one of the two has been merged since
+            new = ids[i] = made[r]
+            ids[j] = -1
+            after[i] = k = after[j]
+            if k < end:
+                before[k] = i
+                if (r := get(new * size + ids[k])) is not None:
+                    heappush(heap, r << 32 | i)
+            if (p := before[i]) >= 0 and (r := get(ids[p] * size + new)) is not None:
+                heappush(heap, r << 32 | p)
+        return [t for t in ids if t >= 0]
+
     def propose(self, word: str) -> list[int]:
         """The greedy cut into longest tokens."""
-        out, at, tokens, mark = [], 0, self.tokens, len(word) - 1     # no cut right before the end mark
+        out, at, get, mark = [], 0, self.prefixes.get, len(word) - 1      # no cut right before the end mark
         while at <= mark:
-            end = min(mark + 1, at + self.longest)
-            while end == mark or (t := tokens.get(word[at:end])) is None:
-                end -= 1
-                if end <= at:
-                    raise ValueError(f"no token starts {word[at:]!r}")
-            out.append(t)
-            at = end
+            best, end = -1, at + 1
+            while end <= mark + 1 and (t := get(word[at:end])) is not None:
+                if t >= 0 and end != mark:
+                    best, stop = t, end
+                end += 1
+            if best < 0:
+                raise ValueError(f"no token starts {word[at:at + 40]!r}")
+            out.append(best)
+            at = stop
         return out
 
     def pair_rank(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:

@@ -1,8 +1,7 @@
 """Licence scan with a trained paragraph classifier (operator 8, native expressions only).
 
 A paragraph is the text between blank lines.  Its lines are joined, as notices are wrapped, but for a line that ends
-short and is followed by a new start.  It is judged by its sentences (long ones without their stretches of
-other words), whose features are their words and word pairs, but for those of function words
+short and is followed by a new start.  It is judged by its sentences, of any length, whose features are their words and word pairs, but for those of function words
 only.  A sparse (L1) multinomial logistic regression is fitted on the texts below with Spark ML; its classes are the
 licence families, "unknown" (licence language of no listed family) and "none" (other text).
 A temperature fitted on the left-out part of the texts calibrates its probabilities.
@@ -30,7 +29,6 @@ WORD = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 CONFIDENT, CONFIRM = 0.5, 0.6
 PLAIN_LINES = 120        # training lines without any feature: what most text is to this classifier
 NONE, UNKNOWN = "none", "unknown"
-LONG, GAP = 400, 12      # a sentence of more characters is cut where so many words are of no template
 SHARED = 5               # wording that more families than this use says nothing about which one it is
 
 # Wording of public licences and of the notices that name them.
@@ -240,8 +238,6 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                          "array<struct<family:string,pairs:array<string>,own:array<string>>>")
     # a feature that speaks for "none" at least as much as for any other class cannot change the outcome
     telling = r"(?<![a-z0-9])" + _any_word({w for g, x in model.weights.items() if max(x[:-1]) > x[-1] for w in g.split()} - FUNCTION_WORDS)
-    usual = {w for some in (*TEMPLATES.values(), *(OTHER[UNKNOWN],)) for t in some for w in words_of(t)} - FUNCTION_WORDS
-    other = r"(?:(?<![a-z0-9.-])(?!" + _any_word(usual) + r")[a-z0-9][a-z0-9.-]*+[^a-z0-9]++){" + f"{GAP},200" + "}+"
 
     # only sentences with a word of a weighted feature go on
     text = F.coalesce(col(text_col), F.lit(""))
@@ -249,9 +245,7 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     rows = docs.select(col(id_col).alias("doc_id"), blocks.alias("blocks"))
 
     def telling_pieces(x):
-        some = F.filter(F.transform(sentences(x), F.lower), lambda u: F.rlike(u, F.lit(telling)))
-        return F.filter(F.flatten(F.transform(some, lambda u: F.when(F.length(u) > LONG, F.split(u, other)).otherwise(F.array(u)))),
-                        lambda u: F.rlike(u, F.lit(telling)))
+        return F.filter(F.transform(sentences(x), F.lower), lambda u: F.rlike(u, F.lit(telling)))
 
     some = F.filter(F.transform("blocks", lambda x, i: F.when(F.rlike(F.lower(x), F.lit(telling)), F.struct(
         i.cast("long").alias("paragraph"), telling_pieces(x).alias("pieces")))), lambda p: p.isNotNull())

@@ -26,7 +26,6 @@ from .common import Rolling, Words, col, mix, ship, slices
 BUCKETS, DIM = 1 << 16, 16
 NGRAMS = (2, 3, 4)
 SAMPLE_PER_LABEL = 1200         # the bound of the training sample
-TRAIN_CHARS = 1 << 16           # characters of a training text that are used (scoring reads all)
 STEP_BYTES = 2 << 20             # text that is scored at a time
 EPOCHS, RATE = 12, 0.5
 KEEP = 0.7
@@ -148,19 +147,20 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
           label_col: str = "quality") -> Model:
     """Fit on at most SAMPLE_PER_LABEL labelled rows of each label, picked by a hash of the id, none held out.
 
-    A document with several labels counts with the least one; null labels and ids are left out.
+    A document with several labels counts with the least one; null labels and ids are left out.  Of rows that repeat an id the
+    one whose text has the least hash is learned.  Texts are learned whole.
     """
     ship(docs.sparkSession)
     known = labels.select(col(id_col).alias("i"), col(label_col).cast("int").alias("y")) \
         .where("i is not null and y in (0, 1)").where(~held_out(F.col("i"))).groupBy("i").agg(F.min("y").alias("y"))
     picked = [known.where(F.col("y") == y).orderBy(F.xxhash64("i"), "i").limit(SAMPLE_PER_LABEL) for y in (0, 1)]
     sample = picked[0].unionByName(picked[1])                # at most 2 * SAMPLE_PER_LABEL rows
-    rows = docs.join(F.broadcast(sample), col(id_col) == F.col("i")) \
-        .select("i", F.substring(F.coalesce(col(text_col), F.lit("")), 1, TRAIN_CHARS).alias("text"), "y")
+    texts = docs.join(F.broadcast(sample), col(id_col) == F.col("i")) \
+        .select("i", F.coalesce(col(text_col), F.lit("")).alias("text"), "y")
+    rows = texts.groupBy("i", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))     # one row an id, each task's own first
     bags = rows.select("text", "y", "i").mapInArrow(_bags, "i long, bucket array<int>, share array<float>, label int")
-    got = {r["i"]: (np.array(r["bucket"], np.int32), np.array(r["share"], np.float32), r["label"])
-           for r in bags.toLocalIterator()}                  # of rows that repeat an id, one
-    return sgd([bag for _, bag in sorted(got.items(), key=lambda x: x[0])])
+    got = [(r["i"], (np.array(r["bucket"], np.int32), np.array(r["share"], np.float32), r["label"])) for r in bags.toLocalIterator()]
+    return sgd([bag for _, bag in sorted(got, key=lambda x: x[0])])
 
 
 def score_udf(model: Model):

@@ -200,6 +200,20 @@ def near_links(prints: DataFrame, radius: int = RADIUS, limit: int = BUCKET) ->
         rows = (hot.join(F.broadcast(table), "mask").select("fp", F.explode("finer").alias("mask")).distinct())
 
 
+def _grouped(rows: DataFrame, text: str, shingle: int, radius: int) -> DataFrame:
+    """``rows`` (doc_id, the text column, others) with the text replaced by fp, root (of the group) and component_id."""
+    ship(rows.sparkSession)
+    names = [c for c in rows.columns if c != text]
+    prints = materialize(rows.select(*names, fingerprint_udf(shingle)(F.col(text).cast("binary")).alias("fp")), "prints")
+    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    roots = connected_components(near_links(distinct.select("fp"), radius))
+    known = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left") \
+        .select("fp", F.coalesce("root", "fp").alias("root"), "least")
+    named = known.groupBy("root").agg(F.min("least").alias("component_id"))
+    return prints.join(known.select("fp", "root").join(loose(named, "root"), "root").select("fp", "root", "component_id"), "fp") \
+        .select(*names, "fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
                     radius: int = RADIUS) -> DataFrame:
     """One row per input row: (doc_id, fp long, component_id).
@@ -209,31 +223,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smallest non-null id that is reachable (null if there is none).  Repeated rows are repeated.
     An empty table gives an empty result.  Other columns are ignored, whatever their names.
     """
-    ship(docs.sparkSession)
-    prints = materialize(docs.select(col(id_col).alias("doc_id"),
-                                     fingerprint_udf(shingle)(col(text_col).cast("binary")).alias("fp")), "prints")
-    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = connected_components(near_links(distinct.select("fp"), radius))
-    known = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left") \
-        .select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    named = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(known.select("fp", "root").join(loose(named, "root"), "root").select("fp", "component_id"), "fp") \
-        .select("doc_id", "fp", "component_id")
+    rows = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"))
+    return _grouped(rows, "text", shingle, radius).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
              radius: int = RADIUS) -> DataFrame:
-    """The documents that name their component, all columns kept.
+    """One row of each component, all columns kept: that of the smallest id (null ids last), then of a hash of the text.
 
-    Of rows that share such an id one stays.  Rows without an id cannot be named and stay.
+    A row is known by its id and its text, so rows that share an id but not a component are judged apart; of rows that
+    repeat both, the one with the least hash of all its columns stays.  Null texts count as empty ones.
     """
-    me = fresh(docs.columns, "component_id")
-    kept = near_duplicates(docs, id_col, text_col, shingle, radius).where("doc_id = component_id") \
-        .select(F.col("component_id").alias(me)).distinct()
-    order = fresh(docs.columns, "order")
-    w = Window.partitionBy(col(id_col)).orderBy(col(id_col))
-    once = docs.join(kept, col(id_col) == col(me), "left_semi").withColumn(order, F.row_number().over(w))
-    return once.where(col(order) == 1).drop(order).unionByName(docs.where(col(id_col).isNull()))
+    h, doc, order = (fresh(docs.columns, x) for x in ("h", "doc", "order"))
+    rows = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"), F.xxhash64(col(text_col)).alias("h"))
+    first = _grouped(rows, "text", shingle, radius).groupBy("root").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "h")).alias("r"))
+    first = first.select(F.col("r.doc_id").alias(doc), F.col("r.h").alias(h))
+    kept = docs.join(first, col(id_col).eqNullSafe(F.col(doc)) & (F.xxhash64(col(text_col)) == F.col(h)), "left_semi")
+    every = F.xxhash64(*[col(c).cast("string") if t.startswith(("map", "variant")) else col(c) for c, t in docs.dtypes])
+    w = Window.partitionBy(col(id_col), F.xxhash64(col(text_col))).orderBy(every)
+    return kept.withColumn(order, F.row_number().over(w)).where(F.col(order) == 1).select(*map(col, docs.columns))
 
 
 def hex_digits(fp):

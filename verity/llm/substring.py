@@ -180,8 +180,11 @@ def _window_rows(window: int):
 
 def repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
     """Of rows (doc, h, text), the windows that go: (doc, h, spans), spans as start << 31 | last start, in any order."""
-    found = materialize(docs.select("doc", "text", "h").where("doc is not null and text is not null")
-                        .mapInArrow(_stretch_rows(window, rounds), "k long, c long, doc long, h long, p array<long>"), "stretches")
+    docs = docs.select("doc", "text", "h").where("doc is not null and text is not null")
+    again = materialize(docs.groupBy("doc", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc", "h"), "again")
+    docs = docs.join(again, ["doc", "h"], "left_anti").unionByName(
+        docs.join(again, ["doc", "h"], "left_semi").dropDuplicates(["doc", "h"])).select("doc", "text", "h")     # rows that repeat a document: one
+    found = materialize(docs.mapInArrow(_stretch_rows(window, rounds), "k long, c long, doc long, h long, p array<long>"), "stretches")
     shared = found.groupBy("k").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("k")
     found = materialize(found.join(loose(shared, "k"), "k"), "shared")
     kinds = found.groupBy("k", "c").agg(F.min("doc").alias("low"))

@@ -31,7 +31,7 @@ DATE = "1970-01-01T00:00:00Z"                       # fixed, so that archives ar
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 SAMPLE_ROWS, SAMPLE_BYTES, DICTIONARY_BYTES = 400, 16_384, 32_768   # the dictionary's bounded sample
 MIN_REVISIT = 100
-MAX_RECORD = 1 << 30
+ARCHIVE_BYTES = 32 << 20       # an archive closes after the record that reaches this size
 
 
 # ---------------------------------------------------------------- records
@@ -140,7 +140,7 @@ def frames(data):
                     raise ValueError("the dictionary does not lead the archive")
                 dictionary = bytes(data[8:8 + size])
                 if dictionary[:4] == struct.pack("<I", FRAME_MAGIC):     # it may itself be compressed
-                    dictionary = zstandard.ZstdDecompressor().decompress(dictionary, max_output_size=MAX_RECORD)
+                    dictionary = b"".join(zstandard.ZstdDecompressor().read_to_iter(dictionary))
             at += 8 + size
             continue
         if magic != FRAME_MAGIC:
@@ -150,7 +150,7 @@ def frames(data):
                 dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
         end = frame_end(data, at)
         try:
-            yield reader.decompress(data[at:end], max_output_size=MAX_RECORD)
+            yield b"".join(reader.read_to_iter(data[at:end]))       # its size need not be declared
         except zstandard.ZstdError as e:
             raise ValueError(f"bad frame: {e}") from None
         at = end
@@ -168,26 +168,35 @@ def train_dictionary(pages: DataFrame, html_col: str = "html") -> bytes:
         return b""
 
 
-def _compress(dictionary: bytes, level: int):
+def _compress(dictionary: bytes, level: int, most: int):
+    """Archives of about ``most`` bytes, one in a row."""
     def run(batches):
         c = zstandard.ZstdCompressor(level=level, write_checksum=True, dict_data=zstandard.ZstdCompressionDict(dictionary)
                                      if dictionary else None)
-        lead = [dictionary_frame(dictionary)]
+        lead = dictionary_frame(dictionary)
+        out, size = [lead], 0
+
+        def close():
+            return pa.RecordBatch.from_arrays([pa.array([b"".join(out)], pa.binary())], ["archive"])
+
         for b in batches:
-            page, url, html, digest, first = (b.column(i) for i in range(5))
-            for at in range(0, len(page), 200):
-                out, lead = lead, []
-                for i in range(at, min(at + 200, len(page))):
-                    out.append(c.compress(record(page[i].as_py(), url[i].as_py(), html[i].as_buffer().to_pybytes(),
-                                                 digest[i].as_py(), first[i].as_py())))
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["frame"])
+            for page, url, html, digest, first in zip(*(b.column(i) for i in range(5)), strict=True):
+                out.append(c.compress(record(page.as_py(), url.as_py(), html.as_buffer().to_pybytes(), digest.as_py(), first.as_py())))
+                size += len(out[-1])
+                if size >= most:
+                    yield close()
+                    out, size = [lead], 0
+        if size:
+            yield close()
     return run
 
 
 def write_archives(pages: DataFrame, out: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
-                   level: int = 3) -> None:
+                   level: int = 3, archive_bytes: int = ARCHIVE_BYTES) -> None:
     """Write one record per row of ``pages`` to archives in ``out`` (a null payload is empty).
 
+    A task writes as many archives as its records need, each with the dictionary in front, of about ``archive_bytes``.
+
     Which rows are revisits is found on digests alone (aggregated before they are shuffled); the payloads
     are joined with that by page id.  A null id is never the one that others refer to, and its row
     is always a response; rows that repeat the smallest id are all responses.
@@ -201,9 +210,9 @@ def write_archives(pages: DataFrame, out: str, id_col: str = "page_id", url_col:
     again = long.distinct().join(shared, "digest").where("page_id > first")
     marked = rows.join(again, ["page_id", "digest"], "left")
     dictionary = train_dictionary(pages, html_col)
-    (marked.select("page_id", "url", "html", "digest", "first").mapInArrow(_compress(dictionary, level), "frame binary")
-     .select(F.col("frame").cast("string").alias("value"))
-     .write.option("lineSep", EMPTY_FRAME.decode("ascii")).text(out))
+    (marked.select("page_id", "url", "html", "digest", "first").mapInArrow(_compress(dictionary, level, archive_bytes), "archive binary")
+     .select(F.col("archive").cast("string").alias("value"))
+     .write.option("lineSep", EMPTY_FRAME.decode("ascii")).option("maxRecordsPerFile", 1).text(out))
 
 
 def _parse(payloads: bool):
@@ -247,12 +256,12 @@ def read_archives(spark: SparkSession, out: str, payloads: bool = False, pattern
 
 
 def archive_and_read(pages: DataFrame, out: str, id_col: str = "page_id", url_col: str = "url",
-                     html_col: str = "html") -> DataFrame:
+                     html_col: str = "html", archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Write ``pages`` to archives and return what they hold, one row per input row, payloads left out.
 
     Null payloads, null ids, ties and repeated rows: see ``write_archives``.  An empty table gives an empty
     result; other columns are ignored.
     """
     ship(pages.sparkSession)
-    write_archives(pages, out, id_col, url_col, html_col)
+    write_archives(pages, out, id_col, url_col, html_col, archive_bytes=archive_bytes)
     return read_archives(pages.sparkSession, out).drop("payload")
