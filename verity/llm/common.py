@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import os
+import re
 import tempfile
 import zipfile
 from collections.abc import Iterator
@@ -129,6 +130,35 @@ class Words:
         return np.repeat(self.offsets[:-1], np.diff(self.offsets))
 
 
+# white space of any kind, as RE2 and Python name it, and sentencepiece's sign for it: no text is cut beside them
+_SPACES = r"\x{2581}\t-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_UNSAFE = f"[ {_SPACES}] | [{_SPACES}]|^ | $"     # a space beside white space or an edge
+LONE_SPACE = re.compile(r"(?<=[^\s\u2581]) (?=[^\s\u2581])")
+
+
+class Pieces:
+    """Texts cut at the spaces that stand alone between other characters, dictionary-coded.
+
+    ``codes[offsets[i]:offsets[i + 1]]`` are text i's pieces as positions in ``values``; joined by one space they are the text.
+    Every text has a piece; that of an empty or null one is empty.
+    """
+
+    def __init__(self, text: pa.Array):
+        text = pc.fill_null(text.cast(pa.string()), "")
+        lists = pc.split_pattern(text, " ")
+        odd = np.flatnonzero(pc.match_substring_regex(text, _UNSAFE).to_numpy(zero_copy_only=False))
+        if len(odd):
+            own = pa.array([LONE_SPACE.split(text[i].as_py()) for i in odd.tolist()], lists.type)
+            order = np.arange(len(text))
+            order[odd] = len(text) + np.arange(len(odd))
+            lists = pa.concat_arrays([lists, own]).take(pa.array(order))
+        sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+        self.offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
+        self.codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        self.values = coded.dictionary
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Positions start, start + 1, ... of several runs, one after the other."""
     total = int(lengths.sum())

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import ann, bpe, decontam, licenses, quality, sharding, simhash, substring, token_store, warc
+from . import ann, bpe, decontam, lengths, licenses, quality, sharding, simhash, substring, token_store, warc
 
 
 def tokenizer_path(name: str) -> str:
@@ -65,9 +65,13 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lengths.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_simhash, op2_neighbours, op3_token_store, op4_warc, op5_bpe, op6_decontamination, op7_substring, op8_licences,
-    op9_sharding, op10_quality)}
+    op9_sharding, op10_quality, op12_token_counts)}
 
 ORACLE: dict[str, str] = {
     "op4_warc": """
