@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import ann, bpe, decontam, lengths, licenses, quality, sharding, simhash, substring, token_store, warc
+from . import ann, bpe, decontam, lengths, licenses, prefix_trie, quality, sharding, simhash, substring, token_store, warc
 
 
 def tokenizer_path(name: str) -> str:
@@ -69,9 +69,13 @@ def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_simhash, op2_neighbours, op3_token_store, op4_warc, op5_bpe, op6_decontamination, op7_substring, op8_licences,
-    op9_sharding, op10_quality, op12_token_counts)}
+    op9_sharding, op10_quality, op12_token_counts, op13_prefix_trie)}
 
 ORACLE: dict[str, str] = {
     "op4_warc": """
@@ -94,4 +98,31 @@ ORACLE: dict[str, str] = {
                    list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda x: not list_contains(js, x[2])), lambda x: x[1]) end, ' '))
                    as kept_sha256
         from t left join r using (doc_id)""",
+    "op13_prefix_trie": """
+        with t as (select conv_id, row_number() over (partition by conv_id order by turn nulls first) - 1 as pos,
+                          coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null),
+             c as (select conv_id, conv_id - conv_id % 5 as first, xor(4294967295::ubigint, list_reduce(list_transform(
+                       string_split(conv_id::varchar, ''), lambda x: ascii(x)::ubigint), lambda crc, byte: list_reduce(
+                           list_transform(range(8), lambda i: i::ubigint), lambda v, i: case when v % 2 = 1
+                               then xor(v // 2, 3988292384::ubigint) else v // 2 end, xor(crc, byte)), 4294967295::ubigint)) % 9 as h
+                   from (select distinct conv_id from t)),
+             k as (select c.conv_id, h, count(t.pos) as n from c left join t on t.conv_id = c.first and t.pos < h group by all),
+             r as (select c.conv_id, t.pos, role, text from c join t on t.conv_id = c.first where t.pos < h
+                   union all select k.conv_id, t.pos - h + n, role, text from k join t using (conv_id) where t.pos >= h),
+             s as (select conv_id, list(md5(md5(role) || md5(text)) order by pos) as names, list(strlen(text) order by pos) as sizes
+                   from r group by conv_id),
+             m as (select conv_id, coalesce(names, []) as names, coalesce(sizes, []) as sizes from c left join s using (conv_id)),
+             p as (select conv_id, d, md5(array_to_string(names[1:d], '')) as node, sizes[d] as bytes, d = len(names) as ended,
+                          case when d > 0 then md5(array_to_string(names[1:d - 1], '')) end as parent
+                   from (select *, unnest(range(0, len(names) + 1)) as d from m)),
+             n as (select node, d, min(parent) as parent, min(conv_id) as least, count(*) as n, max(bytes) as bytes,
+                          string_agg(conv_id::varchar, ',' order by conv_id) filter (where ended) as ends from p group by node, d),
+             f as (select parent as node, count(*) as children from n where parent is not null group by parent),
+             a as (select distinct x.node as node, y.node as above from p x join p y on x.conv_id = y.conv_id and y.d <= x.d),
+             w as (select above as node, count(*) filter (where f.node is null) as leaves, sum((n.n - 1) * coalesce(bytes, 0)) as saved
+                   from a join n on n.node = a.node left join f on f.node = a.node group by above)
+        select n.least::bigint as conv_id, n.d::bigint as depth, u.least::bigint as parent_conv_id, n.n::bigint as n_convs,
+               coalesce(children, 0)::bigint as n_children, leaves::bigint as n_leaves, saved::bigint as saved_tokens,
+               sha256(coalesce(n.ends, '')) as ends_sha256
+        from n left join n u on u.node = n.parent left join f on f.node = n.node join w on w.node = n.node""",
 }
