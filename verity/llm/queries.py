@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import ann, bpe, decontam, lengths, licenses, prefix_trie, quality, sharding, simhash, substring, token_store, warc
+from . import align, ann, bpe, decontam, lengths, licenses, prefix_trie, quality, sharding, simhash, substring, token_store, warc
 
 
 def tokenizer_path(name: str) -> str:
@@ -65,6 +65,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"),
+                                 tokenizer_path("piece_bpe_32k.model"))
+
+
 def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -75,7 +80,7 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_simhash, op2_neighbours, op3_token_store, op4_warc, op5_bpe, op6_decontamination, op7_substring, op8_licences,
-    op9_sharding, op10_quality, op12_token_counts, op13_prefix_trie)}
+    op9_sharding, op10_quality, op11_alignment, op12_token_counts, op13_prefix_trie)}
 
 ORACLE: dict[str, str] = {
     "op4_warc": """
