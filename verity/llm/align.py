@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import os
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from .common import Pieces, col, loose, materialize, parts_of, ragged, ship, tid
 
 STEP_BYTES = 4 << 20         # text that is aligned at a time
 CHUNK_BYTES = 32 << 20       # text of one chunk
-CACHE_PARTS = 150_000        # parts whose ids a Python worker remembers
+CACHE_PARTS = 300_000        # parts whose ids a Python worker remembers
 ENCODE = 4000                # parts that the library gets at a time
 
 
@@ -109,10 +110,10 @@ class Both:
         # decimal ids with the sign that follows: "," or the one that ends a side of a group
         self.signs_a = pa.array([f"{i}{s}" for s in ",|" for i in range(size)], pa.string())
         self.signs_b = pa.array([f"{i}{s}" for s in ",;" for i in range(self.width)], pa.string())
-        self.cache: dict[str, tuple[bytes, bytes]] = {}
+        self.cache: dict[str, bytes] = {}
 
-    def known(self, parts: list[str]) -> tuple[list[bytes], list[bytes]]:
-        """Ids (32-bit) of each part by A and by B."""
+    def known(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of the parts by A and where each part's begin (and the last end), and the same by B."""
         cache = self.cache
         new = [p for p in parts if p not in cache]
         if len(cache) + len(new) > CACHE_PARTS:
@@ -120,24 +121,37 @@ class Both:
         for at in range(0, len(new), ENCODE):
             some = new[at:at + ENCODE]
             e = self.a.encode([" " + p for p in some], is_pretokenized=True, add_special_tokens=False)
-            to = (4 * np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(some) + 1))).tolist()
-            ids = np.array(e.ids, "<u4").tobytes()
-            for p, x, y, b in zip(some, to[:-1], to[1:], self.b.encode(some, num_threads=1), strict=True):
-                cache[p] = (ids[x:y], np.array(b, "<u4").tobytes())
-        got = [cache[p] for p in parts]
-        return [x for x, _ in got], [x for _, x in got]
-
-    def flat(self, packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        ids = np.frombuffer(b"".join(packed), "<u4").astype(np.int64)
-        return ids, np.concatenate([[0], np.cumsum(np.fromiter(map(len, packed), np.int64, len(packed)) // 4)])
-
-    def same(self, table: pa.Array, ids: np.ndarray, off: np.ndarray, want: list[bytes]) -> np.ndarray:
+            lists = self.b.encode(some, num_threads=1)
+            n_a = np.bincount(np.array(e.word_ids, np.int64), minlength=len(some))
+            n_b = np.fromiter(map(len, lists), np.int64, len(lists))
+            # a part's entry: how many ids A has, they, those of B
+            end = np.cumsum(1 + n_a + n_b)
+            start = end - 1 - n_a - n_b
+            flat = np.empty(int(end[-1]), "<u4")
+            flat[start] = n_a
+            flat[ragged(start + 1, n_a)] = e.ids
+            flat[ragged(start + 1 + n_a, n_b)] = np.fromiter(chain.from_iterable(lists), np.uint32, int(n_b.sum()))
+            data = flat.tobytes()
+            cache.update(zip(some, (data[x:y] for x, y in zip((4 * start).tolist(), (4 * end).tolist(), strict=True)), strict=True))
+        packed = [cache[p] for p in parts]
+        size = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+        flat = np.frombuffer(b"".join(packed), "<u4").astype(np.int64)
+        start = np.cumsum(size) - size
+        n_a = flat[start]
+        n_b = size - 1 - n_a
+        return (flat[ragged(start + 1, n_a)], np.concatenate([[0], np.cumsum(n_a)]),
+                flat[ragged(start + 1 + n_a, n_b)], np.concatenate([[0], np.cumsum(n_b)]))
+
+    def same(self, table: pa.Array, sizes: np.ndarray, ids: np.ndarray, off: np.ndarray, want: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Whether the tokens' bytes, joined, are those wanted, part by part."""
-        joined = table.take(pa.array(ids))
-        ends = _ends(joined)
-        data = joined.buffers()[2].to_pybytes() if len(ids) else b""
-        at = ends[off]
-        return np.fromiter((data[x:y] == w for x, y, w in zip(at[:-1].tolist(), at[1:].tolist(), want, strict=True)), bool, len(want))
+        at = np.concatenate([[0], np.cumsum(sizes[ids])])[off]
+        data = np.frombuffer(table.take(pa.array(ids)).buffers()[2], np.uint8, int(at[-1])) if len(ids) else np.zeros(0, np.uint8)
+        good = np.diff(at) == np.diff(ends)
+        n = np.diff(ends)[good]
+        differ = np.concatenate([[0], np.cumsum(data[ragged(at[:-1][good], n)] != want[ragged(ends[:-1][good], n)])])
+        stop = np.cumsum(n)
+        good[good] = differ[stop] == differ[stop - n]
+        return good
 
 
 class Parts:
@@ -145,11 +159,10 @@ class Parts:
 
     def __init__(self, both: Both, values: list[str]):
         n = len(values)
-        packed_a, packed_b = both.known(values)
-        ids_a, off_a = both.flat(packed_a)
-        ids_b, off_b = both.flat(packed_b)
-        want = [b" " + v.encode() for v in values]
-        self.good = both.same(both.bytes_a, ids_a, off_a, want) & both.same(both.bytes_b, ids_b, off_b, want)
+        ids_a, off_a, ids_b, off_b = both.known(values)
+        spaced = [b" " + v.encode() for v in values]
+        want = np.frombuffer(b"".join(spaced), np.uint8), np.concatenate([[0], np.cumsum(np.fromiter(map(len, spaced), np.int64, n))])
+        self.good = both.same(both.bytes_a, both.size_a, ids_a, off_a, *want) & both.same(both.bytes_b, both.size_b, ids_b, off_b, *want)
         # only parts whose bytes agree are aligned
         self.n_a, self.n_b = np.diff(off_a) * self.good, np.diff(off_b) * self.good
         ids_a, ids_b = ids_a[np.repeat(self.good, np.diff(off_a))], ids_b[np.repeat(self.good, np.diff(off_b))]
