@@ -10,6 +10,7 @@ does not put them all through one task.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.constants import HISTORY_PER_USER
+from .commits import CommitLog
 
 HISTORY_SCHEMA = T.StructType([
     T.StructField("id", T.StringType(), False),
@@ -73,78 +75,116 @@ def history_clear(history: DataFrame, user_id) -> DataFrame:
     return history.where(F.col("user_id") != user_id)
 
 
-def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The rows that were appended to a small Parquet log; none if there is no log yet."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
-
-
 class HistoryStore:
-    """A history table in a (shared) folder.
+    """A history table in a shared folder, for many writers at once.
 
-    Entries lie in BUCKETS buckets by user.  A change writes the buckets of the users that it touches to a new
-    folder and then names them in the log; the table is the newest folder of each bucket.  Nothing is
-    overwritten, a write that never reached the log is never read, and a store that is opened again goes on
-    from the log.  One writer at a time.
+    Entries lie in buckets by a hash of their user.  Every change writes a folder of its own and then commits, with the log's next number,
+    which of its buckets hold which parts (commits.py).  Nothing is overwritten, and a write that was not committed is
+    never read.
+
+    ``append`` adds parts, so appends never hinder each other: the one that loses a number takes the next.
+    The newest entries of a user are the same whether retention runs before or after two appends are put together, so it runs when
+    they are read.  ``delete`` and ``clear`` replace their user's bucket, and read it again if it changed meanwhile.  A bucket of
+    over ``max_parts`` parts is put together after an append, and the number of buckets doubles when they hold over
+    ``rows_per_bucket`` rows on average.
     """
 
-    BUCKETS = 64
-    LOG = "seq long, bucket int, folder string"
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 16, max_parts: int = 8, rows_per_bucket: int = 1_000_000):
+        self.spark, self.path, self.max_parts, self.rows_per_bucket = spark, path.rstrip("/"), max_parts, rows_per_bucket
+        self.log = CommitLog(spark, self.path, {"buckets": buckets, "parts": {}}, self._fold)
+
+    @staticmethod
+    def _fold(state: dict, entry: dict) -> dict:
+        parts = state["parts"] if entry["buckets"] == state["buckets"] else {}
+        for b, rows in entry["rows"].items():
+            before = parts.get(b, []) if entry["adds"] else []
+            parts[b] = [*before, [entry["folder"], rows]] if rows else before
+        return {"buckets": entry["buckets"], "parts": {b: p for b, p in parts.items() if p}}
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    # -- reading
 
-    def _newest(self) -> tuple[int, dict[int, str]]:
-        rows = read_log(self.spark, f"{self.path}/log", self.LOG).groupBy("bucket").agg(
-            F.max_by("folder", "seq").alias("folder"), F.max("seq").alias("seq")).collect()       # BUCKETS rows at most
-        return max((r["seq"] for r in rows), default=0), {r["bucket"]: r["folder"] for r in rows}
+    def _part(self, paths: list[str]) -> DataFrame:
+        return self.spark.read.schema(HISTORY_SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], HISTORY_SCHEMA)
 
-    def _read(self, folders: dict[int, str]) -> DataFrame:
-        if not folders:
-            return self.spark.createDataFrame([], HISTORY_SCHEMA)
-        return self.spark.read.schema(HISTORY_SCHEMA).parquet(*[f"{self.path}/{f}/bucket={b}" for b, f in sorted(folders.items())])
+    def _read(self, state: dict, buckets: list[str] | None = None) -> DataFrame:
+        """The entries of some buckets; a bucket of one part is within retention already."""
+        parts = {b: p for b, p in state["parts"].items() if buckets is None or b in buckets}
+        one, more = ([f"{self.path}/{f}/bucket={b}" for b, p in sorted(parts.items()) if (len(p) > 1) == several for f, _ in p]
+                     for several in (False, True))
+        out = self._part(one)
+        return out.unionByName(retain(self._part(more))) if more else out
 
     def table(self) -> DataFrame:
-        return self._read(self._newest()[1])
-
-    def _bucket(self):
-        return F.pmod(F.xxhash64("user_id"), F.lit(self.BUCKETS)).cast("int")
-
-    def _rewrite(self, buckets: list[int], change) -> DataFrame:
-        """Replace the entries of some buckets by what ``change`` makes of them."""
-        seq, folders = self._newest()
-        folder = f"data-{seq + 1}-{uuid.uuid4().hex}"
-        new = change(self._read({b: f for b, f in folders.items() if b in buckets}))
-        new = new.select(*HISTORY_SCHEMA.fieldNames()).withColumn("bucket", self._bucket())
-        new.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/{folder}")
+        return self._read(self.log.head()[1])
+
+    # -- writing
+
+    @staticmethod
+    def _bucket(buckets: int):
+        return F.pmod(F.xxhash64("user_id"), F.lit(buckets)).cast("int")
+
+    def _write(self, entries: DataFrame, buckets: int) -> tuple[str, dict[str, int]]:
+        """A new folder with ``entries`` by bucket, and the rows of each (a number for each bucket)."""
+        folder = f"data-{uuid.uuid4().hex}"
+        rows = entries.select(*HISTORY_SCHEMA.fieldNames()).withColumn("bucket", self._bucket(buckets))
+        rows.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/{folder}")
         try:
-            left = {r["bucket"] for r in self.spark.read.parquet(f"{self.path}/{folder}").select("bucket").distinct().collect()}
-        except AnalysisException:                      # nothing is left in these buckets: no part was written
-            left = set()
-        for b in set(buckets) - left:
-            self.spark.createDataFrame([], HISTORY_SCHEMA).write.parquet(f"{self.path}/{folder}/bucket={b}")
-        self.spark.createDataFrame([(seq + 1, b, folder) for b in buckets], self.LOG).coalesce(1) \
-            .write.mode("append").parquet(f"{self.path}/log")
-        return self.table()
+            written = self.spark.read.parquet(f"{self.path}/{folder}").groupBy("bucket").count().collect()
+        except AnalysisException:                      # no row, so no file and no schema
+            written = []
+        return folder, {str(r["bucket"]): r["count"] for r in written}
+
+    def _replace(self, of: Callable[[dict], list[str]], change: Callable[[DataFrame], DataFrame], grow: int = 1) -> None:
+        """Put what ``change`` makes of the entries of some buckets in their place."""
+        def decide(state):
+            buckets = of(state)
+            if not buckets:
+                return None, None
+            seen = {b: state["parts"].get(b, []) for b in buckets}
+            folder, rows = self._write(change(self._read(state, buckets)), state["buckets"] * grow)
+            rows = rows if grow > 1 else {b: rows.get(b, 0) for b in buckets}
+            return ({"adds": False, "folder": folder, "buckets": state["buckets"] * grow, "rows": rows},
+                    lambda now: now["buckets"] == state["buckets"] and of(now) == buckets
+                    and {b: now["parts"].get(b, []) for b in buckets} == seen)
+        self.log.append(decide)
 
     def append(self, entries: DataFrame) -> DataFrame:
         """H1: add entries, then keep the newest of every user."""
-        buckets = [r[0] for r in entries.select(self._bucket()).distinct().collect()]      # BUCKETS rows at most
-        return self._rewrite(buckets, lambda old: history_append(old, entries)) if buckets else self.table()
+        empty = self.spark.createDataFrame([], HISTORY_SCHEMA)
+        new = retain(empty.unionByName(entries, allowMissingColumns=True))
+        written: dict[int, tuple[str, dict]] = {}
+
+        def decide(state):
+            n = state["buckets"]
+            if n not in written:
+                written[n] = self._write(new, n)
+            folder, rows = written[n]
+            entry = {"adds": True, "folder": folder, "buckets": n, "rows": rows}
+            return (entry if rows else None), lambda now: now["buckets"] == n
+        if self.log.append(decide):
+            self.compact()
+        return self.table()
+
+    def compact(self) -> None:
+        """Put the parts of full buckets together; make more buckets if they are large."""
+        self._replace(lambda s: sorted(b for b, p in s["parts"].items() if len(p) > self.max_parts), lambda old: old)
 
-    def _of_user(self, user_id) -> list[int]:
-        row = self.spark.createDataFrame([(str(user_id),)], "user_id string").select(self._bucket()).first()
-        return [row[0]]
+        def large(state):
+            rows = sum(n for p in state["parts"].values() for _, n in p)
+            return sorted(state["parts"]) if rows > self.rows_per_bucket * state["buckets"] else []
+        self._replace(large, lambda old: old, grow=2)
+
+    def _of_user(self, user_id) -> Callable[[dict], list[str]]:
+        user = self.spark.createDataFrame([(str(user_id),)], "user_id string")
+        return lambda state: [b for b in [str(user.select(self._bucket(state["buckets"])).first()[0])] if b in state["parts"]]
 
     def delete(self, entry_id, user_id) -> DataFrame:
-        return self._rewrite(self._of_user(user_id), lambda old: history_delete(old, entry_id, user_id))
+        self._replace(self._of_user(user_id), lambda old: history_delete(old, entry_id, user_id))
+        return self.table()
 
     def clear(self, user_id) -> DataFrame:
-        return self._rewrite(self._of_user(user_id), lambda old: history_clear(old, user_id))
+        self._replace(self._of_user(user_id), lambda old: history_clear(old, user_id))
+        return self.table()
 
 
 def entries_from_events(events: DataFrame) -> DataFrame:

@@ -9,13 +9,15 @@ a whole table, or all changes of a column, into one task.
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import col_
-from .history import read_log
+from .commits import CommitLog
 
 SEVERITY_RANK = {"critical": 4, "error": 3, "warning": 2}   # anything else ranks 1
 KIND_RANK = {"critical": 3, "warning": 2}                   # anything else ("fixed") ranks 1
@@ -48,12 +50,16 @@ def _apply_cells(table: DataFrame, cells: DataFrame, row_id: str, columns) -> Da
         aggs.append(F.max(hit).alias(f"_w_{c}"))
     wide = cells.groupBy(F.col(row_id)).agg(*aggs)
     joined = table.join(wide, row_id, "left")
+    kinds = dict(table.dtypes)
     out = [F.col(row_id)]
     for c in table.columns:
         if c == row_id:
             continue
         if c in cols:
-            out.append(F.when(F.coalesce(col_(f"_w_{c}"), F.lit(False)), col_(f"_v_{c}"))
+            value = col_(f"_v_{c}")
+            if kinds[c].startswith(("map", "struct", "array")):       # nested cells are edited as JSON text
+                value = F.from_json(value, kinds[c])
+            out.append(F.when(F.coalesce(col_(f"_w_{c}"), F.lit(False)), value)
                        .otherwise(col_(c)).alias(c))
         else:
             out.append(col_(c))
@@ -181,63 +187,161 @@ def change_stats(changes: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------------------
-# Table versions (undo / redo) in a folder of Parquet snapshots
+# Table versions (undo / redo) as a chain of deltas
 # ---------------------------------------------------------------------------
 
-class TableVersions:
-    """Snapshots of a table, and a log of what was done with them (push, undo, redo).
+def table_delta(old: DataFrame, new: DataFrame, row_id: str = "_row_id") -> DataFrame:
+    """What tells ``new`` from ``old``, one row for each row that differs: (row id, op, changed, old, new).
 
-    Both are written tables in a shared folder, so another process that opens the folder goes on where
-    the last one was.  A snapshot has a folder of its own and exists once the log names it; none is ever overwritten.
-    ``push`` drops the redo tail, ``undo`` / ``redo`` move the cursor, ``current`` reads the snapshot at the
-    cursor.  One writer at a time.
+    ``op`` is add, remove or edit, ``changed`` the positions of the changed columns, and ``old`` / ``new`` hold the cells on both sides
+    in their own types, null where an edit leaves them.  Row ids are unique and not null.
     """
+    cols = [c for c in old.columns if c != row_id]
+    kinds = dict(old.dtypes)
+    a = old.select(col_(row_id).alias("r"), F.struct(*[col_(c) for c in cols]).alias("old"))
+    b = new.select(col_(row_id).alias("r"), F.struct(*[col_(c).cast(kinds[c]).alias(c) for c in cols]).alias("new"))
+
+    def same(c):
+        x, y = (F.col(side)[c] for side in ("old", "new"))
+        return F.to_json(x).eqNullSafe(F.to_json(y)) if kinds[c].startswith("map") else x.eqNullSafe(y)
+
+    op = F.when(F.col("old").isNull(), "add").when(F.col("new").isNull(), "remove").otherwise("edit")
+    changed = F.array_compact(F.array(*[F.when(~same(c), F.lit(i)) for i, c in enumerate(cols)])) if cols \
+        else F.array().cast("array<int>")
+    both = a.join(b, "r", "full").select("r", op.alias("op"), changed.alias("changed"), "old", "new")
+    both = both.where((F.col("op") != "edit") | (F.size("changed") > 0))
+
+    def cells(side):
+        kept = [F.when((F.col("op") != "edit") | F.array_contains("changed", i), F.col(side)[c]).alias(c) for i, c in enumerate(cols)]
+        return F.when(F.col(side).isNotNull(), F.struct(*kept)).alias(side) if cols else F.col(side)
+
+    return both.select(F.col("r").alias(row_id), "op", F.when(F.col("op") == "edit", F.col("changed")).otherwise(
+        F.array(*map(F.lit, range(len(cols)))).cast("array<int>")).alias("changed"), cells("old"), cells("new"))
 
-    LOG = "seq long, action string, snapshot string"
 
-    def __init__(self, spark, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+def apply_deltas(table: DataFrame, deltas: list[DataFrame], row_id: str = "_row_id", inverse: bool = False) -> DataFrame:
+    """``table`` after some deltas in order, in one join; with ``inverse`` they are taken back, the last one first."""
+    if not deltas:
+        return table
+    steps = None
+    for k, d in enumerate(reversed(deltas) if inverse else deltas):
+        if inverse:
+            op = F.when(F.col("op") == "add", "remove").when(F.col("op") == "remove", "add").otherwise(F.col("op"))
+            d = d.select(row_id, op.alias("op"), "changed", F.col("new").alias("old"), F.col("old").alias("new"))
+        d = d.select(col_(row_id).alias("_r"), "op", "changed", "new", F.lit(k).alias("_k"))
+        steps = d if steps is None else steps.unionByName(d)
+    cols = [c for c in table.columns if c != row_id]
+
+    def last(i, c):
+        hit = (F.col("op") != "remove") & F.array_contains("changed", i)
+        return F.max_by(F.when(hit, F.struct(F.col("new")[c].alias("v"))), F.when(hit, F.col("_k"))).alias(f"_c{i}")
+
+    rows = steps.groupBy("_r").agg(F.min_by("op", "_k").alias("_first"), F.max_by("op", "_k").alias("_last"),
+                                   *[last(i, c) for i, c in enumerate(cols)])
+    at = {c: i for i, c in enumerate(cols)}
+    known = table.join(rows.where("_first <> 'add'"), col_(row_id) == F.col("_r"), "left").where(
+        F.coalesce("_last", F.lit("edit")) != "remove")
+    known = known.select(*[col_(c) if c == row_id else F.when(F.col(f"_c{at[c]}").isNotNull(), F.col(f"_c{at[c]}")["v"])
+                           .otherwise(col_(c)).alias(c) for c in table.columns])
+    added = rows.where("_first = 'add' and _last <> 'remove'").select(*[
+        F.col("_r").alias(c) if c == row_id else F.col(f"_c{at[c]}")["v"].alias(c) for c in table.columns])
+    return known.unionByName(added)
+
 
-    def _state(self) -> tuple[int, list[str], int]:
-        """(entries in the log, snapshots that are reachable, cursor), by replaying the log (one row per action)."""
-        rows = sorted(read_log(self.spark, f"{self.path}/log", self.LOG).collect())
-        kept, cursor = [], -1
-        for r in rows:
-            if r["action"] == "push":
-                kept = [*kept[:cursor + 1], r["snapshot"]]
-            cursor += {"push": 1, "redo": 1, "undo": -1}[r["action"]]
-        return len(rows), kept, cursor
+class TableVersions:
+    """Versions of a table in a shared folder, for several writers: push, undo and redo.
 
-    def _log(self, seq: int, action: str, snapshot: str | None = None) -> None:
-        self.spark.createDataFrame([(seq, action, snapshot)], self.LOG).coalesce(1).write.mode("append").parquet(f"{self.path}/log")
+    A version is a delta against the one before it (``table_delta``): an edit of ten cells writes ten rows.  Every ``base_every``
+    versions the whole table is written as well, and always for a table without the row id or with other columns
+    than the version before it.  Reading a version starts from the nearest whole table, on from an earlier one or back from a later
+    one by inverse deltas, in one join.
+
+    What was done is entries of a commit log (commits.py): whoever opens the folder goes on where the last one was, and a writer
+    that loses a number looks at what the other did and decides again.  ``push`` drops the redo tail, ``undo`` / ``redo`` move the cursor.
+    """
+
+    def __init__(self, spark, path: str, row_id: str = "_row_id", base_every: int = 10):
+        self.spark, self.path, self.row_id, self.base_every = spark, path.rstrip("/"), row_id, base_every
+        self.log = CommitLog(spark, self.path, {"kept": [], "cursor": -1}, self._fold)
+
+    @staticmethod
+    def _fold(state: dict, entry: dict) -> dict:
+        kept, cursor = state["kept"], state["cursor"]
+        if entry["action"] == "push":
+            kept = [*kept[:cursor + 1], {"base": entry["base"], "delta": entry["delta"], "schema": entry["schema"]}]
+        return {"kept": kept, "cursor": cursor + {"push": 1, "redo": 1, "undo": -1}[entry["action"]]}
 
     @property
     def versions(self) -> list[str]:
-        return self._state()[1]
+        return [v["delta"] or v["base"] for v in self.log.head()[1]["kept"]]
 
     @property
     def cursor(self) -> int:
-        return self._state()[2]
-
-    def push(self, df: DataFrame) -> str:
-        seq, _, _ = self._state()
-        name = f"snapshot-{seq}-{uuid.uuid4().hex}"
+        return self.log.head()[1]["cursor"]
+
+    def _folder(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{name}")
+
+    def _version(self, state: dict) -> DataFrame:
+        kept, at = state["kept"], state["cursor"]
+        back = next(i for i in range(at, -1, -1) if kept[i]["base"])
+        ahead = next((i for i in range(at + 1, len(kept)) if kept[i]["base"] or not kept[i]["delta"]), None)
+        if ahead is not None and ahead - at < at - back and kept[ahead]["delta"]:
+            return apply_deltas(self._folder(kept[ahead]["base"]), [self._folder(v["delta"]) for v in kept[at + 1:ahead + 1]],
+                                self.row_id, inverse=True)
+        return apply_deltas(self._folder(kept[back]["base"]), [self._folder(v["delta"]) for v in kept[back + 1:at + 1]], self.row_id)
+
+    def _write(self, kind: str, df: DataFrame) -> str:
+        name = f"{kind}-{uuid.uuid4().hex}"
         df.write.parquet(f"{self.path}/{name}")
-        self._log(seq, "push", name)
         return name
 
+    def _push(self, make) -> str:
+        """Commit ``make(state)``: (whole table, delta); made again if another push, undo or redo came first."""
+        def decide(state):
+            table, delta = make(state)
+            name = self._write("delta", delta) if delta is not None else None
+            kept, at = state["kept"], state["cursor"]
+            steps = at - next((i for i in range(at, -1, -1) if kept[i]["base"]), at)
+            whole = name is None or steps + 1 >= self.base_every
+            entry = {"action": "push", "base": self._write("base", table()) if whole else None, "delta": name,
+                     "schema": table().schema.json() if name is None else kept[at]["schema"]}
+            made.append(name or entry["base"])
+            return entry, lambda now: now == state
+        made: list[str] = []
+        self.log.append(decide)
+        return made[-1]
+
+    def push(self, df: DataFrame) -> str:
+        """A new version of the table; the name of its delta, or of the whole table."""
+        def make(state):
+            alike = state["cursor"] >= 0 and self.row_id in df.columns and \
+                _shape(df.schema) == _shape(T.StructType.fromJson(json.loads(state["kept"][state["cursor"]]["schema"])))
+            return lambda: df, table_delta(self._version(state), df, self.row_id) if alike else None
+        return self._push(make)
+
+    def push_cells(self, edits: DataFrame) -> str:
+        """A new version by hand edits (row id, column, value[, seq]), as ``edit_cells`` takes them; only their rows are compared."""
+        def make(state):
+            now = self._version(state)
+            touched = now.join(edits.select(self.row_id).distinct(), self.row_id, "left_semi").select(*[col_(c) for c in now.columns])
+            delta = table_delta(touched, edit_cells(touched, edits, self.row_id), self.row_id)
+            return lambda: apply_deltas(now, [delta], self.row_id), delta
+        return self._push(make)
+
+    def _move(self, action: str, allowed) -> bool:
+        return self.log.append(lambda state: ({"action": action} if allowed(state) else None, allowed)) is not None
+
     def undo(self) -> bool:
-        seq, _, cursor = self._state()
-        if cursor > 0:
-            self._log(seq, "undo")
-        return cursor > 0
+        return self._move("undo", lambda s: s["cursor"] > 0)
 
     def redo(self) -> bool:
-        seq, kept, cursor = self._state()
-        if cursor < len(kept) - 1:
-            self._log(seq, "redo")
-        return cursor < len(kept) - 1
+        return self._move("redo", lambda s: s["cursor"] < len(s["kept"]) - 1)
 
     def current(self) -> DataFrame:
-        _, kept, cursor = self._state()
-        return self.spark.read.parquet(f"{self.path}/{kept[cursor]}")
+        return self._version(self.log.head()[1])
+
+
+def _shape(schema: T.StructType) -> list[tuple[str, str]]:
+    """Names and types, which tell whether two versions can be compared cell by cell."""
+    return [(f.name, f.dataType.simpleString()) for f in schema.fields]

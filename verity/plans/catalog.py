@@ -615,3 +615,4 @@ def _stream_quality(spark, sf_dir):
 
 
 from . import catalog_edges  # noqa: E402, F401  registers more queries
+from . import catalog_stores  # noqa: E402, F401  registers more queries

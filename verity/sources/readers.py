@@ -22,24 +22,44 @@ JUNK_COLUMN = re.compile(r"^(Unnamed|__)")
 
 INTEGER_TEXT = r"^[+-]?[0-9]{1,18}$"
 BOOLEAN_TEXT = r"^(?i:true|false)$"
+LATIN_1 = "ISO-8859-1"
 
 
-def read_csv(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8",
+def by_encoding(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """The text files under ``path`` by encoding, UTF-8 or else latin-1; no names (an empty list: all of them) if they are alike.
+
+    The bytes of every line are validated where they lie: no byte of a longer UTF-8 sequence is a line break, so a file is UTF-8
+    if its lines are, and large files are checked by many tasks.  Only the names of files reach the driver, which has listed them anyway.
+    """
+    files = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.is_valid_utf8("value").alias("ok")) \
+        .groupBy("file").agg(F.bool_and("ok").alias("ok"))
+    kinds = {r["ok"] for r in files.select("ok").distinct().collect()}
+    if len(kinds) < 2:
+        return {LATIN_1 if False in kinds else "UTF-8": []}
+    rows = files.collect()
+    return {charset: sorted(r["file"] for r in rows if r["ok"] == ok) for charset, ok in (("UTF-8", True), (LATIN_1, False))}
+
+
+def read_csv(spark: SparkSession, path: str, sep: str = ",", encoding: str | None = "UTF-8",
              infer: bool = True, multiline: bool = True) -> DataFrame:
     """Header CSV (or TSV with ``sep='\\t'``) by RFC 4180, missing cells null.
 
     A quoted cell may hold separators, doubled quotes and newlines.  Such a file cannot be split, so a very large one that
     is known to hold no newline in a cell should be read with ``multiline=False``.  Columns that hold only
     numbers or only booleans get that type; everything else, dates included, stays the text that it was.
-    ``encoding='ISO-8859-1'`` is the latin-1 fallback (Spark does not fail on bad UTF-8, so the caller
-    chooses it).
+    ``encoding=None`` chooses for each file: UTF-8 if all its bytes are, else latin-1 (S2); the files of
+    one encoding share their header, and a column that those of the other lack is null there.
     """
-    df = (spark.read.option("header", True).option("inferSchema", False).option("sep", sep).option("multiLine", multiline)
-          .option("quote", '"').option("escape", '"').option("encoding", encoding).option("mode", "PERMISSIVE").csv(path))
+    reader = (spark.read.option("header", True).option("inferSchema", False).option("sep", sep).option("multiLine", multiline)
+              .option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE"))
+    df = None
+    for charset, files in ({encoding: []} if encoding else by_encoding(spark, path)).items():
+        some = reader.option("encoding", charset).csv([_literal(f) for f in files] or path)
+        df = some if df is None else df.unionByName(some, allowMissingColumns=True)
     return infer_scalars(df) if infer else df
 
 
-def read_tsv(spark: SparkSession, path: str, encoding: str = "UTF-8", infer: bool = True, multiline: bool = True) -> DataFrame:
+def read_tsv(spark: SparkSession, path: str, encoding: str | None = "UTF-8", infer: bool = True, multiline: bool = True) -> DataFrame:
     return read_csv(spark, path, "\t", encoding, infer, multiline)
 
 
@@ -52,34 +72,59 @@ def infer_scalars(df: DataFrame) -> DataFrame:
     return df.select(*[col_(c).cast(kind[c]).alias(c) if kind.get(c) else col_(c) for c in df.columns])
 
 
+def _one_object(x):
+    """Whether a line is one JSON object: it has keys, and no closing bracket stands right before an opening one outside strings."""
+    return F.json_object_keys(x).isNotNull() & ~_bare(x).rlike(r"[}\]]\s*[{\[]")
+
+
+def _bare(x):
+    """JSON text without the contents of its strings, in which no value has a closing bracket right before an opening one."""
+    return F.regexp_replace(F.regexp_replace(x, r"(?s)\\.", ""), r'"[^"]*+"', '""')
+
+
+def json_lines_files(spark: SparkSession, path: str) -> DataFrame:
+    """(file, lines): for each file under ``path``, whether it is JSON Lines: two objects or more, one a line.
+
+    Only counts over the lines are taken, so a large file is judged by many tasks and none holds it.  Empty files are not in the result.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.trim(F.translate("value", "\t\r", "  ")).alias("x"))
+    return lines.where("x <> ''").groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.count_if(_one_object(F.col("x"))).alias("objects")) \
+        .select("file", ((F.col("n") > 1) & (F.col("n") == F.col("objects"))).alias("lines"))
+
+
 def json_shapes(spark: SparkSession, path: str, record_field: str | None = None) -> dict[tuple[str, str | None], list[str]]:
-    """The JSON files under ``path`` by shape: (kind, field) and the files that have it.
+    """The JSON files under ``path`` by shape: (kind, field) and the files that have it (an empty list: all of them).
 
     Kind "lines" is JSON Lines, one object a line; "value" is one value a file.  ``field`` is the field with the records
     of a file that is one object: its first whose value is a list (in the order of the file), or ``record_field`` if
     that is a list; None if there is none.  A file of several values that are not one object a line is an error.
+
+    JSON Lines are told by counts over their lines.  Only the other files are looked at whole, as they are one value, which
+    one task reads in any case (so such a file is bounded by what a task holds, 2 GB at most).
     """
+    by_line = json_lines_files(spark, path)
+    kinds = {r["lines"]: r["n"] for r in by_line.groupBy("lines").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if set(kinds) <= {True}:
+        return {("lines", None): []} if kinds else {}
+    named = by_line.collect() if True in kinds else []                       # the files' names, which the driver has listed anyway
+    lines = sorted(r["file"] for r in named if r["lines"])
+    rest = [_literal(r["file"]) for r in named if not r["lines"]] or path
     value = F.col("value")
-    # without strings, no JSON value has a closing bracket right before an opening one
-    bare = F.regexp_replace(F.regexp_replace(value, r"(?s)\\.", ""), r'"[^"]*+"', '""')
-    files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"),
-                                                         bare.rlike(r"[}\]]\s*[{\[]").alias("several"))
-    lines = F.filter(F.split("value", r"\r?\n"), lambda x: F.length(F.trim(x)) > 0)
-    # of a line that holds several objects the brackets tell, too
-    whole = F.forall(lines, lambda x: F.json_object_keys(x).isNotNull() & ~F.regexp_replace(F.regexp_replace(
-        x, r"\\.", ""), r'"[^"]*+"', '""').rlike(r"[}\]]\s*[{\[]"))
-    kind = F.when(~F.col("several"), F.lit("value")).when(whole, F.lit("lines")).otherwise(F.lit("bad"))
+    files = spark.read.text(rest, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"),
+                                                         _bare(value).rlike(r"[}\]]\s*[{\[]").alias("several"))
     keys = F.json_object_keys("value") if record_field is None else F.array(F.lit(record_field))
     fields = F.from_json("value", "map<string,string>")
     first = F.try_element_at(F.filter(keys, lambda k: F.try_element_at(fields, k).rlike(r"^\s*\[")), F.lit(1))
-    one = value.rlike(r"^\s*\{") & (F.col("kind") == "value")
-    found = files.withColumn("kind", kind).select("file", "kind", F.when(one, first).alias("field"))
+    kind = F.when(F.col("several"), F.lit("bad")).otherwise(F.lit("value"))
+    found = files.where("trim(translate(value, '\t\r\n', '   ')) <> ''").select("file", kind.alias("kind"), F.when(value.rlike(r"^\s*\{"), first).alias("field"))
     shapes = {(r["kind"], r["field"]): sorted(r["files"])
               for r in found.groupBy("kind", "field").agg(F.collect_list("file").alias("files")).collect()}
     for (k, _), names in shapes.items():
         if k == "bad":
             raise ValueError(f"JSON files with several values that are not one object a line: {names[:5]}")
-    return dict(sorted(shapes.items(), key=lambda x: x[1]))
+    if lines:
+        shapes["lines", None] = lines
+    return dict(sorted(shapes.items(), key=lambda x: x[1])) if len(shapes) > 1 else {k: [] for k in shapes}
 
 
 def read_json_records(spark: SparkSession, path: str, record_field: str | None = None,
@@ -96,7 +141,7 @@ def read_json_records(spark: SparkSession, path: str, record_field: str | None =
     shapes = json_shapes(spark, path, record_field)
     out = None
     for (kind, field), files in shapes.items():
-        df = reader.option("multiLine", kind == "value").json(path if len(shapes) == 1 else [_literal(f) for f in files])
+        df = reader.option("multiLine", kind == "value").json([_literal(f) for f in files] or path)
         df = flatten_nested_to_json(_records(df, field))
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     return flatten_nested_to_json(reader.option("multiLine", True).json(path)) if out is None else out
@@ -179,8 +224,11 @@ def ensure_not_empty(df: DataFrame) -> DataFrame:
 
 
 def read_upload(spark: SparkSession, path: str, fmt: str | None = None, record_field: str | None = None,
-                encoding: str = "UTF-8", multiline: bool = True) -> DataFrame:
-    """The whole upload path: read by extension, drop junk and empty columns; no rows is an error."""
+                encoding: str | None = None, multiline: bool = True) -> DataFrame:
+    """The whole upload path: read by extension, drop junk and empty columns; no rows is an error.
+
+    CSV and TSV files that are not UTF-8 are read as latin-1, each by itself, unless ``encoding`` names one for all.
+    """
     ext = (fmt or (path.rsplit(".", 1)[-1].lower() if "." in path.rsplit("/", 1)[-1] else "csv"))
     if ext == "tsv":
         df = read_tsv(spark, path, encoding, multiline=multiline)
