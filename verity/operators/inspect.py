@@ -14,7 +14,7 @@ import logging
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -128,6 +128,7 @@ def numeric_view(ctx: Context, c: str) -> Column | None:
 class Inspector:
     name = "inspector"
     category = "consistency"
+    additive = True      # aggregates() are counts: those of two parts of a table add up to the table's (see profile.py)
 
     def aggregates(self, ctx: Context) -> dict:
         return {}
@@ -318,7 +319,10 @@ class Outliers(Inspector):
         if not cands:
             return []
         preds = {c: (numeric_view(ctx, c) < lo) | (numeric_view(ctx, c) > hi) for c, lo, hi in cands}
-        counts = aggregate_in_groups(ctx.df, {c: F.count_if(F.coalesce(p, F.lit(False))) for c, p in preds.items()})
+        if "outliers" in ctx.cache:                      # counts from elsewhere: (column, low, high) rows to {column: count}
+            counts = ctx.cache["outliers"](cands)
+        else:
+            counts = aggregate_in_groups(ctx.df, {c: F.count_if(F.coalesce(p, F.lit(False))) for c, p in preds.items()})
         out = []
         for c, _lo, _hi in cands:
             k = int(counts[c])
@@ -482,6 +486,33 @@ def _isolated(what: str, inspector, call):
         return None
 
 
+def _prepared(df: DataFrame, row_id: str, inspectors) -> tuple[Context, list, dict]:
+    """The context, the inspectors whose aggregates can be asked for, and these (by inspector), before any job."""
+    columns = [c for c in df.columns if c != row_id]
+    dtypes = {f.name: f.dataType for f in df.schema.fields}
+    ctx = Context(df, row_id, columns, dtypes)
+    insts = [i() if isinstance(i, type) else i for i in (inspectors or DEFAULT_INSPECTORS)]
+    own = {id(i): _isolated("aggregates", i, lambda i=i: dict(i.aggregates(ctx))) for i in insts}
+    return ctx, [i for i in insts if own[id(i)] is not None], own
+
+
+def base_aggregates(ctx: Context) -> dict:
+    """Rows, and the values of each column that are there."""
+    return {"__rows__": F.count(F.lit(1))} | {_k(c, "nn"): F.count(col_(c)) for c in ctx.columns}
+
+
+def _judged(ctx: Context, insts) -> Inspection:
+    """The findings, once the profile's numbers are known."""
+    if ctx.rows == 0:
+        raise ValueError("empty table: nothing to inspect")
+    specs = []
+    for i in insts:
+        specs.extend(_isolated("issues", i, lambda i=i: list(i.issues(ctx))) or [])
+    for i, s in enumerate(specs):
+        s.seq = i
+    return Inspection(ctx, specs)
+
+
 def inspect(df: DataFrame, row_id: str = "_row_id", inspectors=None) -> Inspection:
     """Run all inspectors over ``df``.
 
@@ -490,13 +521,8 @@ def inspect(df: DataFrame, row_id: str = "_row_id", inspectors=None) -> Inspecti
     """
     if row_id not in df.columns:
         df = with_row_id(df, row_id)
-    columns = [c for c in df.columns if c != row_id]
-    dtypes = {f.name: f.dataType for f in df.schema.fields}
-    ctx = Context(df, row_id, columns, dtypes)
-    insts = [i() if isinstance(i, type) else i for i in (inspectors or DEFAULT_INSPECTORS)]
-    aggs = {"__rows__": F.count(F.lit(1))} | {_k(c, "nn"): F.count(col_(c)) for c in columns}
-    own = {id(i): _isolated("aggregates", i, lambda i=i: dict(i.aggregates(ctx))) for i in insts}
-    insts = [i for i in insts if own[id(i)] is not None]
+    ctx, insts, own = _prepared(df, row_id, inspectors)
+    aggs = base_aggregates(ctx)
     try:
         ctx.stats = aggregate_in_groups(df, aggs | {n: a for i in insts for n, a in own[id(i)].items()})
     except Exception:  # noqa: BLE001  an expression of some inspector: each one by itself
@@ -507,11 +533,28 @@ def inspect(df: DataFrame, row_id: str = "_row_id", inspectors=None) -> Inspecti
                 insts.remove(i)
             else:
                 ctx.stats.update(got)
-    if ctx.rows == 0:
-        raise ValueError("empty table: nothing to inspect")
-    specs = []
-    for i in insts:
-        specs.extend(_isolated("issues", i, lambda i=i: list(i.issues(ctx))) or [])
-    for i, s in enumerate(specs):
-        s.seq = i
-    return Inspection(ctx, specs)
+    return _judged(ctx, insts)
+
+
+def write_and_inspect(df: DataFrame, path: str, row_id: str = "_row_id", inspectors=None, mode: str = "errorifexists") -> Inspection:
+    """Write ``df`` as Parquet and inspect what was written, without a scan for the profile.
+
+    The profile's aggregates are observed on the rows as they are written (``DataFrame.observe``); only what depends on them (outliers)
+    or needs a shuffle (duplicates) reads the written table.  The table needs a row id; a failing inspector is logged and skipped
+    where its expressions do not resolve, and fails the write where they fail on the data.
+    """
+    if row_id not in df.columns:
+        raise ValueError(f"the table has no column {row_id}")
+    ctx, insts, own = _prepared(df, row_id, inspectors)
+    aggs = base_aggregates(ctx) | {n: a for i in insts for n, a in own[id(i)].items()}
+    names, seen, watched = list(aggs), [], df
+    for at in range(0, len(names), AGGREGATES_PER_JOB):
+        o = Observation()
+        part = [aggs[n].alias(f"a{at + i}") for i, n in enumerate(names[at:at + AGGREGATES_PER_JOB])]
+        watched = watched.observe(o, *part)
+        seen.append(o)
+    watched.write.mode(mode).parquet(path)
+    got = {k: v for o in seen for k, v in o.get.items()}
+    ctx.df = df.sparkSession.read.schema(df.schema).parquet(path)
+    ctx.stats = {n: got.get(f"a{i}", 0) for i, n in enumerate(names)}
+    return _judged(ctx, insts)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import col_
+from ..session import scratch_path
 
 _POS_BITS = 33  # monotonically_increasing_id = partition_id << 33 | position
 
@@ -46,31 +47,26 @@ def with_row_id(df: DataFrame, name: str = "_row_id", key: str | None = None) ->
             .drop("_vf", "_vi", "_vb", "_sf", "_sb", "_so"))
 
 
-def dense_index(df: DataFrame, order_col: str, name: str = "_pos",
-                partitions: int | None = None, persisted: list | None = None) -> DataFrame:
+def dense_index(df: DataFrame, order_col: str, name: str = "_pos", partitions: int | None = None) -> DataFrame:
     """0-based contiguous position of each row when ordered by ``order_col``.
 
-    Range-partition on the key (one shuffle), sort inside partitions, read each
-    row's partition and position from ``monotonically_increasing_id``, and add
-    the partition's offset: an array literal with one number per partition, looked up by
-    index.  No single-partition window.
+    Range-partition on the key (one shuffle), sort inside partitions, and write that with each row's partition and place in it
+    to the shared scratch folder, so that positions never change and nothing stays cached.  The partition's offset is added
+    from an array literal with one number per partition, looked up by index.  No single-partition window.
     """
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    mid = "_mid"
     ranged = (df.repartitionByRange(n, col_(order_col)).sortWithinPartitions(col_(order_col))
-              .withColumn("_mid", F.monotonically_increasing_id()))
-    ranged = ranged.withColumn("_pid", F.shiftright(F.col("_mid"), _POS_BITS)) \
-        .withColumn("_ppos", F.col("_mid").bitwiseAND((1 << _POS_BITS) - 1))
-    ranged = ranged.persist()
-    if persisted is not None:
-        persisted.append(ranged)
-    counts = {r["_pid"]: int(r["n"]) for r in
-              ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("n")).collect()}
+              .withColumn(mid, F.monotonically_increasing_id()))
+    path = scratch_path(spark, "ranked")
+    ranged.write.parquet(path)
+    ranged = spark.read.schema(ranged.schema).parquet(path)
+    pid = F.shiftright(F.col(mid), _POS_BITS)
+    counts = {r["p"]: int(r["n"]) for r in ranged.groupBy(pid.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
     offs, acc = [], 0
-    for pid in range(max(counts, default=-1) + 1):
+    for p in range(max(counts, default=-1) + 1):
         offs.append(acc)
-        acc += counts.get(pid, 0)
-    if not offs:
-        return ranged.withColumn(name, F.lit(None).cast("long")).drop("_mid", "_pid", "_ppos")
-    off = F.element_at(F.array(*[F.lit(o).cast("long") for o in offs]), (F.col("_pid") + 1).cast("int"))
-    return ranged.withColumn(name, (off + F.col("_ppos")).cast("long")).drop("_mid", "_pid", "_ppos")
+        acc += counts.get(p, 0)
+    off = F.element_at(F.array(*[F.lit(o).cast("long") for o in offs or [0]]), (pid + 1).cast("int"))
+    return ranged.withColumn(name, (off + F.col(mid).bitwiseAND((1 << _POS_BITS) - 1)).cast("long")).drop(mid)

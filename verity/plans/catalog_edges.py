@@ -52,8 +52,8 @@ def _upload_json_object(spark, sf_dir):
     from ..sources.readers import read_upload
     e = fixtures.table(spark, sf_dir, "events")
     parts = -(-e.count() // EVENTS_PER_OBJECT) or 1
-    # by a hash of the event: each object has about as many, and a user's events are spread
-    rows = e.select(F.pmod(F.xxhash64("event_id", "ts", "user_id"), F.lit(parts)).alias("part"), F.struct(
+    # by a hash of the event and of its place in the files: each object has about as many, and rows that repeat one are spread
+    rows = e.select(F.pmod(F.xxhash64("event_id", "ts", "user_id", F.monotonically_increasing_id()), F.lit(parts)).alias("part"), F.struct(
         "event_id", "ts", "user_id", "event_type", "value", "props").alias("r"))
     objects = rows.groupBy("part").agg(F.collect_list("r").alias("rows")).select(F.to_json(F.struct(
         F.struct(F.col("part").alias("n")).alias("meta"), "rows")).alias("value"))
@@ -218,15 +218,8 @@ def _multi_pair(spark, sf_dir):
     return autofix(fixtures.view(spark, sf_dir, "dirty_contacts")).changes()
 
 
-def _report_cells_sql(view: str) -> str:
-    cells = InspectSQL(view).cells_query(capped=True)
-    return (f"SELECT seq, \"row\", \"column\", value FROM (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY \"row\") AS rn "
-            f"FROM ({cells})) WHERE rn <= 100")
-
-
-@register("quality_report_cells_customer", _report_cells_sql("dirty_customer"))
+@register("quality_report_cells_customer", InspectSQL("dirty_customer").cells_query(capped=True))
 def _report_cells(spark, sf_dir):
-    from ..operators.score import quality_report
-    report = quality_report(_inspection(spark, sf_dir, "dirty_customer"))
-    issues = report.select(F.explode("issues").alias("i")).select("i.seq", F.explode("i.affected_cells").alias("c"))
-    return issues.select("seq", "c.row", "c.column", "c.value")
+    """All cells of the written report: every missing value, and the first hundred of each other issue."""
+    from ..operators.score import write_report
+    return write_report(_inspection(spark, sf_dir, "dirty_customer"), _scratch(spark, "report")).cells

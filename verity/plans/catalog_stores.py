@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import fixtures
-from .catalog import _HIST_CTE, _all_text, _entries, _scratch, register
+from .catalog import (_HIST_CTE, _RSQL, _all_text, _autofix, _before_after_sql, _customer_fix, _entries, _inspection, _scratch, _vsql,
+                      register)
+from .oracle_inspect import InspectSQL
 
 _RETAINED = _HIST_CTE + ("SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, "
                          "id DESC) AS rn FROM entries) WHERE rn <= 50")
@@ -162,3 +164,84 @@ def _csv_latin1(spark, sf_dir):
     docs.where(western).write.mode("append").option("header", True).option("quote", '"').option("escape", '"') \
         .option("quoteAll", True).option("encoding", LATIN_1).csv(path)
     return _all_text(read_upload(spark, path, fmt="csv"))
+
+
+# ---------------------------------------------------------------------------
+# Profiles in parts, scores of a table while it is written, user inspectors, searches by posting lists
+# ---------------------------------------------------------------------------
+
+def _register_parts(view: str):
+    isql = InspectSQL(view)
+    short = view.replace("dirty_", "")
+
+    def store(spark, sf_dir):
+        from ..operators.profile import ProfileStore
+        out = ProfileStore(spark, _scratch(spark, "profile"))
+        df = fixtures.view(spark, sf_dir, view)
+        for k in range(3):
+            out.add(df.where(F.pmod(F.xxhash64("_row_id"), F.lit(3)) == k))
+        return ProfileStore(spark, out.path)
+
+    @register(f"profile_merged_issues_{short}", isql.issues_sql())
+    def _issues(spark, sf_dir):
+        """Three parts, each profiled alone: the issues of the whole table."""
+        return store(spark, sf_dir).inspection().issues()
+
+    @register(f"profile_merged_score_{short}", isql.score_sql())
+    def _score(spark, sf_dir):
+        from ..operators.score import score_frame
+        return score_frame(store(spark, sf_dir).inspection())
+
+
+for _v in ("dirty_lineitem", "dirty_customer"):
+    _register_parts(_v)
+
+
+@register("score_before_after_written_orders", _before_after_sql("dirty_orders"))
+def _before_after_written(spark, sf_dir):
+    """The repaired table is scored from what was observed while it was written."""
+    from ..operators.inspect import write_and_inspect
+    from ..operators.score import score_before_after
+    before = _inspection(spark, sf_dir, "dirty_orders")
+    return score_before_after(before, write_and_inspect(_autofix(spark, sf_dir, "dirty_orders").clean(), _scratch(spark, "clean")))
+
+
+@register("dataset_impact_custom_orders",
+          _vsql("dirty_orders") + "SELECT count(*) FILTER (_row_id % 7 = 0 OR _row_id % 5 = 1) AS affected_rows, count(*) AS total_rows, "
+          "CAST(round(count(*) FILTER (_row_id % 7 = 0 OR _row_id % 5 = 1) * 100.0 / count(*)) AS BIGINT) AS affected_pct FROM dirty_orders")
+def _impact_custom(spark, sf_dir):
+    """An inspector of a user's own with cells: overlapping findings, and one that is only for information."""
+    from ..operators.inspect import Inspector, IssueSpec, inspect
+    from ..operators.score import dataset_impact
+
+    class Sevens(Inspector):
+        name, category = "Sevens", "accuracy"
+
+        def issues(self, ctx):
+            def spec(severity, condition):
+                def cells(cap):
+                    hit = ctx.df.where(condition).select(F.col(ctx.row_id).alias("row"), F.lit("x").alias("value"))
+                    return hit.unionByName(hit)                       # a cell that is named twice is one row
+                return IssueSpec(self.name, self.category, [ctx.columns[0]], severity, 1, "rows of a kind", "look", cells=cells, cap=None)
+            return [spec("warning", "_row_id % 7 = 0"), spec("critical", "_row_id % 5 = 1"), spec("info", "_row_id % 2 = 0")]
+    return dataset_impact(inspect(fixtures.view(spark, sf_dir, "dirty_orders"), inspectors=[Sevens]))
+
+
+def _search(word: str):
+    def run(spark, sf_dir):
+        from ..operators.search import SearchIndex
+        index = SearchIndex(spark, _scratch(spark, "index"))
+        return index.build(_customer_fix(spark, sf_dir).clean(), block_rows=500).search(word)
+    return run
+
+
+register("review_search_indexed_customer", _RSQL["search"])(_search("MachiNery"))
+register("review_search_indexed_documents", "SELECT doc_id AS _row_id, text, lang FROM documents WHERE contains(lower(text), 'licensed under cc')")(
+    lambda spark, sf_dir: _search_documents(spark, sf_dir))
+
+
+def _search_documents(spark, sf_dir):
+    """Few documents have the phrase: most blocks are never read."""
+    from ..operators.search import SearchIndex
+    docs = fixtures.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("_row_id"), "text", "lang")
+    return SearchIndex(spark, _scratch(spark, "index")).build(docs, block_rows=200).search("Licensed under CC")
