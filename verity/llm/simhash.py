@@ -234,15 +234,17 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     A row is known by its id and its text, so rows that share an id but not a component are judged apart; of rows that
     repeat both, the one with the least hash of all its columns stays.  Null texts count as empty ones.
     """
-    h, doc, order = (fresh(docs.columns, x) for x in ("h", "doc", "order"))
+    h, doc, order, n = (fresh(docs.columns, x) for x in ("h", "doc", "order", "n"))
     rows = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"), F.xxhash64(col(text_col)).alias("h"))
-    first = _grouped(rows, "text", shingle, radius).groupBy("root").agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "h")).alias("r"))
-    first = first.select(F.col("r.doc_id").alias(doc), F.col("r.h").alias(h))
-    kept = docs.join(first, col(id_col).eqNullSafe(F.col(doc)) & (F.xxhash64(col(text_col)) == F.col(h)), "left_semi")
+    first = _grouped(rows, "text", shingle, radius).groupBy("root", "doc_id", "h").agg(F.count(F.lit(1)).alias("n")).groupBy("root").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "h", "n")).alias("r"))
+    first = materialize(first.select(F.col("r.doc_id").alias(doc), F.col("r.h").alias(h), F.col("r.n").alias(n)), "first")
+    kept = docs.join(first, col(id_col).eqNullSafe(F.col(doc)) & (F.xxhash64(col(text_col)) == F.col(h)))
     every = F.xxhash64(*[col(c).cast("string") if t.startswith(("map", "variant")) else col(c) for c, t in docs.dtypes])
-    w = Window.partitionBy(col(id_col), F.xxhash64(col(text_col))).orderBy(every)
-    return kept.withColumn(order, F.row_number().over(w)).where(F.col(order) == 1).select(*map(col, docs.columns))
+    w = Window.partitionBy(doc, h).orderBy(every)
+    again = kept.where(F.col(n) > 1).withColumn(order, F.row_number().over(w)).where(F.col(order) == 1)    # only these are compared
+    names = [col(c) for c in docs.columns]
+    return kept.where(F.col(n) == 1).select(*names).unionByName(again.select(*names))
 
 
 def hex_digits(fp):
