@@ -295,14 +295,12 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
                       similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` that match no item, all columns as they are.
 
-    With one pass nothing is shuffled.  With more, each pass writes the digests of the texts that match before the next
-    one's items are loaded, and the rows with these texts go.
+    Each pass writes the digests of the texts that match before the next one's items are loaded, and the rows with these
+    texts go.  Texts stay where they are if Spark measures the digests small enough to send.
     """
     _, passes, items = load_items(benchmark, item_col, item_text_col, shingle)
     if not passes:
         return docs
-    if len(passes) == 1:
-        return docs.where(_clean_udf(_Lazy(_of_pass(items, passes[0]), shingle, radius, similarity))(col(text_col)))
     path, digest = scratch_path(docs.sparkSession, "contaminated"), fresh(docs.columns, "digest")
     texts = docs.select(col(text_col).alias("text"))
     for chunks in passes:

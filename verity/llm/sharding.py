@@ -15,10 +15,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import col, fresh
+from .common import col, fresh, materialize
 
 MULTIPLIER = 2862933555777941757
-GROUPS = 256        # numbering groups of a shard; a slot is the group's offset plus the place in it
 
 
 def _next(key: Column) -> Column:
@@ -64,29 +63,30 @@ def jump_shard(key: Column, shards: int) -> Column:
 def assign(df: DataFrame, key: Column, shards: int) -> DataFrame:
     """``df`` with the columns shard, slot and grown_shard.
 
-    ``slot`` numbers each shard's rows from 0 without gaps: rows are dealt into GROUPS groups by a hash
-    of all their columns, numbered within the group, and shifted by the group's offset.  No task numbers a
-    whole shard, and the offsets (GROUPS rows a shard) join on the keys by which the rows already lie.
+    ``slot`` numbers each shard's rows from 0 without gaps, in the order of the key (null first; equal keys in any order).  Rows are
+    sorted over all tasks by (shard, key, a random number), so neither a large shard nor a repeated row is one task's, and written
+    with their places, so that numbers never change; a row's slot is its place plus its shard's rows in the partitions before.
     """
     names = df.columns
-    g, n, at = (fresh([*names, "shard", "slot", "grown_shard"], x) for x in ("group", "rows", "offset"))
-    spread = F.pmod(F.xxhash64(*[col(c).cast("string") if t in ("map", "variant") else col(c) for c, t in df.dtypes]),
-                    F.lit(GROUPS)).cast("int")
+    mid, salt, pid, n, first, at = (fresh([*names, "shard", "slot", "grown_shard"], x) for x in ("mid", "salt", "pid", "rows", "least", "offset"))
+    order = fresh([*names, "shard", "slot", "grown_shard"], "key")
     rows = df.select("*", jump_shard(key, shards).alias("shard"), jump_shard(key, shards + 1).alias("grown_shard"),
-                     spread.alias(g))
-    before = Window.partitionBy("shard").orderBy(g).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = rows.groupBy("shard", g).agg(F.count(F.lit(1)).alias(n)).select(
-        "shard", g, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(at))
-    inside = F.row_number().over(Window.partitionBy("shard", g).orderBy(key.asc_nulls_first()))
-    return rows.withColumn(n, inside).join(offsets, ["shard", g]) \
-        .select(*[col(c) for c in names], "shard", (F.col(at) + F.col(n) - 1).alias("slot"), "grown_shard")
+                     key.alias(order), F.rand(11).alias(salt))
+    by = [F.col("shard"), F.col(order).asc_nulls_first(), F.col(salt)]
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = materialize(rows.repartitionByRange(parts, *by).sortWithinPartitions(*by).withColumn(mid, F.monotonically_increasing_id()),
+                       "sharded").withColumn(pid, F.shiftright(mid, 33))
+    before = Window.partitionBy("shard").orderBy(pid).rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("shard", pid).agg(F.count(F.lit(1)).alias(n), F.min(mid).alias(first))     # a row a shard and partition
+    offsets = counts.select("shard", pid, (F.coalesce(F.sum(n).over(before), F.lit(0)) - F.col(first)).alias(at))
+    return rows.join(offsets, ["shard", pid]).select(*[col(c) for c in names], "shard", (F.col(at) + F.col(mid)).alias("slot"), "grown_shard")
 
 
 def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
     A null text counts as empty (size 1, checksum 0); a null id shards as zero.  Rows with equal ids are in one shard, and repeated rows
-    have slots of their own in any order.  An empty table gives an empty result; other columns are ignored.
+    have slots of their own.  Slots follow the ids; which of the rows of one id has which of its slots differs between runs.  An empty table gives an empty result; other columns are ignored.
     """
     text = col(text_col)
     rows = docs.select(col(id_col).alias("doc_id"), (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
@@ -97,4 +97,4 @@ def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", te
 
 def write_shards(df: DataFrame, key: Column, shards: int, out: str) -> None:
     """Write ``df`` to folders shard=0, shard=1, ... in ``out``; each shard is spread over many files."""
-    assign(df, key, shards).drop("slot", "grown_shard").write.partitionBy("shard").parquet(out)
+    df.withColumn("shard", jump_shard(key, shards)).write.partitionBy("shard").parquet(out)

@@ -138,8 +138,11 @@ class PieceCoder:
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(path)
+        from .lengths import JsonLengths
+        library = JsonLengths(path)
+        if not library.safe:
+            raise ValueError("not a byte-level tokenizer that starts a token at every lone space")
+        self.tokenizer = library.tokenizer
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         forget = getattr(self.tokenizer.model, "_resize_cache", None)
