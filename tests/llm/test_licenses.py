@@ -112,3 +112,74 @@ def test_a_sentence_is_judged_alike_at_any_length(spark, model):
     got = families(spark, model, texts)
     assert len(NOTICES) >= 7 and all(got[i] == got[i + 1] for i in range(0, len(got), 2))
     assert all(want[i] in got[i] for i in range(2, len(got), 4))       # whole notices; foreign words may part a telling pair
+
+
+def slow_scan(model, text):
+    """``scan`` of one text in plain Python, every sentence judged in full: (paragraph, family, probability, similarity)."""
+    import math
+
+    import regex
+    shared = {}
+    made = [(c, licenses.words_of(t)) for c, some in sorted(licenses.TEMPLATES.items()) for t in some]
+    for c, w in made:
+        for g in {*w, *map(" ".join, zip(w, w[1:], strict=False))}:
+            shared.setdefault(g, set()).add(c)
+    templates = [(c, set(map(" ".join, zip(w, w[1:], strict=False))),
+                  {g for g in {*w, *map(" ".join, zip(w, w[1:], strict=False))} if len(shared[g]) <= licenses.SHARED}) for c, w in made]
+
+    def sentences(block):
+        lines = [regex.sub(r"^[ \t\n\x0b\f\r#*/;%>|-]+|[ \t\n\x0b\f\r]+$", "", x) for x in regex.split(r"\r?\n", block)]
+        width, out = max(map(len, lines)), ""
+        for x, after in zip(lines, [*lines[1:], None], strict=True):
+            if after is None:
+                out += x
+            else:
+                fits = len(x) + 1 + len(regex.match(r"[^ \t\n\x0b\f\r]*", after)[0]) <= width
+                out += x + ("\n" if fits and regex.match(r"[\"'(\[]?[\p{Lu}0-9]", after) else " ")
+        return regex.split(r"\n|(?<=[.!?][\"')]?)[ \t]+(?=[\"'(\[]?\p{Lu})", out)
+
+    def judged(left):
+        size, out = sum(" " in g for g in left), []
+        while left is not None:
+            z = [b + sum(model.weights[g][i] for g in left if g in model.weights) for i, b in enumerate(model.bias)]
+            e = [math.exp((x - max(z)) / model.temperature) for x in z]
+            family = model.classes[e.index(max(e))]
+            by = [(len(left & pairs) / max(min(size, len(pairs)), 1), own) for c, pairs, own in templates if c == family]
+            similarity = max((s for s, _ in by), default=0.0)
+            if family == licenses.NONE or (out and similarity < licenses.CONFIRM) or family in [o[1] for o in out]:
+                break
+            out.append((e, family, similarity))
+            left = left - {g for s, own in by if s >= licenses.CONFIRM for g in own} if similarity >= licenses.CONFIRM else None
+        found = [o[1] for o in out]
+        for e, family, similarity in out:
+            p = e[model.classes.index(family)] / sum(x for x, c in zip(e, model.classes, strict=True) if c == family or c not in found)
+            yield family if p >= licenses.CONFIDENT and similarity >= licenses.CONFIRM else licenses.UNKNOWN, p, similarity
+
+    rows = []
+    blocks = [b for b in regex.split(r"\r?\n(?:[ \t\r\f]*+\n)+", text or "") if b.translate(str.maketrans("\r\n\t", "   ")).strip(" ")]
+    for i, b in enumerate(blocks):
+        best = {}
+        for s in sentences(b):
+            w = licenses.words_of(s)
+            for family, p, similarity in judged({*w, *map(" ".join, zip(w, w[1:], strict=False))}):
+                old = best.get(family, (0.0, 0.0))
+                best[family] = (max(old[0], p), max(old[1], similarity))
+        rows += [(i, f, *x) for f, x in best.items()]
+    return len(blocks), rows
+
+
+def test_same_as_plain_python(spark, model):
+    """All documents, and notices that are wrapped, held together or taken apart: the expressions find what plain Python finds."""
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
+    texts += [notice("GNU General Public License", "3", w) for w in (40, 72)] + [t for some in licenses.TEMPLATES.values() for t in some]
+    texts += [t for some in licenses.OTHER.values() for t in some] + [" ".join(some) for some in licenses.TEMPLATES.values()]
+    texts += ["\n\n".join(f"{prose(30, i)}. {t}" for i, t in enumerate(some)) for some in licenses.TEMPLATES.values()]
+    got = {r.doc_id: r for r in licenses.scan(frame(spark, list(enumerate(texts))), model).collect()}
+    found = 0
+    for i, t in enumerate(texts):
+        blocks, rows = slow_scan(model, t)
+        mine = [(p.paragraph, p.family, p.probability, p.similarity) for p in got[i].found]
+        assert got[i].n_paragraphs == blocks and [r[:2] for r in mine] == [r[:2] for r in rows], t
+        assert [r[2:] for r in mine] == [pytest.approx(r[2:], abs=1e-9) for r in rows]
+        found += len(rows)
+    assert found > 200

@@ -86,7 +86,8 @@ class WordBPE:
         # tokens that the merges can really produce; only these are proposed
         whole = {t: i for t, i in self.ids.items() if self.merge(t) == [i]}
         self.prefixes = {t[:n]: -1 for t in whole for n in range(1, len(t))} | whole     # token of each, -1 if it only begins some
-        self.cache: dict[str, bytes] = {}
+        self.cache: dict[str, bytes] = {}               # of chunks as they stand in texts
+        self.words: dict[str, bytes] = {}               # of words in lower case, without the marks around them
 
     def symbols(self, word: str) -> list[str]:
         """A word's first symbols: its letters, the last one with the end mark."""
@@ -205,8 +206,11 @@ class WordBPE:
         if len(self.cache) + len(new) > CACHE_WORDS:
             self.cache = {c: self.cache[c] for c in chunks if c in self.cache}      # what is in use stays
         found = [self.pieces(c) for c in new]
-        words = list(dict.fromkeys(p for f in found for p in f if isinstance(p, str)))
-        known = {w: struct.pack(f"<{len(c)}I", *c) for w, c in zip(words, self.encode_words(words), strict=True)}
+        known = self.words
+        words = [w for w in dict.fromkeys(p for f in found for p in f if isinstance(p, str)) if w not in known]
+        if len(known) + len(words) > CACHE_WORDS:
+            known = self.words = {p: known[p] for f in found for p in f if p in known}
+        known.update((w, struct.pack(f"<{len(c)}I", *c)) for w, c in zip(words, self.encode_words(words), strict=True))
         for c, f in zip(new, found, strict=True):
             self.cache[c] = b"".join(known[p] if isinstance(p, str) else p.to_bytes(4, "little") for p in f)
         return [self.cache[c] for c in chunks]
