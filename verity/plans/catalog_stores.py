@@ -245,3 +245,62 @@ def _search_documents(spark, sf_dir):
     from ..operators.search import SearchIndex
     docs = fixtures.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("_row_id"), "text", "lang")
     return SearchIndex(spark, _scratch(spark, "index")).build(docs, block_rows=200).search("Licensed under CC")
+
+
+# ---------------------------------------------------------------------------
+# Row cap, empty guard, the inspector contract
+# ---------------------------------------------------------------------------
+
+@register("source_row_cap_events", "SELECT event_id, user_id, event_type FROM events ORDER BY event_id LIMIT 5000")
+def _row_cap(spark, sf_dir):
+    """The first rows of an upload, as the original takes them; here in the order of the ids, so that they are the same ones."""
+    from ..sources.readers import row_cap
+    return row_cap(fixtures.table(spark, sf_dir, "events").select("event_id", "user_id", "event_type").orderBy("event_id"), 5000)
+
+
+@register("source_empty_guard_orders",
+          "SELECT s.status, count(o.o_orderkey) AS n_rows, count(o.o_orderkey) = 0 AS refused FROM (SELECT DISTINCT o_orderstatus AS status FROM orders "
+          "UNION ALL SELECT 'none') s LEFT JOIN orders o ON o.o_orderstatus = s.status GROUP BY s.status")
+def _empty_guard(spark, sf_dir):
+    """An upload of each status' orders, and one of a status that no order has: only that is refused."""
+    from ..sources.readers import ensure_not_empty
+    o = fixtures.table(spark, sf_dir, "orders")
+    rows = []
+    for status in [r[0] for r in o.select("o_orderstatus").distinct().collect()] + ["none"]:       # a handful
+        some = o.where(F.col("o_orderstatus") == status)
+        try:
+            rows.append((status, ensure_not_empty(some).count(), False))
+        except ValueError:
+            rows.append((status, 0, True))
+    return spark.createDataFrame(rows, "status string, n_rows long, refused boolean")
+
+
+@register("inspect_contract_events", _vsql("dirty_events") + (
+    "SELECT 'Large Amounts' AS inspector_name, count(*) FILTER (amount > 900) AS \"count\" FROM dirty_events"))
+def _contract(spark, sf_dir):
+    """A user's inspector beside the library's and beside two that fail, one in its aggregates and one in its findings."""
+    from ..operators.inspect import DEFAULT_INSPECTORS, Inspector, IssueSpec, inspect
+
+    class Large(Inspector):
+        name, category = "Large Amounts", "accuracy"
+
+        def aggregates(self, ctx):
+            return {"large": F.count_if(F.col("amount") > 900)}
+
+        def issues(self, ctx):
+            return [IssueSpec(self.name, self.category, ["amount"], "warning", ctx.stats["large"], "large", "look")]
+
+    class NoColumn(Inspector):
+        name = "No Column"
+
+        def aggregates(self, ctx):
+            return {"none": F.count_if(F.col("no_such_column") > 0)}
+
+    class Raises(Inspector):
+        name = "Raises"
+
+        def issues(self, ctx):
+            raise RuntimeError("a fault of its own")
+    ins = inspect(fixtures.view(spark, sf_dir, "dirty_events"), inspectors=[NoColumn, *DEFAULT_INSPECTORS, Raises, Large])
+    return ins.issues().where("inspector_name not in ('No Column', 'Raises')").where(F.col("inspector_name") == "Large Amounts") \
+        .select("inspector_name", "count")
