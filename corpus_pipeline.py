@@ -20,7 +20,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays; rows without an id stay."""
+    """Of each group of near-duplicates the document with the smallest id stays; a row without an id only where the group has none."""
     return simhash.keep_one(docs, shingle=4, radius=4)
 
 
