@@ -194,3 +194,20 @@ def test_two_writers_of_versions(spark):
     a.log.commit = late
     a.push(mine)
     assert _same(b.current(), mine) and b.undo() and _same(a.current(), yours) and a.undo() and _same(b.current(), t)
+
+
+def test_versions_whose_joins_are_not_broadcast(spark):
+    """Hand edits on a version with added rows, when every join deals its rows out by key."""
+    key, before = F.col("_row_id"), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    o = spark.range(200).select(F.col("id").alias("_row_id"), F.concat(F.lit("s"), F.col("id") % 7).alias("status"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        tv = TableVersions(spark, scratch_path(spark, "versions"), base_every=5)
+        tv.push(o.where(key % 10 != 3))
+        tv.push(o.withColumn("status", F.when(key % 10 != 4, F.col("status"))))
+        tv.push_cells(o.where(key % 10 == 2).select("_row_id", F.lit("status").alias("column"), F.lit("x").alias("value")))
+        tv.push(tv.current().where(key % 10 != 5))
+        want = {i: None if i % 10 == 4 else "x" if i % 10 == 2 else f"s{i % 7}" for i in range(200) if i % 10 != 5}
+        assert {r[0]: r[1] for r in tv.current().collect()} == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

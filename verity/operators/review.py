@@ -239,13 +239,19 @@ def apply_deltas(table: DataFrame, deltas: list[DataFrame], row_id: str = "_row_
     rows = steps.groupBy("_r").agg(F.min_by("op", "_k").alias("_first"), F.max_by("op", "_k").alias("_last"),
                                    *[last(i, c) for i, c in enumerate(cols)])
     at = {c: i for i, c in enumerate(cols)}
-    known = table.join(rows.where("_first <> 'add'"), col_(row_id) == F.col("_r"), "left").where(
-        F.coalesce("_last", F.lit("edit")) != "remove")
-    known = known.select(*[col_(c) if c == row_id else F.when(F.col(f"_c{at[c]}").isNotNull(), F.col(f"_c{at[c]}")["v"])
-                           .otherwise(col_(c)).alias(c) for c in table.columns])
-    added = rows.where("_first = 'add' and _last <> 'remove'").select(*[
-        F.col("_r").alias(c) if c == row_id else F.col(f"_c{at[c]}")["v"].alias(c) for c in table.columns])
-    return known.unionByName(added)
+    # one full join: a union of the known and the added rows, both dealt out by the row id, counts as dealt out too, and a
+    # later join that relies on it fails when their partitions differ in number
+    known, first_last = F.col("_known").isNotNull(), F.col("_last") != "remove"
+    both = table.withColumn("_known", F.lit(True)).join(rows, (col_(row_id) == F.col("_r")) & (F.col("_first") != "add"), "full")
+    both = both.where(F.when(known, F.coalesce(first_last, F.lit(True))).otherwise((F.col("_first") == "add") & first_last))
+
+    def cell(c):
+        if c == row_id:
+            return F.when(known, col_(c)).otherwise(F.col("_r")).alias(c)
+        new = F.col(f"_c{at[c]}")
+        return F.when(~known | new.isNotNull(), new["v"]).otherwise(col_(c)).alias(c)
+
+    return both.select(*[cell(c) for c in table.columns])
 
 
 class TableVersions:
