@@ -13,6 +13,9 @@ import struct
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
+from .commits import Folder
+
 DIGIT_BITS = 16
 _NORMAL = 2.0 ** -1022      # the least normal double
 
@@ -44,9 +47,13 @@ def exact_medians(df: DataFrame, columns: dict) -> dict:
         return {}
     names = list(columns)
     ranks = {i: sorted({(columns[c][1] - 1) // 2, columns[c][1] // 2}) for i, c in enumerate(names)}
-    values = df.select(F.explode(F.array(*[
-        F.struct(F.lit(i).alias("k"), order_key(columns[c][0]).alias("key")) for i, c in enumerate(names)])).alias("p")) \
-        .select("p.k", "p.key").where(F.col("key").isNotNull())
+    # worked out once, in steps of their own so that no value is looked at again and again, and written: the four jobs read integers
+    doubles = df.select(*[columns[c][0].alias(f"_x{i}") for i, c in enumerate(names)])
+    values = doubles.select(F.explode(F.array(*[F.struct(F.lit(i).alias("k"), F.col(f"_x{i}").alias("x")) for i in range(len(names))]))
+                            .alias("p")).select("p.k", "p.x").where(F.col("x").isNotNull())
+    path = scratch_path(df.sparkSession, "medians")
+    values.select("k", order_key(F.col("x")).alias("key")).write.parquet(path)
+    values = df.sparkSession.read.schema("k int, key long").parquet(path)
     # of each (column, rank): the digits found so far, and the rank among the values that share them
     state = {(i, r): (None, r) for i, rs in ranks.items() for r in rs}
     for low in (48, 32, 16, 0):
@@ -75,6 +82,7 @@ def exact_medians(df: DataFrame, columns: dict) -> dict:
     for i, c in enumerate(names):
         v = [_from_key(state[i, r][0]) for r in ranks[i]]
         out[c] = (v[0] + v[-1]) / 2.0
+    Folder(df.sparkSession, path).remove()
     return out
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -57,3 +58,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint location for written tables."""
     base = ensure_checkpoint_dir(spark)
     return f"{base.rstrip('/')}/verity-{name}-{uuid.uuid4().hex[:12]}"
+
+
+@contextmanager
+def short_methods(spark: SparkSession):
+    """For the jobs of the block: a stage whose fused code has methods of over 8,000 bytes runs its operators one by one.
+
+    The JVM compiles no longer method unless it is started with -XX:-DontCompileHugeMethods, so the rules' wide projections
+    would be interpreted on a cluster that is not.
+    """
+    key = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "8000")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
