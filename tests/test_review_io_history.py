@@ -150,3 +150,14 @@ def test_history_get_and_delete(spark):
     assert history_get(entries, one["id"], one["user_id"]).count() == 1
     assert history_get(entries, one["id"], "nobody").count() == 0
     assert history_delete(entries, one["id"], one["user_id"]).count() == entries.count() - 1
+
+
+def test_large_json_lines_are_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    from verity.plans import catalog_stores
+    spark.range(7000).selectExpr("id as l_orderkey", "cast(id % 7 as int) as l_linenumber", "id % 10 as l_suppkey", "id % 20 as l_partkey") \
+        .write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(catalog_stores, "LINES_OF_A_FILE", 2000, raising=False)
+    monkeypatch.setattr(catalog_stores, "_scratch", lambda spark, name: f"{tmp_path}/{name}")
+    assert catalog_stores._json_lines(spark, str(tmp_path)).count() == 7000
+    lines = spark.read.text(f"{tmp_path}/lines").selectExpr("_metadata.file_path as f").groupBy("f").count().collect()
+    assert len(lines) == 4 and max(r["count"] for r in lines) < 2500

@@ -123,16 +123,22 @@ def _versions_rows(spark, sf_dir):
 # Uploads that are large or not UTF-8
 # ---------------------------------------------------------------------------
 
+LINES_OF_A_FILE = 4_000_000
+
+
 @register("source_json_lines_large_file",
           "SELECT CAST(l_orderkey AS VARCHAR) AS l_orderkey, CAST(l_linenumber AS VARCHAR) AS l_linenumber, CAST(l_suppkey AS VARCHAR) AS l_suppkey, l_comment FROM ("
           "SELECT l_orderkey, l_linenumber, l_suppkey, 'line \"' || CAST(l_partkey AS VARCHAR) || '\" } {' AS l_comment FROM lineitem)")
 def _json_lines(spark, sf_dir):
-    """All line items as one file of JSON Lines: told by counts over its lines, and read in splits."""
+    """All line items as a large file of JSON Lines: told by counts over its lines, and read in splits.
+
+    A task writes one file, so there is one more for every LINES_OF_A_FILE lines.
+    """
     from ..sources.readers import read_json_records
     path = _scratch(spark, "lines")
     rows = fixtures.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", F.concat(
         F.lit('line "'), F.col("l_partkey").cast("string"), F.lit('" } {')).alias("l_comment"))
-    rows.coalesce(1).write.json(path)
+    rows.repartition(-(-rows.count() // LINES_OF_A_FILE) or 1).write.json(path)
     return read_json_records(spark, path)
 
 
