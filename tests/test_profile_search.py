@@ -143,3 +143,12 @@ def test_ranked_rows_leave_nothing_cached(spark):
     assert [r["_row_id"] for r in got] == list(range(200))
     assert spark.sparkContext._jsc.getPersistentRDDs().isEmpty()
     assert with_row_id(df.limit(0), key="key").collect() == []
+
+
+def test_trigrams_of_a_long_text_in_one_pass(spark, tmp_path):
+    """Posting lists of long texts, null cells and letters beyond the basic plane."""
+    from verity.operators.search import SearchIndex
+    rows = [(1, "ab" * 300_000 + " Needle", None), (2, None, "x\U0001f600yz"), (3, "ab", "a\nb"), (4, None, None)]
+    index = SearchIndex(spark, str(tmp_path / "index")).build(spark.createDataFrame(rows, "_row_id long, a string, b string"), 1)
+    found = {q: sorted(r["_row_id"] for r in index.search(q).collect()) for q in ("needle", "\U0001f600YZ", "a\nb", "abc", "ab")}
+    assert found == {"needle": [1], "\U0001f600YZ": [2], "a\nb": [3], "abc": [], "ab": [1, 3]}

@@ -33,10 +33,10 @@ class SearchIndex:
         (table.repartitionByRange(blocks, col_(self.row_id)).sortWithinPartitions(col_(self.row_id))
          .withColumn("_block", F.spark_partition_id()).write.partitionBy("_block").parquet(f"{self.path}/rows"))
         rows = self._rows()
-        cells = F.array(*[F.lower(col_(c).cast("string")) for c in rows.columns if c not in (self.row_id, "_block")])
-        some = F.filter(cells, lambda x: F.length(x) >= GRAM)          # null cells have no length
-        grams = F.array_distinct(F.flatten(F.transform(some, lambda x: F.transform(
-            F.sequence(F.lit(1), F.length(x) - (GRAM - 1)), lambda i: F.substr(x, i, F.lit(GRAM))))))
+        # one pass over a cell's letters: taking each trigram by its place would walk there anew, the square of a text's length
+        every = F.lit("(?s)(?=(.{%d}))" % GRAM)
+        grams = F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all(F.coalesce(F.lower(col_(c).cast("string")), F.lit("")), every, F.lit(1))
+                                                     for c in rows.columns if c not in (self.row_id, "_block")])))
         posts = rows.select("_block", F.explode(grams).alias("gram")).distinct().withColumn("list", self._list(F.col("gram")))
         (posts.repartition("list").sortWithinPartitions("list", "gram", "_block").write.partitionBy("list").parquet(f"{self.path}/lists"))
         return self
