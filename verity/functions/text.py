@@ -10,6 +10,7 @@ from .constants import NAME_PARTICLES
 # Unicode-aware whitespace (Java's (?U) flag turns \s into White_Space).
 WS_EDGES = r"(?U)^\s+|\s+$"
 WS_RUN = r"(?U)\s+"
+WS = r"(?U)\s"
 # A string equals its Python str.title() form exactly when no lower-case letter
 # starts a word and no upper/title-case letter follows a cased letter.
 NOT_TITLE = r"(^|[^\p{Lu}\p{Ll}\p{Lt}])\p{Ll}|[\p{Lu}\p{Ll}\p{Lt}][\p{Lu}\p{Lt}]"
@@ -50,7 +51,8 @@ def is_title_style(c) -> Column:
 
 def collapse_ws(c) -> Column:
     """Runs of whitespace to one space, ends trimmed: ``" ".join(s.split())``."""
-    return F.regexp_replace(F.regexp_replace(col_(c), WS_RUN, " "), "^ | $", "")
+    c = col_(c)
+    return F.when(c.rlike(WS), F.regexp_replace(F.regexp_replace(c, WS_RUN, " "), "^ | $", "")).otherwise(c)
 
 
 def words(c) -> Column:
@@ -71,12 +73,14 @@ def smart_title(c) -> Column:
     """Capitalise each word; name particles stay lower unless first.
 
     ``initcap`` capitalises space-separated words, so whitespace is collapsed
-    first; particles after the first word are then put back to lower case.
+    first; particles after the first word are then put back to lower case
+    (in text that has any).
     """
-    out = F.initcap(collapse_ws(c))
+    title = out = F.initcap(collapse_ws(c))
     for p in NAME_PARTICLES:
         out = F.regexp_replace(out, f"(?<= ){p.capitalize()}(?= |$)", p)
-    return out
+    some = "(?<= )(" + "|".join(p.capitalize() for p in NAME_PARTICLES) + ")(?= |$)"
+    return F.when((F.instr(title, " ") > 0) & title.rlike(some), out).otherwise(title)
 
 
 

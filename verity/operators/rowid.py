@@ -47,8 +47,8 @@ def with_row_id(df: DataFrame, name: str = "_row_id", key: str | None = None) ->
             .drop("_vf", "_vi", "_vb", "_sf", "_sb", "_so"))
 
 
-def dense_index(df: DataFrame, order_col: str, name: str = "_pos", partitions: int | None = None) -> DataFrame:
-    """0-based contiguous position of each row when ordered by ``order_col``.
+def dense_index(df: DataFrame, order_col: str | list, name: str = "_pos", partitions: int | None = None) -> DataFrame:
+    """0-based contiguous position of each row when ordered by ``order_col`` (of a list: by the first, then the next ...).
 
     Range-partition on the key (one shuffle), sort inside partitions, and write that with each row's partition and place in it
     to the shared scratch folder, so that positions never change and nothing stays cached.  The partition's offset is added
@@ -57,7 +57,8 @@ def dense_index(df: DataFrame, order_col: str, name: str = "_pos", partitions: i
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     mid = "_mid"
-    ranged = (df.repartitionByRange(n, col_(order_col)).sortWithinPartitions(col_(order_col))
+    by = [col_(c) for c in ([order_col] if isinstance(order_col, str) else order_col)]
+    ranged = (df.repartitionByRange(n, *by).sortWithinPartitions(*by)
               .withColumn(mid, F.monotonically_increasing_id()))
     path = scratch_path(spark, "ranked")
     ranged.write.parquet(path)

@@ -205,7 +205,7 @@ def dirty_lineitem(spark, sf_dir) -> DataFrame:
     """
     from ..operators.rowid import dense_index
     li = table(spark, sf_dir, "lineitem")
-    li = dense_index(li.withColumn("_k", F.struct(*LINEITEM_ORDER)), "_k", "_row_id").drop("_k")
+    li = dense_index(li, LINEITEM_ORDER, "_row_id")
     k = F.col("_row_id")
     return li.select(
         k.alias("_row_id"),
